@@ -1,0 +1,133 @@
+"""Time-to-live memo: which requests are answered from memory.
+
+Per key and in time order the first request is a miss and is remembered; requests less than the TTL later are hits
+and do not extend it; the next one is a miss again. The rule depends on the previous miss, so it is a fold over time.
+Keys with a bounded number of requests are folded inside one row. Keys beyond the bound are worked off one
+TTL-wide time slice after the other, for all such keys at once: a slice holds at most one miss per key, which is a
+``min`` that combines on the map side.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from newsloom.session import cut_lineage, new_folder
+
+def ttl_memo(
+    requests: DataFrame,
+    ttl_seconds: int,
+    key: str = "key",
+    ts: str = "ts",
+    tie: str = "request_id",
+    fold_limit: int = 20_000,
+) -> DataFrame:
+    """``key, tie, ts, stored_ts, is_hit`` for every request.
+
+    ``fold_limit`` bounds the requests of one key that are folded in one place.
+    """
+    ttl = ttl_seconds * 1_000_000
+    asked = requests.select(
+        F.col(key).alias("key"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        F.col(tie).cast("long").alias("tie"),
+    ).where(F.col("us").isNotNull())
+    hot = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_limit).select("key")
+    if hot.isEmpty():
+        decided = _fold(asked, ttl)
+    else:
+        hot = cut_lineage(hot)
+        cold = asked.join(hot, "key", "left_anti")
+        decided = _fold(cold, ttl).unionByName(_by_slices(asked.join(hot, "key"), ttl))
+    return decided.select(
+        F.col("key").alias(key),
+        F.col("tie").alias(tie),
+        F.timestamp_micros("us").alias(ts),
+        F.timestamp_micros("stored").alias("stored_ts"),
+        (F.col("kind") == "hit").alias("is_hit"),
+    )
+
+
+def _fold(asked: DataFrame, ttl: int) -> DataFrame:
+    """Bounded keys: collect the requests of a key in order and carry the last miss along."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("us"), F.col("tie"))))
+    grouped = asked.groupBy("key").agg(ordered.alias("r"))
+
+    def step(acc, r):
+        return F.when(
+            acc["stored"].isNotNull() & (r["us"] - acc["stored"] < ttl),
+            F.struct(acc["stored"].alias("stored"), acc["misses"].alias("misses")),
+        ).otherwise(F.struct(r["us"].alias("stored"), F.concat(acc["misses"], F.array(r)).alias("misses")))
+
+    start = F.struct(
+        F.lit(None).cast("long").alias("stored"),
+        F.array().cast("array<struct<us:bigint,tie:bigint>>").alias("misses"),
+    )
+    misses = F.aggregate("r", start, step, lambda acc: acc["misses"])
+    marked = F.concat(
+        F.transform("r", lambda x: F.struct(x["us"].alias("us"), x["tie"].alias("tie"), F.lit(False).alias("mark"))),
+        F.transform("m", lambda x: F.struct(x["us"].alias("us"), x["tie"].alias("tie"), F.lit(True).alias("mark"))),
+    )
+    rows = grouped.withColumn("m", misses).select("key", F.explode(marked).alias("q")).select("key", "q.*")
+    so_far = Window.partitionBy("key").orderBy("us", "tie", F.col("mark").desc())
+    answer = F.last(F.when(F.col("mark"), F.struct("us", "tie")), ignorenulls=True).over(so_far)
+    return _labelled(rows.withColumn("a", answer).where(~F.col("mark")))
+
+
+def _labelled(answered: DataFrame) -> DataFrame:
+    return answered.select(
+        "key",
+        "tie",
+        "us",
+        F.col("a.us").alias("stored"),
+        F.when(F.col("a") == F.struct("us", "tie"), "miss").otherwise("hit").alias("kind"),
+    )
+
+
+def _by_slices(asked: DataFrame, ttl: int) -> DataFrame:
+    """Unbounded keys: advance the last miss of every key slice by slice.
+
+    The requests are written once, partitioned by slice, so each step reads its own slice only; within a slice a hot
+    key is spread over files by time.
+    """
+    spark = asked.sparkSession
+    folder = new_folder(spark, "memo")
+    sliced = asked.withColumn("slice", F.floor(F.col("us") / F.lit(ttl)).cast("long"))
+    sliced.repartitionByRange("slice", "us").write.partitionBy("slice").parquet(folder)
+    sliced = spark.read.parquet(folder).withColumn("slice", F.col("slice").cast("long"))
+    # one number per TTL of elapsed time
+    numbers = sorted(r["slice"] for r in sliced.select("slice").distinct().collect())
+    state = None
+    misses = []
+    for number in numbers:
+        here = sliced.where(F.col("slice") == number).drop("slice")
+        if state is not None:
+            here = here.join(state, "key", "left").where(
+                F.col("stored").isNull() | (F.col("us") - F.col("stored") >= ttl)
+            )
+        found = here.groupBy("key").agg(F.min(F.struct("us", "tie")).alias("miss"))
+        found = cut_lineage(found.withColumn("slice", F.lit(number).cast("long")))
+        misses.append(found)
+        fresh = found.select("key", F.col("miss.us").alias("stored"))
+        if state is None:
+            state = fresh
+        else:
+            state = cut_lineage(state.unionByName(fresh).groupBy("key").agg(F.max("stored").alias("stored")))
+    table = misses[0]
+    for part in misses[1:]:
+        table = table.unionByName(part)
+    return _answer(sliced, table)
+
+
+def _answer(sliced: DataFrame, misses: DataFrame) -> DataFrame:
+    """Give every request the last miss up to it: this slice's, or the one before it."""
+    slices = sliced.select("key", "slice").distinct()
+    earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    known = slices.join(misses, ["key", "slice"], "left").withColumn(
+        "before", F.last("miss", ignorenulls=True).over(earlier)
+    )
+    joined = sliced.join(known, ["key", "slice"])
+    q = F.struct("us", "tie")
+    answer = F.when(F.col("miss").isNotNull() & (F.col("miss") <= q), F.col("miss")).otherwise(F.col("before"))
+    return _labelled(joined.withColumn("a", answer))
