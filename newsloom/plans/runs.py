@@ -110,7 +110,10 @@ def run_search(
 ) -> DataFrame:
     """The criteria search: first keywords, first hits of each, inclusive cutoff, labelled, newest first."""
     hits = joins.keyword_hits(
-        ranking.top_keywords(keywords, profile.max_keywords), docs, profile.results_per_keyword
+        ranking.top_keywords(keywords, profile.max_keywords),
+        docs,
+        profile.results_per_keyword,
+        column="content",
     )
     return chain(
         hits,

@@ -45,3 +45,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there, so a lost executor costs one read."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A table of at most this many input splits (128 MB each by default) counts as small.
+SMALL_SPLITS = 16
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a table of a few input splits, so that text work on it uses every core.
+
+    A file of one row group is read by one task however many cores there are. Tables of more splits are left as they
+    are, so this never shuffles a large table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = df.rdd.getNumPartitions() <= min(cores, SMALL_SPLITS)
+    return df.repartition(cores, key) if small else df

@@ -162,11 +162,11 @@ def read_atom_feed(spark: SparkSession, path: str, cutoff, newest: int = 5) -> D
 
 
 def search_results(
-    dumps: DataFrame, cutoff, max_keywords: int = 5, per_keyword: int = 5
+    dumps: DataFrame, cutoff, max_keywords: int | None = 5, per_keyword: int = 5
 ) -> DataFrame:
     """Result rows from dumps ``pos, keyword, news_results``; see ``read_search_results``."""
     rows = (
-        dumps.where(F.col("pos") < max_keywords)
+        (dumps if max_keywords is None else dumps.where(F.col("pos") < max_keywords))
         .select("pos", "keyword", F.posexplode("news_results").alias("result_no", "r"))
         .select("pos", "keyword", "result_no", "r.*")
     )
@@ -184,7 +184,7 @@ def search_results(
 
 
 def read_search_results(
-    spark: SparkSession, path: str, cutoff, max_keywords: int = 5, per_keyword: int = 5
+    spark: SparkSession, path: str, cutoff, max_keywords: int | None = 5, per_keyword: int = 5
 ) -> DataFrame:
     """News search dumps: the first results of the first keywords that are complete and not before the cutoff."""
     return search_results(spark.read.schema(_RESULTS).json(path), cutoff, max_keywords, per_keyword)
