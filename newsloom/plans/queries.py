@@ -173,19 +173,15 @@ def read_pages(spark, sf):
 
 @query
 def read_atom_feed(spark, sf):
-    def xml(c):
-        c = F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-        return F.replace(c, F.lit(">"), F.lit("&gt;"))
-
     folder = new_folder(spark, "feed")
     published = F.when(F.col("source") == "src3", F.lit("soon")).otherwise(F.concat("date", F.lit("T08:00:00Z")))
-    articles(spark, sf).select(
-        F.concat(
-            F.lit("<entry><title> "), xml(F.col("title")), F.lit(" </title><id>"), "url", F.lit("</id><published>"),
-            published, F.lit("</published><summary>"), xml(text.collapse_spaces(F.col("content"))),
-            F.lit("</summary></entry>"),
-        )
-    ).write.text(folder)
+    entries = articles(spark, sf).select(
+        F.concat(F.lit(" "), "title", F.lit(" ")).alias("title"),
+        F.col("url").alias("id"),
+        published.alias("published"),
+        text.collapse_spaces(F.col("content")).alias("summary"),
+    )
+    entries.write.xml(folder, rowTag="entry", rootTag='feed xmlns="http://www.w3.org/2005/Atom"')
     return readers.read_atom_feed(spark, folder, CUTOFF).withColumn(
         "published_date", dates.format_date(F.col("published_date"))
     )
@@ -250,7 +246,9 @@ def csv_report(spark, sf):
 def write_csv_report(spark, sf):
     folder = new_folder(spark, "report")
     reports.write_csv_report(categorized(spark, sf), folder)
-    back = spark.read.option("header", True).option("escape", '"').csv(folder)
+    back = spark.read.csv(
+        folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return back.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in back.columns])
 
 

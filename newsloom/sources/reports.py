@@ -86,7 +86,9 @@ def detail_report(df: DataFrame, tie: tuple[str, ...] = ("url",)) -> DataFrame:
 
 def write_csv_report(df: DataFrame, path: str, tie: tuple[str, ...] = ("url",)) -> None:
     """The report as CSV with a header, in report order across the part files."""
-    csv_report(df, tie).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    csv_report(df, tie).write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_report_set(df: DataFrame, folder: str, as_of: str, tie: tuple[str, ...] = ("url",)) -> None:
