@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +23,15 @@ NAMED_ENTITIES = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Name a value inside an expression, so that it is written, and computed, once however often it is used.
+
+    Catalyst copies a projected expression into every filter it pushes below the projection; without this, expressions
+    that mention a costly value many times grow with each such copy.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse_spaces(c: Column) -> Column:
     """One space for every run of white space, none at the ends."""
     return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
@@ -83,19 +92,26 @@ def _code_point(digits: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
+def _decode(c: Column) -> Column:
+    named = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, c)
+
+    def numeric(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#([xX]?[0-9a-fA-F]{1,7});"), F.lit(1)))
+        return F.aggregate(
+            found,
+            t,
+            lambda acc, n: F.replace(
+                acc, F.concat(F.lit("&#"), n, F.lit(";")), F.coalesce(_code_point(n), F.lit("\ufffd"))
+            ),
+        )
+
+    decoded = let(named, lambda t: F.when(t.contains("&#"), numeric(t)).otherwise(t))
+    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+
+
 def decode_entities(c: Column) -> Column:
     """HTML character references to characters; text without ``&`` passes through untouched."""
-    named = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, c)
-    numbers = F.array_distinct(F.regexp_extract_all(named, F.lit(r"&#([xX]?[0-9a-fA-F]{1,7});"), F.lit(1)))
-    numeric = F.aggregate(
-        numbers,
-        named,
-        lambda acc, n: F.replace(
-            acc, F.concat(F.lit("&#"), n, F.lit(";")), F.coalesce(_code_point(n), F.lit("�"))
-        ),
-    )
-    decoded = F.when(named.contains("&#"), numeric).otherwise(named)
-    return F.when(c.contains("&"), F.replace(decoded, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+    return let(c, lambda t: F.when(t.contains("&"), _decode(t)).otherwise(t))
 
 
 def strip_tags(c: Column, joiner: str = "") -> Column:

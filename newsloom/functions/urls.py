@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import let
+
 _HIERARCHICAL = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -30,59 +32,85 @@ def with_scheme(url: Column) -> Column:
 
 def remove_dot_segments(path: Column) -> Column:
     """Resolve ``.`` and ``..`` in a path that starts with ``/``."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
+
+    def resolved(t: Column) -> Column:
+        kept = F.aggregate(
+            F.split(t, "/"),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        # a path that ends in a dot segment names a folder
+        ended = F.when(t.rlike(r"/\.\.?\z"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+        return let(
+            F.array_join(ended, "/"), lambda j: F.when(j.startswith("/"), j).otherwise(F.concat(F.lit("/"), j))
+        )
+
+    return let(path, lambda t: F.when(t.rlike(r"/\.\.?(/|\z)"), resolved(t)).otherwise(t))
+
+
+def _split_base(base: Column) -> Column:
+    return F.struct(
+        _part(base, 1).alias("scheme"), _part(base, 2).alias("host"), _part(base, 3).alias("path"),
+        _part(base, 4).alias("query"),
     )
-    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    joined = F.array_join(kept, "/")
-    rooted = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    return F.when(path.rlike(r"/\.\.?(/|$)"), rooted).otherwise(path)
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """The absolute form of ``href`` found on page ``base``."""
-    scheme, host, base_path, base_query = (_part(base, i) for i in (1, 2, 3, 4))
-    root = F.concat(scheme, F.lit("://"), host)
-    path = F.regexp_extract(href, r"(?s)^([^?#]*)", 1)
-    query = F.regexp_extract(href, r"(?s)^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(href, r"(?s)#(.*)\z", 1)
-    folder = F.regexp_extract(base_path, r"(?s)^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    # joining never keeps empty segments between the folder and the relative path
-    joined = F.regexp_replace(F.concat(folder, path), r"/{2,}", "/")
-    full_path = (
-        F.when(path == "", base_path)
-        .when(path.startswith("/"), remove_dot_segments(path))
-        .otherwise(remove_dot_segments(joined))
+def _split_href(href: Column) -> Column:
+    return F.struct(
+        F.regexp_extract(href, r"(?s)^([^?#]*)", 1).alias("path"),
+        F.regexp_extract(href, r"(?s)^[^?#]*\?([^#]*)", 1).alias("query"),
+        F.regexp_extract(href, r"(?s)#(.*)\z", 1).alias("fragment"),
+    )
+
+
+def _relative(base: Column, ref: Column) -> Column:
+    folder = let(
+        F.regexp_extract(base["path"], r"(?s)^(.*/)", 1), lambda t: F.when(t == "", F.lit("/")).otherwise(t)
     )
-    full_query = F.when((path == "") & (query == ""), base_query).otherwise(query)
-    relative = F.concat(
-        root,
-        full_path,
-        F.when(full_query != "", F.concat(F.lit("?"), full_query)).otherwise(F.lit("")),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
+    # joining never keeps empty segments between the folder and the relative path
+    joined = F.regexp_replace(F.concat(folder, ref["path"]), r"/{2,}", "/")
+    rooted = remove_dot_segments(F.when(ref["path"].startswith("/"), ref["path"]).otherwise(joined))
+    query = F.when((ref["path"] == "") & (ref["query"] == ""), base["query"]).otherwise(ref["query"])
+    return F.concat(
+        base["scheme"],
+        F.lit("://"),
+        base["host"],
+        F.when(ref["path"] == "", base["path"]).otherwise(rooted),
+        let(query, lambda t: F.when(t != "", F.concat(F.lit("?"), t)).otherwise("")),
+        F.when(ref["fragment"] != "", F.concat(F.lit("#"), ref["fragment"])).otherwise(""),
     )
-    return (
-        F.when(href.startswith("http://") | href.startswith("https://"), href)
-        .when(href == "", base)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(host == "", href)
-        .otherwise(relative)
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """The absolute form of ``href`` found on page ``base``."""
+
+    def joined(h: Column) -> Column:
+        return let(
+            _split_base(base),
+            lambda b: F.when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
+            .when(b["host"] == "", h)
+            .otherwise(let(_split_href(h), lambda r: _relative(b, r))),
+        )
+
+    return let(
+        href,
+        lambda h: F.when(h.startswith("http://") | h.startswith("https://"), h)
+        .when(h == "", base)
+        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+        .otherwise(joined(h)),
     )
 
 
 def percent_decode(url: Column) -> Column:
     """Decode ``%xx``; ``+`` and malformed escapes stay as they are."""
-    escaped = F.regexp_replace(url, r"%(?![0-9A-Fa-f]{2})", "%25")
-    decoded = F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
-    return F.when(url.contains("%"), F.coalesce(decoded, url)).otherwise(url)
+
+    def decoded(u: Column) -> Column:
+        escaped = F.regexp_replace(u, r"%(?![0-9A-Fa-f]{2})", "%25")
+        return F.coalesce(F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B"))), u)
+
+    return let(url, lambda u: F.when(u.contains("%"), decoded(u)).otherwise(u))
 
 
 def strip_artifacts(url: Column) -> Column:

@@ -48,7 +48,9 @@ def chunks_of(content: Column, max_tokens: int) -> Column:
 def chunk_articles(df: DataFrame, max_tokens: int = 40000, key: str = "id", column: str = "content") -> DataFrame:
     """``key, chunk_no, chunk, tokens``, the token estimate being a third of the characters."""
     normalized = df.select(key, text.collapse_spaces(F.col(column)).alias("_text"))
-    rows = normalized.select(key, F.posexplode(chunks_of(F.col("_text"), max_tokens)).alias("chunk_no", "chunk"))
+    # outer: an inner explode would repeat the fold in a filter on the array's size
+    packed = F.posexplode_outer(chunks_of(F.col("_text"), max_tokens))
+    rows = normalized.select(key, packed.alias("chunk_no", "chunk")).where(F.col("chunk").isNotNull())
     return rows.withColumn("tokens", F.floor(F.length("chunk") / CHARS_PER_TOKEN).cast("int"))
 
 

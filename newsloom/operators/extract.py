@@ -19,10 +19,13 @@ _BOILERPLATE = (
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute, quoted either way or bare; null if the attribute is missing."""
     pattern = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    raw = F.regexp_extract(tag, pattern, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    value = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", text.decode_entities(value))
+
+    def value(raw: Column) -> Column:
+        quoted = raw.startswith('"') | raw.startswith("'")
+        bare = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.when(raw != "", text.decode_entities(bare))
+
+    return text.let(F.regexp_extract(tag, pattern, 1), value)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -31,26 +34,30 @@ def extract_links(pages: DataFrame) -> DataFrame:
     The title is the trimmed ``title`` attribute, else the trimmed text of the anchor.
     """
     visible = F.regexp_replace("html", _HIDDEN, "")
+    # outer: an inner explode would repeat the extraction in a filter on the array's size
     anchors = pages.select(
         "page_id",
         F.col("url").alias("source_url"),
-        F.posexplode(F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(0))).alias("pos", "anchor"),
+        F.posexplode_outer(F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(0))).alias("pos", "anchor"),
     )
     opened = anchors.withColumn("tag", F.regexp_extract("anchor", _OPEN_TAG, 1))
     label = text.strip(text.decode_entities(text.strip_tags(F.col("anchor"))))
-    titled = text.strip(_attribute(F.col("tag"), "title"))
-    return opened.select(
+    titled = text.null_if_empty(text.strip(_attribute(F.col("tag"), "title")))
+    return opened.where(F.col("tag").rlike(r"(?i)(^|\s)href\s*=\s*\S")).select(
         "page_id",
         "pos",
         "source_url",
-        _attribute(F.col("tag"), "href").alias("href"),
-        F.coalesce(text.null_if_empty(titled), label).alias("title"),
-    ).where(F.col("href").isNotNull())
+        F.coalesce(_attribute(F.col("tag"), "href"), F.lit("")).alias("href"),
+        F.coalesce(titled, label).alias("title"),
+    )
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
-    """Adds ``url``, the absolute form of ``href``."""
-    return links.withColumn("url", urls.resolve(F.col("source_url"), F.col("href")))
+    """Adds ``url``, the absolute form of ``href``.
+
+    Declared never null, so that a join on it does not repeat the resolution in a null filter.
+    """
+    return links.withColumn("url", F.coalesce(urls.resolve(F.col("source_url"), F.col("href")), F.lit("")))
 
 
 def normalize_source_urls(sources: DataFrame, column: str = "url") -> DataFrame:

@@ -76,7 +76,10 @@ def match_terms(
         )
     hits = F.filter(table, lambda s: s["hits"] > 0)
     return (
-        articles.withColumn("_low", lowered).select("id", F.explode(hits).alias("_hit")).select("id", "_hit.*")
+        articles.withColumn("_low", lowered)
+        .select("id", F.explode_outer(hits).alias("_hit"))
+        .where(F.col("_hit").isNotNull())
+        .select("id", "_hit.*")
     )
 
 
@@ -85,11 +88,8 @@ BROADCAST_CHARS = 4_000_000
 
 
 def _grams(column: Column, size: int) -> Column:
-    """The distinct character sequences of one length in a text."""
-    starts = F.sequence(F.lit(1), F.length(column) - (size - 1))
-    grams = F.transform(starts, lambda i: F.substr(column, i, F.lit(size)))
-    none = F.array().cast("array<string>")
-    return F.when(F.length(column) >= size, F.array_distinct(grams)).otherwise(none)
+    """The distinct character sequences of one length in a text, found in one pass by look-ahead."""
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def match_term_table(
@@ -121,9 +121,9 @@ def match_term_table(
     seeds = F.concat(_grams(text_column, gram), *short)
     texts = articles.select("id", F.lower(column).alias("_text"))
     if stats["chars"] <= broadcast_chars:
-        candidates = texts.select("id", "_text", F.explode(seeds).alias("seed")).join(F.broadcast(wanted), "seed")
+        candidates = texts.select("id", "_text", F.explode_outer(seeds).alias("seed")).join(F.broadcast(wanted), "seed")
     else:
-        matched = texts.select("id", F.explode(seeds).alias("seed")).join(wanted, "seed").drop("seed")
+        matched = texts.select("id", F.explode_outer(seeds).alias("seed")).join(wanted, "seed").drop("seed")
         candidates = matched.join(texts, "id")
     return candidates.where(text_column.contains(F.col("needle"))).select("id", "term")
 

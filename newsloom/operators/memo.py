@@ -69,7 +69,7 @@ def _fold(asked: DataFrame, ttl: int) -> DataFrame:
         F.transform("r", lambda x: F.struct(x["us"].alias("us"), x["tie"].alias("tie"), F.lit(False).alias("mark"))),
         F.transform("m", lambda x: F.struct(x["us"].alias("us"), x["tie"].alias("tie"), F.lit(True).alias("mark"))),
     )
-    rows = grouped.withColumn("m", misses).select("key", F.explode(marked).alias("q")).select("key", "q.*")
+    rows = grouped.withColumn("m", misses).select("key", F.explode_outer(marked).alias("q")).select("key", "q.*")
     so_far = Window.partitionBy("key").orderBy("us", "tie", F.col("mark").desc())
     answer = F.last(F.when(F.col("mark"), F.struct("us", "tie")), ignorenulls=True).over(so_far)
     return _labelled(rows.withColumn("a", answer).where(~F.col("mark")))

@@ -119,7 +119,8 @@ def evaluate_articles(df: DataFrame, profile: Profile = Profile()) -> DataFrame:
 
 def explode_criteria(df: DataFrame, key: str = "id") -> DataFrame:
     """One row per article and criterion: label, status, mark and note."""
-    rows = df.select(key, F.posexplode("criteria_results").alias("pos", "c"))
+    # outer: an inner explode would repeat the evaluation in a filter on the array's size
+    rows = df.select(key, F.posexplode_outer("criteria_results").alias("pos", "c"))
     return rows.select(
         key,
         (F.col("pos") + 1).alias("criterion_no"),
@@ -250,12 +251,15 @@ def categorize_by_terms(df: DataFrame, profile: Profile = Profile()) -> DataFram
     def hits(terms: Sequence[str]) -> Column:
         return F.array_compact(F.array(*[F.when(F.col("_low").contains(t), F.lit(t)) for t in terms]))
 
-    numbered = [
-        F.struct(F.size(hits(terms)).alias("n"), F.lit(-no).alias("order"), hits(terms).alias("terms"))
-        for no, terms in profile.category_keywords
-    ]
+    def counted(no: int, terms: Sequence[str]) -> Column:
+        return text.let(
+            hits(terms),
+            lambda found: F.struct(F.size(found).alias("n"), F.lit(-no).alias("order"), found.alias("terms")),
+        )
+
+    numbered = [counted(no, terms) for no, terms in profile.category_keywords]
     best = F.greatest(*numbered) if len(numbered) > 1 else numbered[0]
-    rival = F.array_compact(F.array(*[F.when(F.col("_low").contains(t), F.lit(t)) for t in profile.competitors]))
+    rival = hits(profile.competitors)
     topical = text.contains_any(F.col("_low"), profile.title_terms)
     judged = judged.withColumns({"_best": best, "_rival": rival, "_topical": topical})
     rivalry = (F.size("_rival") > 0) & F.col("_topical")
