@@ -231,8 +231,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def similarity_points(a: Column, b: Column) -> Column:
     """Cosine as 1 to 10 points, halves to even; anything that cannot be computed is 1."""
-    points = F.bround(cosine(a, b) * 10).cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(10), points)), F.lit(1))
+    points = F.coalesce(F.bround(cosine(a, b) * 10).cast("int"), F.lit(1))
+    return F.greatest(F.lit(1), F.least(F.lit(10), points))
 
 
 def similarity_score(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -223,7 +223,7 @@ def read_framework(spark, sf):
 def _store_rows(spark, sf):
     rows = articles(spark, sf).withColumn("summary", F.col("takeaway"))
     stamped = rows.withColumn("created_at", F.col("date").cast("timestamp"))
-    return store.to_store_rows(stamped, "created_at", "id")
+    return store.to_store_rows(stamped, F.col("created_at"), "id")
 
 
 @query
@@ -283,7 +283,7 @@ def upsert_store(spark, sf):
     again = articles(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
     incoming = store.to_store_rows(
         again.drop("content").withColumn("created_at", F.date_add(F.col("date").cast("date"), 1).cast("timestamp")),
-        "created_at",
+        F.col("created_at"),
         "id",
     )
     merged = store.upsert_store(existing, incoming)

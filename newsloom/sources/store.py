@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import dates
 from newsloom.operators.ranking import first_per_key
 
 # The stored columns; the first six default to an empty string, the others to null.
@@ -23,15 +24,17 @@ def evolve_schema(df: DataFrame, wanted: Mapping[str, str]) -> DataFrame:
 
 
 def to_store_rows(articles: DataFrame, created_at, seq: str | None = None) -> DataFrame:
-    """Articles in store shape. ``seq`` orders writes of the same moment, the last one wins."""
+    """Articles in store shape, stamped with a time or a column.
+
+    ``seq`` names the column that orders writes of the same moment; the last one wins.
+    """
     shaped = evolve_schema(articles, {c: "string" for c in STORE_COLUMNS})
     columns = [
         F.coalesce(F.col(c), F.lit("")).alias(c) if c in _EMPTY_DEFAULTS else F.col(c).alias(c)
         for c in STORE_COLUMNS
     ]
-    stamp = F.col(created_at) if isinstance(created_at, str) else F.lit(created_at)
     order = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
-    return shaped.select(*columns, stamp.cast("timestamp").alias("created_at"), order.alias("seq"))
+    return shaped.select(*columns, dates.as_timestamp(created_at).alias("created_at"), order.alias("seq"))
 
 
 def upsert_store(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
