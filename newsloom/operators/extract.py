@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, text, urls
+from newsloom.functions.rows import compute_once
 
 # Markup whose content is never a link or text.
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
@@ -34,30 +35,28 @@ def extract_links(pages: DataFrame) -> DataFrame:
     The title is the trimmed ``title`` attribute, else the trimmed text of the anchor.
     """
     visible = F.regexp_replace("html", _HIDDEN, "")
-    # outer: an inner explode would repeat the extraction in a filter on the array's size
+    # outer: an inner explode would repeat the extraction in a filter on the size of its array
     anchors = pages.select(
         "page_id",
         F.col("url").alias("source_url"),
         F.posexplode_outer(F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(0))).alias("pos", "anchor"),
     )
-    opened = anchors.withColumn("tag", F.regexp_extract("anchor", _OPEN_TAG, 1))
+    opened = compute_once(anchors, {"tag": F.regexp_extract("anchor", _OPEN_TAG, 1)})
+    targeted = opened.where(F.col("tag").rlike(r"(?i)(^|\s)href\s*=\s*\S"))
     label = text.strip(text.decode_entities(text.strip_tags(F.col("anchor"))))
     titled = text.null_if_empty(text.strip(_attribute(F.col("tag"), "title")))
-    return opened.where(F.col("tag").rlike(r"(?i)(^|\s)href\s*=\s*\S")).select(
-        "page_id",
-        "pos",
-        "source_url",
-        F.coalesce(_attribute(F.col("tag"), "href"), F.lit("")).alias("href"),
-        F.coalesce(titled, label).alias("title"),
-    )
+    return compute_once(
+        targeted,
+        {
+            "href": F.coalesce(_attribute(F.col("tag"), "href"), F.lit("")),
+            "title": F.coalesce(titled, label),
+        },
+    ).drop("anchor", "tag")
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
-    """Adds ``url``, the absolute form of ``href``.
-
-    Declared never null, so that a join on it does not repeat the resolution in a null filter.
-    """
-    return links.withColumn("url", F.coalesce(urls.resolve(F.col("source_url"), F.col("href")), F.lit("")))
+    """Adds ``url``, the absolute form of ``href``."""
+    return compute_once(links, {"url": urls.resolve(F.col("source_url"), F.col("href"))})
 
 
 def normalize_source_urls(sources: DataFrame, column: str = "url") -> DataFrame:
@@ -106,7 +105,7 @@ def extract_page_metadata(pages: DataFrame, as_of) -> DataFrame:
         text.null_if_empty(F.regexp_extract(html, r'(?is)"datePublished"\s*:\s*"([^"]+)"', 1)),
         dates.format_date(dates.as_timestamp(as_of)),
     )
-    return pages.select("url", title.alias("title"), date.alias("date"))
+    return compute_once(pages.select("url", "html"), {"title": title, "date": date}).drop("html")
 
 
 def extract_main_text(pages: DataFrame, joiner: str = " ") -> DataFrame:
@@ -127,12 +126,12 @@ def extract_main_text(pages: DataFrame, joiner: str = " ") -> DataFrame:
     else:
         glued = F.regexp_replace(body, rf"(?U){text.SPACE}*<[^>]*>{text.SPACE}*", "")
         content = text.strip(text.decode_entities(glued))
-    return pages.withColumn("_clean", cleaned).withColumn("content", content).drop("_clean")
+    return compute_once(pages.withColumn("_clean", cleaned), {"content": content}).drop("_clean")
 
 
 def normalize_content(df: DataFrame, column: str = "content") -> DataFrame:
     """One space per white-space run; empty becomes null."""
-    return df.withColumn(column, text.null_if_empty(text.collapse_spaces(F.col(column))))
+    return compute_once(df, {column: text.null_if_empty(text.collapse_spaces(F.col(column)))})
 
 
 def strip_url_artifacts(df: DataFrame, column: str = "url") -> DataFrame:

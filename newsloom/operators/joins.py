@@ -27,7 +27,9 @@ def join_metadata(links: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def join_content(articles: DataFrame, texts: DataFrame) -> DataFrame:
     """Fill in missing content by URL; content that is there stays."""
-    fetched = texts.groupBy("url").agg(F.min("content").alias("_text"))
+    missing = articles.where(F.coalesce(F.length("content"), F.lit(0)) == 0).select("url").distinct()
+    needed = texts.join(missing, "url", "left_semi")
+    fetched = needed.groupBy("url").agg(F.min("content").alias("_text"))
     joined = articles.join(fetched, "url", "left")
     return joined.withColumn("content", F.coalesce(text.null_if_empty(F.col("content")), F.col("_text"))).drop(
         "_text"
@@ -83,49 +85,86 @@ def match_terms(
     )
 
 
+# Up to this many terms each text is simply searched for every one of them.
+LISTED_TERMS = 200
 # Characters of term text that may be shipped to every executor; larger term tables are shuffled.
 BROADCAST_CHARS = 4_000_000
 
 
-def _grams(column: Column, size: int) -> Column:
-    """The distinct character sequences of one length in a text, found in one pass by look-ahead."""
-    return F.array_distinct(F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-
 def match_term_table(
     articles: DataFrame,
     terms: DataFrame,
     column: str = "content",
     gram: int = 4,
+    listed_terms: int = LISTED_TERMS,
     broadcast_chars: int = BROADCAST_CHARS,
 ) -> DataFrame:
     """Which terms of a table occur, in any case, in which articles: ``id, term``.
 
-    A term can only occur in a text that has the term's first ``gram`` characters, so both sides meet in an equi-join
-    on those and the candidates are verified with ``contains``; shorter terms meet on their whole length. A term
-    table of measured small size is broadcast and the texts stay where they are. A larger one is shuffled by seed,
-    and only the matching ids go back for their texts.
+    A phrase with a word between two spaces can only occur in a text that has that word, so phrases and texts meet in
+    an equi-join on words and the candidates are verified with ``contains``. Other terms may start or end inside a
+    word: up to ``listed_terms`` of them are looked for directly, more meet the texts on character sequences.
+    Term tables of measured small size are broadcast and the texts stay where they are; larger ones are shuffled and
+    only matching ids go back for their texts. Every way gives the same rows.
     """
-    wanted = (
-        terms.select(F.lower("term").alias("needle"), "term")
-        .where(F.length("needle") > 0)
-        .distinct()
-        .withColumn("seed", F.substring("needle", 1, gram))
-    )
-    stats = wanted.agg(
-        F.coalesce(F.sum(F.length("needle") + F.length("seed") + F.length("term")), F.lit(0)).alias("chars"),
-        *[F.max((F.length("seed") == n).cast("int")).alias(f"n{n}") for n in range(1, gram)],
+    pieces = F.split("needle", " ")
+    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = terms.select(F.lower("term").alias("needle"), "term").where(F.length("needle") > 0).distinct()
+    wanted = wanted.withColumn("seed", longest)
+    sizes = wanted.agg(
+        F.coalesce(F.sum(F.length("needle") + F.length("term")), F.lit(0)).alias("chars"),
+        F.count("seed").alias("phrases"),
     ).first()
-    text_column = F.col("_text")
-    short = [_grams(text_column, n) for n in range(1, gram) if stats[f"n{n}"]]
-    seeds = F.concat(_grams(text_column, gram), *short)
+    small = sizes["chars"] <= broadcast_chars
     texts = articles.select("id", F.lower(column).alias("_text"))
-    if stats["chars"] <= broadcast_chars:
-        candidates = texts.select("id", "_text", F.explode_outer(seeds).alias("seed")).join(F.broadcast(wanted), "seed")
+    found = _match_loose(texts, wanted.where(F.col("seed").isNull()), gram, listed_terms, small)
+    if sizes["phrases"]:
+        words = F.array_distinct(F.split("_text", " "))
+        found = found.unionByName(_meet(texts, words, wanted.where(F.col("seed").isNotNull()), small))
+    return found
+
+
+def _match_loose(texts: DataFrame, wanted: DataFrame, gram: int, listed_terms: int, small: bool) -> DataFrame:
+    listed = wanted.select("needle", "term").limit(listed_terms + 1).collect()
+    if len(listed) <= listed_terms:
+        return _search_listed(texts, [(r["needle"], r["term"]) for r in listed])
+    wanted = wanted.withColumn("seed", F.substring("needle", 1, gram))
+    lengths = [r["n"] for r in wanted.select(F.length("seed").alias("n")).distinct().limit(gram).collect()]
+    seeds = F.concat(*[_grams(F.col("_text"), n) for n in sorted(lengths)])
+    return _meet(texts, seeds, wanted, small)
+
+
+def _meet(texts: DataFrame, seeds: Column, wanted: DataFrame, small: bool) -> DataFrame:
+    """Texts and terms that share a seed, verified."""
+    if small:
+        candidates = texts.select("id", "_text", F.explode_outer(seeds).alias("seed")).join(
+            F.broadcast(wanted), "seed"
+        )
     else:
         matched = texts.select("id", F.explode_outer(seeds).alias("seed")).join(wanted, "seed").drop("seed")
         candidates = matched.join(texts, "id")
-    return candidates.where(text_column.contains(F.col("needle"))).select("id", "term")
+    return candidates.where(F.col("_text").contains(F.col("needle"))).select("id", "term")
+
+
+def _search_listed(texts: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFrame:
+    needles, names = [n for n, _ in terms], [t for _, t in terms]
+    used = set("".join(needles + names))
+    mark = next(chr(c) for c in range(1, 0x110000) if chr(c) not in used)
+    table = F.arrays_zip(
+        F.split(F.lit(mark.join(needles)), mark).alias("needle"), F.split(F.lit(mark.join(names)), mark).alias("term")
+    )
+    found = F.filter(table, lambda s: (s["needle"] != "") & F.col("_text").contains(s["needle"]))
+    return (
+        texts.select("id", F.explode_outer(found).alias("_hit"))
+        .where(F.col("_hit").isNotNull())
+        .select("id", F.col("_hit.term").alias("term"))
+    )
+
+
+def _grams(column: Column, size: int) -> Column:
+    """The distinct character sequences of one length in a text, found in one pass by look-ahead."""
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def keyword_hits(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates
-from newsloom.session import cut_lineage
+from newsloom.session import cut_lineage, stage
 
 
 def first_per_key(df: DataFrame, key: str | Column, order: Sequence[str], key_name: str = "_key") -> DataFrame:
@@ -81,8 +81,8 @@ def sort_by_assessment(df: DataFrame, tie: Sequence[str] = ("url",)) -> DataFram
 
 
 def rank_report(df: DataFrame, tie: Sequence[str] = ("url",)) -> DataFrame:
-    """Adds ``rank``, the 1-based place in report order."""
-    return with_position(df, report_order(tie), "rank").withColumn("rank", F.col("rank") + 1)
+    """Adds ``rank``, the 1-based place in report order. Select the columns the report needs first."""
+    return with_position(stage(df, "ranked"), report_order(tie), "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def select_top_articles(

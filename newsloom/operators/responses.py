@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import profile as p
 from newsloom.functions import text
+from newsloom.functions.rows import compute_once
 
 # Fallback texts and the three patterns for a takeaway in broken JSON.
 NO_TAKEAWAY = "Error extracting content."
@@ -44,7 +45,8 @@ def _salvaged(c: Column) -> Column:
 
 def parse_takeaway_responses(df: DataFrame, raw: str = "raw", fallback: str | None = None) -> DataFrame:
     """Adds ``takeaway``. ``fallback`` names a column to use instead of the fixed failure text."""
-    parsed = df.withColumn("_raw", text.strip(F.col(raw))).withColumn("_json", _json(F.col("_raw")))
+    stripped = df.withColumn("_raw", text.strip(F.col(raw)))
+    parsed = compute_once(stripped, {"_json": _json(F.col("_raw"))})
     from_json = F.when(
         _is_object(F.col("_json")), F.coalesce(_field(F.col("_json"), "takeaway"), F.lit(""))
     ).otherwise(NOT_AN_OBJECT)
@@ -54,14 +56,14 @@ def parse_takeaway_responses(df: DataFrame, raw: str = "raw", fallback: str | No
         .when(F.length("_raw") > 0, F.coalesce(_salvaged(F.col("_raw")), last))
         .otherwise(last)
     )
-    return parsed.withColumn("takeaway", takeaway).drop("_raw", "_json")
+    return compute_once(parsed, {"takeaway": takeaway}).drop("_raw", "_json")
 
 
 def parse_category_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``category`` and ``category_justification``; code fences around the JSON are dropped."""
     bare = text.strip(F.col(raw))
     bare = F.regexp_replace(F.regexp_replace(bare, r"\A```json", ""), r"```\z", "")
-    parsed = df.withColumn("_json", _json(bare))
+    parsed = compute_once(df, {"_json": _json(bare)})
     category, why = _field(F.col("_json"), "category"), _field(F.col("_json"), "justification")
     complete = category.isNotNull() & why.isNotNull()
     return parsed.withColumns(
@@ -77,7 +79,7 @@ def parse_category_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def parse_keyword_responses(df: DataFrame, raw: str = "raw", limit: int = 5) -> DataFrame:
     """Adds ``keywords``: the first few of the response, or the default ones if it cannot be read."""
-    parsed = df.withColumn("_json", _json(F.col(raw)))
+    parsed = compute_once(df, {"_json": _json(F.col(raw))})
     listed = F.coalesce(
         F.try_variant_get(F.col("_json"), "$.keywords", "array<string>"), F.array().cast("array<string>")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom import profile as p
 from newsloom.functions import dates, text
+from newsloom.functions.rows import compute_once
 from newsloom.profile import Profile
 
 # First run of one to four capitalised words, when no listed company is named.
@@ -48,23 +49,26 @@ def tool(c: Column, profile: Profile) -> Column:
 
 def find_entities(df: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """Adds ``entity``: the first listed company named, else the first capitalised name."""
-    return df.withColumn("entity", entity(_full_text(), profile.companies))
+    named = df.withColumn("_text", _full_text())
+    return compute_once(named, {"entity": entity(F.col("_text"), profile.companies)}).drop("_text")
 
 
 def find_tools(df: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """Adds ``tool``: the first listed tool named, else the generic one if a generic phrase occurs."""
-    return df.withColumn("tool", tool(_full_text(), profile))
+    named = df.withColumn("_text", _full_text())
+    return compute_once(named, {"tool": tool(F.col("_text"), profile)}).drop("_text")
 
 
 def with_criteria(df: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """Adds ``entity``, ``tool`` and the seven booleans ``c1`` to ``c7``."""
     found = df.withColumn("_text", _full_text()).withColumn("_low", F.lower("_text"))
     low = F.col("_low")
-    found = found.withColumn("entity", entity(F.col("_text"), profile.companies)).withColumn(
-        "tool", tool(F.col("_text"), profile)
+    found = compute_once(
+        found, {"entity": entity(F.col("_text"), profile.companies), "tool": tool(F.col("_text"), profile)}
     )
     has_tool = F.col("tool").isNotNull()
-    return found.withColumns(
+    return compute_once(
+        found,
         {
             "c1": F.col("entity").isNotNull() & has_tool,
             "c2": has_tool & ~low.rlike(profile.in_house_pattern),
@@ -73,7 +77,7 @@ def with_criteria(df: DataFrame, profile: Profile = Profile()) -> DataFrame:
             "c5": ~low.rlike(profile.promotional_pattern),
             "c6": text.contains_any(low, profile.deployment_terms),
             "c7": text.contains_any(low, profile.major_platforms) & low.rlike(profile.commerce_pattern),
-        }
+        },
     ).drop("_text", "_low")
 
 
@@ -142,9 +146,8 @@ def term_counts(
     """Adds ``term_count`` over the lower-cased text; ``first_chars`` looks at a sample only."""
     c = F.coalesce(F.col(column), F.lit(""))
     sample = F.substring(c, 1, first_chars) if first_chars else c
-    return df.withColumn("_low", F.lower(sample)).withColumn(
-        "term_count", term_total(F.col("_low"), terms)
-    ).drop("_low")
+    lowered = df.withColumn("_low", F.lower(sample))
+    return compute_once(lowered, {"term_count": term_total(F.col("_low"), terms)}).drop("_low")
 
 
 def score_relevance(df: DataFrame, profile: Profile = Profile(), first_chars: int | None = None) -> DataFrame:
@@ -152,15 +155,15 @@ def score_relevance(df: DataFrame, profile: Profile = Profile(), first_chars: in
     title, takeaway, content = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "takeaway", "content"))
     if first_chars:
         content = F.lower(F.substring(F.coalesce(F.col("content"), F.lit("")), 1, first_chars))
-    scored = df.withColumns(
+    lowered = df.withColumns({"_low": content, "_title": text.first_contained(title, profile.title_terms)})
+    counted = F.when(F.col("_title").isNull(), term_total(F.col("_low"), profile.content_terms)).otherwise(0)
+    scored = compute_once(
+        lowered,
         {
-            "_title": text.first_contained(title, profile.title_terms),
+            "_title": F.col("_title"),
             "_takeaway": text.first_contained(takeaway, profile.title_terms),
-            "_low": content,
-        }
-    ).withColumn(
-        "_count",
-        F.when(F.col("_title").isNull(), term_total(F.col("_low"), profile.content_terms)).otherwise(0),
+            "_count": counted,
+        },
     )
     base = F.when(F.col("_title").isNotNull(), 50).when(F.col("_count") >= 5, 40).otherwise(0)
     bonus = F.when(F.col("_takeaway").isNotNull(), 30).otherwise(0)
@@ -236,7 +239,7 @@ def similarity_points(a: Column, b: Column) -> Column:
 
 
 def similarity_score(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.withColumn("similarity", similarity_points(F.col(a), F.col(b)))
+    return compute_once(df, {"similarity": similarity_points(F.col(a), F.col(b))})
 
 
 def categorize_by_terms(df: DataFrame, profile: Profile = Profile()) -> DataFrame:
@@ -261,7 +264,7 @@ def categorize_by_terms(df: DataFrame, profile: Profile = Profile()) -> DataFram
     best = F.greatest(*numbered) if len(numbered) > 1 else numbered[0]
     rival = hits(profile.competitors)
     topical = text.contains_any(F.col("_low"), profile.title_terms)
-    judged = judged.withColumns({"_best": best, "_rival": rival, "_topical": topical})
+    judged = compute_once(judged, {"_best": best, "_rival": rival, "_topical": topical})
     rivalry = (F.size("_rival") > 0) & F.col("_topical")
     number = (
         F.when(rivalry, p.COMPETITOR_CATEGORY)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import profile as p
 from newsloom.functions import text
+from newsloom.functions.rows import compute_once
 from newsloom.profile import Profile
 
 # The texts callers look for.
@@ -27,13 +28,14 @@ _NO_STRINGS = "array<string>"
 def validate_takeaways(df: DataFrame, column: str = "takeaway") -> DataFrame:
     """Adds ``word_count, sentence_count, has_list_marks, issues_found, passes_validation``."""
     c = F.col(column)
-    counted = df.withColumns(
+    counted = compute_once(
+        df,
         {
             "word_count": text.word_count(c),
             "sentence_count": text.sentence_mark_count(c),
             "has_list_marks": text.contains_any(c, p.BULLET_MARKS),
             "_audience": c.rlike(_AUDIENCE),
-        }
+        },
     )
     words, sentences = F.col("word_count"), F.col("sentence_count")
     issues = F.array_compact(
@@ -162,7 +164,7 @@ def clean_takeaways(df: DataFrame, column: str = "takeaway") -> DataFrame:
         return F.when((F.length(word) > 25) & ~word.rlike(r"(?U)^[\d.,]+\z"), cut).otherwise(word)
 
     words = F.transform(F.split(spaced, " "), pieces)
-    return df.withColumn(column, _rewrite(F.array_join(words, " "), _LAST_PASSES))
+    return compute_once(df, {column: _rewrite(F.array_join(words, " "), _LAST_PASSES)})
 
 
 def sentences(c: Column) -> Column:
@@ -198,7 +200,7 @@ def extractive_takeaways(
     chosen = F.when(words > max_words, F.slice("_best", 1, 3)).otherwise(F.col("_best"))
     ordered = F.array_sort(F.transform(chosen, lambda s: F.struct(s["pos"].alias("pos"), s["s"].alias("s"))))
     return (
-        df.withColumn("_best", best)
+        compute_once(df, {"_best": best})
         .withColumn("takeaway", F.array_join(F.transform(ordered, lambda s: s["s"]), " "))
         .drop("_best")
     )

@@ -18,7 +18,7 @@ from newsloom.operators import (
 )
 from newsloom.plans import runs
 from newsloom.profile import CORPUS_PROFILE as PROFILE
-from newsloom.session import new_folder, spread
+from newsloom.session import new_folder, spread, stage
 from newsloom.sources import readers, reports, store
 from newsloom.streaming import jobs
 
@@ -270,7 +270,7 @@ def detail_report(spark, sf):
 @query
 def write_report_set(spark, sf):
     folder = new_folder(spark, "reports")
-    ranked = categorized(spark, sf)
+    ranked = stage(categorized(spark, sf).drop("content"))
     reports.write_report_set(ranked.where(F.col("assessment") == "CUT"), folder, AS_OF)
     reports.write_report_set(ranked, folder, AS_OF)
     return spark.read.parquet(folder).withColumn("report_date", F.col("report_date").cast("string"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import dates
 from newsloom.operators import aggregates, extract, filters, joins, ranking, scoring
 from newsloom.profile import Profile
+from newsloom.session import stage
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -61,7 +62,9 @@ def run_scan(
     seen: DataFrame | None = None,
 ) -> DataFrame:
     """The interactive scan: discover, fetch text, attach takeaways, evaluate and categorise."""
-    found = discover(pages, metadata, cutoff, profile, seen).withColumn("content", F.lit(None).cast("string"))
+    # what was found is small beside the pages: kept once, it is what the texts are narrowed down by
+    found = stage(discover(pages, metadata, cutoff, profile, seen), "found")
+    found = found.withColumn("content", F.lit(None).cast("string"))
     articles = filters.filter_with_content(joins.join_content(found, texts))
     if takeaways is None:
         articles = articles.withColumn("takeaway", F.lit("No takeaway available"))
@@ -92,7 +95,7 @@ def run_workflow(
 ) -> Workflow:
     """The coordinator's run over discovered articles: score, keep the relevant, evaluate, select the best."""
     filled = joins.join_content(articles, texts)
-    scored = scoring.score_relevance(filled, profile)
+    scored = stage(scoring.score_relevance(filled, profile), "scored")
     analyzed = chain(
         scored,
         filters.filter_with_content,

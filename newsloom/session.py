@@ -41,8 +41,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write the rows to the shared folder and read them back as a table.
+
+    For results that are used more than once or sorted globally (a sort reads its input twice, once to sample ranges):
+    the work behind them is done once, a lost executor costs a read, and the table has a measured size, by which
+    Spark decides whether to broadcast it.
+    """
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so a lost executor costs one read."""
+    """As ``stage``, but keeping partitions and the order in them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import urls
 from newsloom.operators.ranking import rank_report, report_order
+from newsloom.session import stage
 
 # Report columns, in order.
 SHEET_COLUMNS = ("Use Case Category", "URL", "Title", "Takeaway", "Date")
 REPORT_COLUMNS = SHEET_COLUMNS + ("Use Case Category Justification",)
+_FILE_NAMES = {c: c.lower().replace(" ", "_") for c in REPORT_COLUMNS}
 COLOURS = {"INCLUDE": "green", "OK": "orange", "CUT": "red"}
 
 
@@ -29,10 +31,19 @@ def _report_columns(df: DataFrame) -> list:
     ]
 
 
-def csv_report(df: DataFrame, tie: tuple[str, ...] = ("url",), ordered: bool = True) -> DataFrame:
-    """The six report columns in report order."""
-    rows = df.orderBy(*report_order(tie)) if ordered else df
-    return rows.select(*_report_columns(rows))
+def csv_report(df: DataFrame, tie: tuple[str, ...] = ("url",)) -> DataFrame:
+    """The six report columns in report order.
+
+    Only what the report shows is staged and sorted; the articles' texts are not.
+    """
+    shown = df.select(
+        *_report_columns(df), "assessment", "assessment_score", *[F.col(t).alias(f"_tie_{t}") for t in tie]
+    )
+    staged = stage(shown.withColumnsRenamed(_FILE_NAMES), "report").withColumnsRenamed(
+        {file: name for name, file in _FILE_NAMES.items()}
+    )
+    ordered = staged.orderBy(*report_order([f"_tie_{t}" for t in tie]))
+    return ordered.select(*[F.col(f"`{c}`") for c in REPORT_COLUMNS])
 
 
 def sheet_report(df: DataFrame, tie: tuple[str, ...] = ("url",), justification: bool = False) -> DataFrame:
@@ -94,9 +105,8 @@ def write_csv_report(df: DataFrame, path: str, tie: tuple[str, ...] = ("url",))
 def write_report_set(df: DataFrame, folder: str, as_of: str, tie: tuple[str, ...] = ("url",)) -> None:
     """The report of a day under ``report_date=<day>``; a second run on the same day replaces the first."""
     dated = csv_report(df, tie).withColumn("report_date", F.lit(as_of))
-    names = {c: c.lower().replace(" ", "_") for c in REPORT_COLUMNS}
     (
-        dated.withColumnsRenamed(names)
+        dated.withColumnsRenamed(_FILE_NAMES)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("report_date")
