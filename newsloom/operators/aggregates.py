@@ -34,9 +34,13 @@ def funnel_counts(articles: DataFrame, min_confidence: int = 40, max_selected: i
         F.count_if(has_content).alias("with_content"),
         F.count_if(relevant).alias("analyzed"),
     )
-    return counted.withColumn("selected", F.least(F.col("analyzed"), F.lit(max_selected).cast("long"))).withColumn(
-        "reports_generated", F.col("selected") > 0
-    )
+    return selection_counts(counted, max_selected)
+
+
+def selection_counts(counted: DataFrame, max_selected: int = 10) -> DataFrame:
+    """Adds ``selected`` and ``reports_generated`` to a row with ``analyzed``."""
+    selected = F.least(F.col("analyzed"), F.lit(max_selected).cast("long"))
+    return counted.withColumn("selected", selected).withColumn("reports_generated", F.col("selected") > 0)
 
 
 def content_fingerprints(

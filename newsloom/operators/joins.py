@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.functions.rows import compute_once
 from newsloom.operators.ranking import first_per_group, first_per_key
+from newsloom.session import stage
 
 
 def join_metadata(links: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -102,10 +104,10 @@ def match_term_table(
     """Which terms of a table occur, in any case, in which articles: ``id, term``.
 
     A phrase with a word between two spaces can only occur in a text that has that word, so phrases and texts meet in
-    an equi-join on words and the candidates are verified with ``contains``. Other terms may start or end inside a
-    word: up to ``listed_terms`` of them are looked for directly, more meet the texts on character sequences.
-    Term tables of measured small size are broadcast and the texts stay where they are; larger ones are shuffled and
-    only matching ids go back for their texts. Every way gives the same rows.
+    an equi-join on words and the candidates are verified with ``contains``. Terms without a space occur inside a
+    word: up to ``listed_terms`` of them are looked for directly, more are matched against the vocabulary of the
+    texts. Term tables of measured small size are broadcast and the texts stay where they are; larger ones are
+    shuffled and only matching ids go back for their texts. Every way gives the same rows.
     """
     pieces = F.split("needle", " ")
     inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
@@ -126,12 +128,24 @@ def match_term_table(
 
 
 def _match_loose(texts: DataFrame, wanted: DataFrame, gram: int, listed_terms: int, small: bool) -> DataFrame:
+    """Terms that may start or end inside a word."""
     listed = wanted.select("needle", "term").limit(listed_terms + 1).collect()
     if len(listed) <= listed_terms:
         return _search_listed(texts, [(r["needle"], r["term"]) for r in listed])
+    spaced = wanted.where(F.col("needle").contains(" "))
+    single = wanted.where(~F.col("needle").contains(" "))
+    words = texts.select("id", F.explode_outer(F.array_distinct(F.split("_text", " "))).alias("word"))
+    vocabulary = words.select(F.col("word").alias("id"), F.col("word").alias("_text")).distinct()
+    inside = _match_sequences(vocabulary, single, gram, small).withColumnRenamed("id", "word")
+    found = words.join(inside, "word").select("id", "term").distinct()
+    return found if spaced.isEmpty() else found.unionByName(_match_sequences(texts, spaced, gram, small))
+
+
+def _match_sequences(texts: DataFrame, wanted: DataFrame, gram: int, small: bool) -> DataFrame:
+    """Any terms at all: texts and terms meet on the first characters of the term."""
     wanted = wanted.withColumn("seed", F.substring("needle", 1, gram))
     lengths = [r["n"] for r in wanted.select(F.length("seed").alias("n")).distinct().limit(gram).collect()]
-    seeds = F.concat(*[_grams(F.col("_text"), n) for n in sorted(lengths)])
+    seeds = F.concat(*[_grams(F.col("_text"), n) for n in sorted(lengths)] or [_grams(F.col("_text"), gram)])
     return _meet(texts, seeds, wanted, small)
 
 
@@ -171,21 +185,23 @@ def keyword_hits(
     keywords: DataFrame,
     docs: DataFrame,
     per_keyword: int = 5,
-    order: Sequence[Column] = (),
+    order: Sequence[str] = (),
     column: str = "title",
 ) -> DataFrame:
     """The first documents for every keyword; a document may answer several keywords.
 
-    ``keywords(pos, keyword)``; result ``pos, keyword`` and the document columns.
+    ``keywords(pos, keyword)``; result ``pos, keyword`` and the document columns. Documents are ranked by the
+    ``order`` columns, then by id, on their ids alone; only the chosen ones are fetched.
     """
     hits = match_term_table(docs, keywords.select(F.col("keyword").alias("term")), column)
     named = hits.withColumnRenamed("term", "keyword").join(
         keywords.groupBy("keyword").agg(F.min("pos").alias("pos")), "keyword"
     )
-    best = first_per_group(
-        named.join(docs, "id"), ["pos", "keyword"], list(order) or [F.col("id").asc()], per_keyword
-    )
-    return best
+    if order:
+        named = named.join(docs.select("id", *order), "id")
+    best = first_per_group(named, ["pos", "keyword"], [*[F.col(c).asc() for c in order], F.col("id")], per_keyword)
+    chosen = stage(best.select("pos", "keyword", "id"), "hits")
+    return chosen.join(docs, "id").select("pos", "keyword", *docs.columns)
 
 
 def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -195,13 +211,15 @@ def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def score_criteria(
-    docs: DataFrame, criteria: DataFrame, score: Column, doc_key: str = "id", salts: int = 1
+    docs: DataFrame, criteria: DataFrame, score: Column
 ) -> DataFrame:
     """Every document against every criterion of a dense 0-based ``criterion_no``.
 
     The result has documents x criteria rows by definition. Each document is repeated once per criterion number and
-    meets the criterion by equality, so Spark broadcasts a small criteria table and hash-partitions a large one.
+    meets the criterion by equality. The criteria are staged, so their size is known: Spark broadcasts a small table
+    and hash-partitions a large one.
     """
+    criteria = stage(criteria, "criteria")
     count = criteria.agg(F.max("criterion_no") + 1).scalar()
     numbered = docs.withColumn("criterion_no", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    return numbered.join(criteria, "criterion_no").withColumn("score", score)
+    return compute_once(numbered.join(criteria, "criterion_no"), {"score": score})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.session import cut_lineage, new_folder
+from newsloom.session import cut_lineage, new_folder, stage
 
 def ttl_memo(
     requests: DataFrame,
@@ -37,7 +37,7 @@ def ttl_memo(
     if hot.isEmpty():
         decided = _fold(asked, ttl)
     else:
-        hot = cut_lineage(hot)
+        hot = stage(hot, "hot-keys")
         cold = asked.join(hot, "key", "left_anti")
         decided = _fold(cold, ttl).unionByName(_by_slices(asked.join(hot, "key"), ttl))
     return decided.select(

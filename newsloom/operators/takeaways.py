@@ -22,6 +22,8 @@ NOTHING_TO_COMBINE = "No content available to summarize."
 NOTHING_MEANINGFUL = "Unable to extract meaningful content from the articles."
 
 _AUDIENCE = "(?iUd)" + "|".join(f"(?:{x})" for x in p.AUDIENCE_PATTERNS)
+# Every audience pattern needs one of these; texts without any skip the patterns, which rescan long texts.
+_AUDIENCE_GATE = "(?iU)leader|executive|target (?:audience|reader)"
 _NO_STRINGS = "array<string>"
 
 
@@ -34,7 +36,7 @@ def validate_takeaways(df: DataFrame, column: str = "takeaway") -> DataFrame:
             "word_count": text.word_count(c),
             "sentence_count": text.sentence_mark_count(c),
             "has_list_marks": text.contains_any(c, p.BULLET_MARKS),
-            "_audience": c.rlike(_AUDIENCE),
+            "_audience": c.rlike(_AUDIENCE_GATE) & c.rlike(_AUDIENCE),
         },
     )
     words, sentences = F.col("word_count"), F.col("sentence_count")
@@ -213,7 +215,7 @@ def combine_takeaways(
     max_chars: int = 2000,
     fan_in: int = 256,
 ) -> DataFrame:
-    """``key, takeaway`` from ``chunks(key, chunk_no, takeaway)``, in chunk order.
+    """``key, takeaway`` from ``chunks(key, chunk_no, takeaway)``, in chunk order; key and number name one chunk.
 
     One chunk speaks for itself; several are joined with spaces and cut to ``max_chars``. Chunks are joined in blocks
     of ``fan_in`` neighbours, then blocks of blocks, each keeping its first ``max_chars`` characters only, so an

@@ -513,7 +513,7 @@ def _centroids(vectors: DataFrame) -> DataFrame:
 @query
 def similarity_score(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    paired = vectors.join(_centroids(vectors), "label")
+    paired = vectors.join(stage(_centroids(vectors)), "label")
     return scoring.similarity_score(paired, "embedding", "criterion").select("vec_id", "similarity")
 
 

@@ -83,7 +83,7 @@ def run_scan(
 
 @dataclass(frozen=True)
 class Workflow:
-    """What the coordinator hands back."""
+    """What the coordinator hands back. The analysed articles come without their texts."""
 
     analyzed: DataFrame
     selected: DataFrame
@@ -93,18 +93,28 @@ class Workflow:
 def run_workflow(
     articles: DataFrame, texts: DataFrame, as_of, profile: Profile = Profile(), tie: tuple[str, ...] = ("url",)
 ) -> Workflow:
-    """The coordinator's run over discovered articles: score, keep the relevant, evaluate, select the best."""
+    """The coordinator's run over discovered articles: score, keep the relevant, evaluate, select the best.
+
+    The texts are scored in one pass; the selection and the counts start from its staged results.
+    """
     filled = joins.join_content(articles, texts)
-    scored = stage(scoring.score_relevance(filled, profile), "scored")
-    analyzed = chain(
-        scored,
+    scored = chain(
+        filled,
         filters.filter_with_content,
+        lambda df: scoring.score_relevance(df, profile),
         lambda df: filters.filter_relevant(df, profile.min_confidence),
         lambda df: scoring.evaluate_articles(df, profile),
         lambda df: scoring.report_relevance(df, as_of),
     )
+    analyzed = stage(scored.drop("content"), "analyzed")
     selected = ranking.select_top_articles(analyzed, as_of, profile.max_report_articles, tie)
-    funnel = aggregates.funnel_counts(scored, profile.min_confidence, profile.max_report_articles)
+    counts = filled.agg(
+        F.count(F.lit(1)).alias("found"),
+        F.count_if(F.coalesce(F.length("content") > 0, F.lit(False))).alias("with_content"),
+    )
+    funnel = aggregates.selection_counts(
+        counts.withColumn("analyzed", analyzed.agg(F.count(F.lit(1))).scalar()), profile.max_report_articles
+    )
     return Workflow(analyzed, selected, funnel)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates
 from newsloom.operators.ranking import first_per_key
+from newsloom.session import stage
 
 # The stored columns; the first six default to an empty string, the others to null.
 STORE_COLUMNS = (
@@ -38,11 +39,21 @@ def to_store_rows(articles: DataFrame, created_at, seq: str | None = None) -> Da
 
 
 def upsert_store(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
-    """Whole-row replacement by ``url``: the newest ``created_at``, then the highest ``seq``, wins."""
-    every = incoming if existing is None else existing.unionByName(incoming, allowMissingColumns=True)
-    age = -F.unix_micros("created_at")
-    ranked = every.withColumns({"_age": age, "_turn": -F.coalesce(F.col("seq"), F.lit(0))})
-    return first_per_key(ranked, "url", ["_age", "_turn", "title", "content"]).drop("_age", "_turn")
+    """Whole-row replacement by ``url``: the last incoming write of a URL replaces the stored row.
+
+    Among the incoming rows the newest ``created_at``, then the highest ``seq``, is the last. The store holds one row
+    per URL already, so it only loses the replaced ones in an anti join: a small batch is broadcast and the store is
+    not shuffled.
+    """
+    ranked = incoming.withColumns(
+        {"_age": -F.unix_micros("created_at"), "_turn": -F.coalesce(F.col("seq"), F.lit(0))}
+    )
+    latest = first_per_key(ranked, "url", ["_age", "_turn", "title", "content"]).drop("_age", "_turn")
+    if existing is None:
+        return latest
+    latest = stage(latest, "incoming")
+    kept = existing.join(latest.select("url"), "url", "left_anti")
+    return kept.unionByName(latest, allowMissingColumns=True)
 
 
 def load_store(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

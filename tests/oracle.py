@@ -53,3 +53,22 @@ def compare(df, con, sql):
         f"rows {len(spark_rows)} / {len(duck_rows)}, differing {sum((ours - theirs).values())}\n"
         f"  spark: {str(only)[:700]}\n  duck:  {str(missing)[:700]}"
     ), len(spark_rows)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_problems(df) -> list[str]:
+    """What must not be in the plan of a query that is to run on a large cluster.
+
+    A single partition may only receive partial aggregates, or the table of partition sizes of a sorted result.
+    """
+    lines = plan(df).splitlines()
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+    found = [w for w in banned for line in lines if w in line]
+    for line, below in zip(lines, lines[1:]):
+        if "Exchange SinglePartition" in line:
+            if not any(w in below for w in ("partial_", "HashAggregate(keys=[_part", "functions=[]")):
+                found.append(below.strip())
+    return found

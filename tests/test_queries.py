@@ -1,8 +1,8 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the smallest tables, and its plan against what large tables allow."""
 
 import __spark_entry__ as entry_points
 import pytest
-from oracle import compare, connect
+from oracle import compare, connect, plan_problems
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,5 +24,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(entry_points.queries()))
 def test_query_equals_sql(spark, con, name):
-    difference, _ = compare(entry_points.queries()[name](spark, SF), con, entry_points.oracle_sql()[name])
+    result = entry_points.queries()[name](spark, SF)
+    assert plan_problems(result) == []
+    difference, _ = compare(result, con, entry_points.oracle_sql()[name])
     assert not difference, difference
