@@ -13,6 +13,11 @@ def parse_date(c: Column) -> Column:
     return F.when(c.rlike(_DATED), c.try_cast("timestamp"))
 
 
+def parse_day(c: Column) -> Column:
+    """Date from ``yyyy-MM-dd`` alone; anything longer is no day."""
+    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\z"), c.try_cast("date"))
+
+
 def parse_date_or(c: Column, as_of: Column) -> Column:
     """The search path never drops an unreadable date: it counts as ``as_of``."""
     return F.coalesce(parse_date(c), as_of)

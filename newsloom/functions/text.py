@@ -59,6 +59,13 @@ def contains_any(c: Column, terms: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(t) for t in terms], F.lit(False))
 
 
+def matches(c: Column, pattern: str) -> Column:
+    """Whether a pattern occurs. Patterns that are only a choice of plain texts become byte searches."""
+    if re.fullmatch(r"[\w \-]+(\|[\w \-]+)*", pattern):
+        return contains_any(c, pattern.split("|"))
+    return c.rlike(f"(?U){pattern}")
+
+
 def first_contained(c: Column, terms: Iterable[str]) -> Column:
     """The first term, in list order, that occurs as a substring; null if none does."""
     tests = [F.when(c.contains(t), F.lit(t)) for t in terms]

@@ -47,8 +47,7 @@ def filter_recent(df: DataFrame, cutoff, column: str = "published_ts", inclusive
 
 def filter_recent_days(df: DataFrame, cutoff, column: str = "date") -> DataFrame:
     """Whole-day variant on a ``yyyy-MM-dd`` string."""
-    day = F.when(F.col(column).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.col(column).try_cast("date"))
-    return df.where(day >= F.to_date(dates.as_timestamp(cutoff)))
+    return df.where(dates.parse_day(F.col(column)) >= F.to_date(dates.as_timestamp(cutoff)))
 
 
 def filter_with_content(df: DataFrame, column: str = "content") -> DataFrame:

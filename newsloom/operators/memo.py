@@ -21,68 +21,84 @@ def ttl_memo(
     key: str = "key",
     ts: str = "ts",
     tie: str = "request_id",
+    usable: str | None = None,
     fold_limit: int = 20_000,
 ) -> DataFrame:
     """``key, tie, ts, stored_ts, is_hit`` for every request.
 
-    ``fold_limit`` bounds the requests of one key that are folded in one place.
+    ``stored_ts`` is the time of the remembered result that answers the request, its own time if it is remembered
+    itself. ``usable`` names a flag: a miss whose result is not usable is not remembered. Requests without a key are
+    never remembered. ``fold_limit`` bounds the requests of one key that are folded in one place.
     """
     ttl = ttl_seconds * 1_000_000
     asked = requests.select(
         F.col(key).alias("key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.col(tie).cast("long").alias("tie"),
+        (F.coalesce(F.col(usable), F.lit(False)) if usable else F.lit(True)).alias("ok"),
     ).where(F.col("us").isNotNull())
-    hot = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_limit).select("key")
+    keyed = asked.where(F.col("key").isNotNull())
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_limit).select("key")
     if hot.isEmpty():
-        decided = _fold(asked, ttl)
+        answered = _fold(keyed, ttl)
     else:
         hot = stage(hot, "hot-keys")
-        cold = asked.join(hot, "key", "left_anti")
-        decided = _fold(cold, ttl).unionByName(_by_slices(asked.join(hot, "key"), ttl))
-    return decided.select(
+        cold = keyed.join(hot, "key", "left_anti")
+        answered = _fold(cold, ttl).unionByName(_by_slices(keyed.join(hot, "key"), ttl))
+    nameless = asked.where(F.col("key").isNull()).select(
+        "key", "tie", "us", F.lit(None).cast("long").alias("stored"), F.lit(False).alias("is_hit")
+    )
+    return answered.unionByName(nameless).select(
         F.col("key").alias(key),
         F.col("tie").alias(tie),
         F.timestamp_micros("us").alias(ts),
         F.timestamp_micros("stored").alias("stored_ts"),
-        (F.col("kind") == "hit").alias("is_hit"),
+        "is_hit",
+    )
+
+
+def _answered(requests: DataFrame, ttl: int) -> DataFrame:
+    """``a`` is the last remembered miss up to the request, itself included; it answers for one TTL."""
+    own = F.col("a") == F.struct("us", "tie")
+    fresh = F.coalesce(F.col("us") - F.col("a.us") < ttl, F.lit(False))
+    return requests.select(
+        "key",
+        "tie",
+        "us",
+        F.when(fresh, F.col("a.us")).alias("stored"),
+        F.coalesce(fresh & ~own, F.lit(False)).alias("is_hit"),
     )
 
 
 def _fold(asked: DataFrame, ttl: int) -> DataFrame:
-    """Bounded keys: collect the requests of a key in order and carry the last miss along."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.col("us"), F.col("tie"))))
+    """Bounded keys: collect the requests of a key in order and carry the last remembered miss along."""
+    ordered = F.sort_array(F.collect_list(F.struct("us", "tie", "ok")))
     grouped = asked.groupBy("key").agg(ordered.alias("r"))
 
     def step(acc, r):
+        answered = acc["stored"].isNotNull() & (r["us"] - acc["stored"] < ttl)
         return F.when(
-            acc["stored"].isNotNull() & (r["us"] - acc["stored"] < ttl),
-            F.struct(acc["stored"].alias("stored"), acc["misses"].alias("misses")),
+            answered | ~r["ok"], F.struct(acc["stored"].alias("stored"), acc["misses"].alias("misses"))
         ).otherwise(F.struct(r["us"].alias("stored"), F.concat(acc["misses"], F.array(r)).alias("misses")))
 
     start = F.struct(
         F.lit(None).cast("long").alias("stored"),
-        F.array().cast("array<struct<us:bigint,tie:bigint>>").alias("misses"),
+        F.array().cast("array<struct<us:bigint,tie:bigint,ok:boolean>>").alias("misses"),
     )
     misses = F.aggregate("r", start, step, lambda acc: acc["misses"])
-    marked = F.concat(
-        F.transform("r", lambda x: F.struct(x["us"].alias("us"), x["tie"].alias("tie"), F.lit(False).alias("mark"))),
-        F.transform("m", lambda x: F.struct(x["us"].alias("us"), x["tie"].alias("tie"), F.lit(True).alias("mark"))),
-    )
-    rows = grouped.withColumn("m", misses).select("key", F.explode_outer(marked).alias("q")).select("key", "q.*")
-    so_far = Window.partitionBy("key").orderBy("us", "tie", F.col("mark").desc())
-    answer = F.last(F.when(F.col("mark"), F.struct("us", "tie")), ignorenulls=True).over(so_far)
-    return _labelled(rows.withColumn("a", answer).where(~F.col("mark")))
 
+    def marked(requests: str, mark: bool):
+        return F.transform(
+            requests, lambda x: F.struct(x["us"].alias("us"), x["tie"].alias("tie"), F.lit(mark).alias("mark"))
+        )
 
-def _labelled(answered: DataFrame) -> DataFrame:
-    return answered.select(
-        "key",
-        "tie",
-        "us",
-        F.col("a.us").alias("stored"),
-        F.when(F.col("a") == F.struct("us", "tie"), "miss").otherwise("hit").alias("kind"),
+    rows = grouped.withColumn("m", misses).select(
+        "key", F.explode_outer(F.concat(marked("r", False), marked("m", True))).alias("q")
     )
+    rows = rows.select("key", "q.*")
+    so_far = Window.partitionBy("key").orderBy("us", "tie", F.col("mark").desc())
+    last = F.last(F.when(F.col("mark"), F.struct("us", "tie")), ignorenulls=True).over(so_far)
+    return _answered(rows.withColumn("a", last).where(~F.col("mark")), ttl)
 
 
 def _by_slices(asked: DataFrame, ttl: int) -> DataFrame:
@@ -106,7 +122,7 @@ def _by_slices(asked: DataFrame, ttl: int) -> DataFrame:
             here = here.join(state, "key", "left").where(
                 F.col("stored").isNull() | (F.col("us") - F.col("stored") >= ttl)
             )
-        found = here.groupBy("key").agg(F.min(F.struct("us", "tie")).alias("miss"))
+        found = here.where("ok").groupBy("key").agg(F.min(F.struct("us", "tie")).alias("miss"))
         found = cut_lineage(found.withColumn("slice", F.lit(number).cast("long")))
         misses.append(found)
         fresh = found.select("key", F.col("miss.us").alias("stored"))
@@ -117,17 +133,16 @@ def _by_slices(asked: DataFrame, ttl: int) -> DataFrame:
     table = misses[0]
     for part in misses[1:]:
         table = table.unionByName(part)
-    return _answer(sliced, table)
+    return _by_slice_answers(sliced, table, ttl)
 
 
-def _answer(sliced: DataFrame, misses: DataFrame) -> DataFrame:
-    """Give every request the last miss up to it: this slice's, or the one before it."""
+def _by_slice_answers(sliced: DataFrame, misses: DataFrame, ttl: int) -> DataFrame:
+    """The last miss up to a request is this slice's, or else the one before it."""
     slices = sliced.select("key", "slice").distinct()
     earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     known = slices.join(misses, ["key", "slice"], "left").withColumn(
         "before", F.last("miss", ignorenulls=True).over(earlier)
     )
     joined = sliced.join(known, ["key", "slice"])
-    q = F.struct("us", "tie")
-    answer = F.when(F.col("miss").isNotNull() & (F.col("miss") <= q), F.col("miss")).otherwise(F.col("before"))
-    return _labelled(joined.withColumn("a", answer))
+    here = F.col("miss").isNotNull() & (F.col("miss") <= F.struct("us", "tie"))
+    return _answered(joined.withColumn("a", F.when(here, F.col("miss")).otherwise(F.col("before"))), ttl)

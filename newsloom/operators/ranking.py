@@ -93,7 +93,7 @@ def select_top_articles(
     ``score`` must already be there (see ``scoring.report_relevance``). A missing date counts as 2000-01-01 and an
     unreadable one sorts last.
     """
-    day = F.to_date(dates.parse_date(F.coalesce(F.col("date"), F.lit("2000-01-01"))))
+    day = dates.parse_day(F.coalesce(F.col("date"), F.lit("2000-01-01")))
     best = df.orderBy(F.col(score).desc(), day.desc_nulls_last(), *[F.col(t).asc() for t in tie]).limit(n)
     return sort_by_assessment(best, tie)
 

@@ -71,12 +71,12 @@ def with_criteria(df: DataFrame, profile: Profile = Profile()) -> DataFrame:
         found,
         {
             "c1": F.col("entity").isNotNull() & has_tool,
-            "c2": has_tool & ~low.rlike(profile.in_house_pattern),
-            "c3": text.contains_any(low, profile.metric_words) & low.rlike(f"(?U){profile.roi_pattern}"),
+            "c2": has_tool & ~text.matches(low, profile.in_house_pattern),
+            "c3": text.contains_any(low, profile.metric_words) & text.matches(low, profile.roi_pattern),
             "c4": text.contains_any(low, profile.retail_terms),
-            "c5": ~low.rlike(profile.promotional_pattern),
+            "c5": ~text.matches(low, profile.promotional_pattern),
             "c6": text.contains_any(low, profile.deployment_terms),
-            "c7": text.contains_any(low, profile.major_platforms) & low.rlike(profile.commerce_pattern),
+            "c7": text.contains_any(low, profile.major_platforms) & text.matches(low, profile.commerce_pattern),
         },
     ).drop("_text", "_low")
 
@@ -201,7 +201,7 @@ def report_relevance(df: DataFrame, as_of) -> DataFrame:
 
     A future date scores above 100 for recency; a missing date is 2000-01-01; an unreadable one has no recency.
     """
-    day = F.to_date(dates.parse_date(F.coalesce(F.col("date"), F.lit("2000-01-01"))))
+    day = dates.parse_day(F.coalesce(F.col("date"), F.lit("2000-01-01")))
     age = F.datediff(F.to_date(dates.as_timestamp(as_of)), day)
     recency = F.coalesce(F.greatest(F.lit(0), F.lit(100) - age * 5), F.lit(0))
     points = F.col("key_points") if "key_points" in df.columns else F.array()

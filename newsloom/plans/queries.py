@@ -836,14 +836,15 @@ def ttl_memo(spark, sf):
     return answered.select("event_id", "is_hit", F.unix_micros("stored_ts").alias("stored_us"))
 
 
+def _event_stream(spark, sf):
+    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf.rstrip('/')}/events*.parquet")
+
+
 @query
 def stream_ttl_memo(spark, sf):
     folder, checkpoint = new_folder(spark, "memo"), new_folder(spark, "memo-progress")
-    asked = (
-        spark.readStream.schema(table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-        .select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "ts")
+    asked = _event_stream(spark, sf).select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "ts"
     )
     jobs.run_to_folder(jobs.stream_ttl_memo(asked, TTL_SECONDS), folder, checkpoint)
     return spark.read.parquet(folder).select(
@@ -852,7 +853,8 @@ def stream_ttl_memo(spark, sf):
 
 
 def _page_stream(spark, sf):
-    return jobs.read_page_stream(spark, sf, glob="pages.parquet")
+    # a pattern, because a stream's path may not be a single file
+    return jobs.read_page_stream(spark, f"{sf.rstrip('/')}/pages*.parquet")
 
 
 @query
@@ -879,12 +881,7 @@ def stream_dedup_urls(spark, sf):
 @query
 def stream_recent(spark, sf):
     folder, checkpoint = new_folder(spark, "recent"), new_folder(spark, "recent-progress")
-    arriving = (
-        spark.readStream.schema(table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+    arriving = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     jobs.run_to_folder(jobs.stream_recent(arriving, CUTOFF).select("event_id", "user_id"), folder, checkpoint)
     return spark.read.parquet(folder)
 

@@ -17,14 +17,9 @@ from newsloom.operators.ranking import first_per_key
 PAGE_SCHEMA = "page_id LONG, url STRING, html STRING"
 
 
-def read_page_stream(spark: SparkSession, path: str, files_per_batch: int = 5, glob: str = "*.parquet") -> DataFrame:
+def read_page_stream(spark: SparkSession, path: str, files_per_batch: int = 5) -> DataFrame:
     """Page files as they arrive, a few per micro-batch."""
-    return (
-        spark.readStream.schema(PAGE_SCHEMA)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", glob)
-        .parquet(path)
-    )
+    return spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def stream_scan(
@@ -66,26 +61,32 @@ def stream_recent(records: DataFrame, cutoff, ts: str = "ts", lookback: str = "7
 def stream_ttl_memo(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """``key, request_id, us, stored_us, is_hit`` for ``requests(key, request_id, ts)``.
 
-    The state of a key is the time of its last miss. Requests of one micro-batch are taken in time order; the size of
-    a micro-batch (files per trigger) bounds what a key can bring at once.
+    The state of a key is the time of its last remembered miss; with a ``usable`` column, misses that are not usable
+    are not remembered. Requests of one micro-batch are taken in time order; the size of a micro-batch (files per
+    trigger) bounds what a key can bring at once.
     """
     ttl = ttl_seconds * 1_000_000
 
     def answer(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         asked = pd.concat(list(frames)).sort_values(["us", "request_id"], kind="stable")
         stored = state.get[0] if state.exists else None
-        remembered = []
-        hits = []
-        for us in asked["us"].to_numpy():
+        answers = []
+        for us, ok in zip(asked["us"].tolist(), asked["ok"].tolist()):
             hit = stored is not None and us - stored < ttl
-            if not hit:
-                stored = int(us)
-            hits.append(hit)
-            remembered.append(stored)
-        state.update((stored,))
-        yield asked.assign(stored_us=remembered, is_hit=hits)[["key", "request_id", "us", "stored_us", "is_hit"]]
-
-    asked = requests.select("key", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+            if not hit and ok:
+                stored = us
+            answers.append((stored if hit or ok else None, hit))
+        if stored is not None:
+            state.update((stored,))
+        table = asked.assign(
+            stored_us=pd.array([a[0] for a in answers], dtype="Int64"), is_hit=[a[1] for a in answers]
+        )
+        yield table[["key", "request_id", "us", "stored_us", "is_hit"]]
+
+    usable = F.coalesce(F.col("usable"), F.lit(False)) if "usable" in requests.columns else F.lit(True)
+    asked = requests.select(
+        "key", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), usable.alias("ok")
+    )
     return asked.groupBy("key").applyInPandasWithState(
         answer,
         "key LONG, request_id LONG, us LONG, stored_us LONG, is_hit BOOLEAN",

@@ -100,24 +100,28 @@ def test_combination_in_blocks_equals_a_join(spark, texts):
     assert got == (joined[:50] if len(joined) >= 10 else tk.NOTHING_MEANINGFUL)
 
 
-REQUEST = "key LONG, request_id LONG, s LONG"
+REQUEST = "key LONG, request_id LONG, s LONG, usable BOOLEAN"
 
 
 def asked(spark, data):
-    return spark.createDataFrame(data, REQUEST).withColumn("ts", F.timestamp_seconds("s"))
+    full = [(*r, True) if len(r) == 3 else r for r in data]
+    return spark.createDataFrame(full, REQUEST).withColumn("ts", F.timestamp_seconds("s"))
 
 
 def answers(df):
-    return {r["request_id"]: (r["is_hit"], int(r["stored_ts"].timestamp())) for r in df.collect()}
+    return {
+        r["request_id"]: (r["is_hit"], r["stored_ts"] and int(r["stored_ts"].timestamp())) for r in df.collect()
+    }
 
 
 def remembered_by_hand(data, ttl):
     stored, got = {}, {}
-    for key, number, s in sorted(data, key=lambda r: (r[2], r[1])):
-        hit = key in stored and s - stored[key] < ttl
-        if not hit:
+    for key, number, s, *ok in sorted(data, key=lambda r: (r[2], r[1])):
+        hit = key is not None and key in stored and s - stored[key] < ttl
+        keep = key is not None and not hit and (not ok or ok[0])
+        if keep:
             stored[key] = s
-        got[number] = (hit, stored[key])
+        got[number] = (hit, stored[key] if hit or keep else None)
     return got
 
 
@@ -127,34 +131,42 @@ def test_memo_does_not_slide(spark):
     assert [got[i][0] for i in range(5)] == [False, True, False, True, False]
 
 
-REQUESTS = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 300)), min_size=1, max_size=60)
+KEYS = st.one_of(st.none(), st.integers(0, 2))
+REQUESTS = st.lists(st.tuples(KEYS, st.integers(0, 300), st.booleans()), min_size=1, max_size=60)
 
 
 @QUIET
 @given(REQUESTS)
-def test_memo_equals_a_plain_loop(spark, pairs):
-    data = [(k, i, s) for i, (k, s) in enumerate(pairs)]
-    assert answers(memo.ttl_memo(asked(spark, data), 25)) == remembered_by_hand(data, 25)
+def test_memo_equals_a_plain_loop(spark, triples):
+    data = [(k, i, s, ok) for i, (k, s, ok) in enumerate(triples)]
+    assert answers(memo.ttl_memo(asked(spark, data), 25, usable="usable")) == remembered_by_hand(data, 25)
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(REQUESTS)
-def test_memo_by_slices_equals_a_plain_loop(spark, pairs):
-    data = [(k, i, s) for i, (k, s) in enumerate(pairs)]
-    got = answers(memo.ttl_memo(asked(spark, data), 60, fold_limit=5))
+def test_memo_by_slices_equals_a_plain_loop(spark, triples):
+    data = [(k, i, s, ok) for i, (k, s, ok) in enumerate(triples)]
+    got = answers(memo.ttl_memo(asked(spark, data), 60, usable="usable", fold_limit=5))
     assert got == remembered_by_hand(data, 60)
 
 
-def test_memo_stream_in_steps(spark):
+@pytest.mark.parametrize("flagged", [False, True])
+def test_memo_stream_in_steps(spark, flagged):
     folder, out, checkpoint = (new_folder(spark, x) for x in ("asked", "answered", "progress"))
-    data = [(k, 100 * b + i, b * 100 + i * 7) for b in range(3) for i in range(12) for k in (i % 2,)]
+    data = [
+        (i % 2, 100 * b + i, b * 100 + i * 7, not flagged or i % 5 > 0) for b in range(3) for i in range(12)
+    ]
     for b in range(3):
         part = [r for r in data if r[1] // 100 == b]
         asked(spark, part).drop("s").write.mode("append").parquet(folder)
-        stream = spark.readStream.schema("key LONG, request_id LONG, ts TIMESTAMP").parquet(folder)
+        schema = "key LONG, request_id LONG, ts TIMESTAMP" + (", usable BOOLEAN" if flagged else "")
+        stream = spark.readStream.schema(schema).parquet(folder)
         jobs.run_to_folder(jobs.stream_ttl_memo(stream, 40), out, checkpoint)
-    got = {r["request_id"]: (r["is_hit"], r["stored_us"] // 1_000_000) for r in spark.read.parquet(out).collect()}
-    assert got == remembered_by_hand(data, 40)
+    got = {
+        r["request_id"]: (r["is_hit"], r["stored_us"] and r["stored_us"] // 1_000_000)
+        for r in spark.read.parquet(out).collect()
+    }
+    assert got == {n: (hit, at or (0 if at == 0 else None)) for n, (hit, at) in remembered_by_hand(data, 40).items()}
 
 
 # --- store ----------------------------------------------------------------------------------------------------
