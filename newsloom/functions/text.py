@@ -39,7 +39,7 @@ def collapse_spaces(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def null_if_empty(c: Column) -> Column:

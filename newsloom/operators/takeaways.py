@@ -21,7 +21,14 @@ TOO_SHORT = p.FAILED_TAKEAWAYS[0]
 NOTHING_TO_COMBINE = "No content available to summarize."
 NOTHING_MEANINGFUL = "Unable to extract meaningful content from the articles."
 
-_AUDIENCE = "(?iUd)" + "|".join(f"(?:{x})" for x in p.AUDIENCE_PATTERNS)
+
+def _linear(pattern: str) -> str:
+    """``head.*tail`` tried once per line, from its first head on, instead of from every head."""
+    head, gap, tail = pattern.partition(".*")
+    return f"^(?>.*?{head}).*{tail}" if gap else pattern
+
+
+_AUDIENCE = "(?iUdm)" + "|".join(f"(?:{_linear(x)})" for x in p.AUDIENCE_PATTERNS)
 # Every audience pattern needs one of these; texts without any skip the patterns, which rescan long texts.
 _AUDIENCE_GATE = "(?iU)leader|executive|target (?:audience|reader)"
 _NO_STRINGS = "array<string>"
@@ -136,16 +143,19 @@ def short_content_guard(df: DataFrame, column: str = "content") -> DataFrame:
     )
 
 
+# A run of digits, or what the last replacement left of one, and a run of spaces: each is entered at its start only.
+_DIGITS = r"(?:(?<!\d)|\G)(\d++)"
+_SPACES = r"(?<! ) ++"
 # The clean-up passes, in order.
 _SPACING = (
-    (r"(?U)(\d+)([a-zA-Z])", "$1 $2"),
+    (rf"(?U){_DIGITS}([a-zA-Z])", "$1 $2"),
     (r"(?U)([a-zA-Z])(\d)", "$1 $2"),
-    (r"(?U)\$ *(\d+)", r"\$$1"),
-    (r"(?U)\$ *(\d+) *\. *(\d+)", r"\$$1.$2"),
-    (r"(?U)(\d+) +(\d{3})", "$1,$2"),
-    (r"(?U)(\d+) *, *(\d+)", "$1,$2"),
-    (r"(?U)(\d+) *\. *(\d+)", "$1.$2"),
-    (r" +([.,!?:;])", "$1"),
+    (r"(?U)\$ *+(\d++)", r"\$$1"),
+    (r"(?U)\$ *+(\d++) *+\. *+(\d++)", r"\$$1.$2"),
+    (rf"(?U){_DIGITS} ++(\d{{3}})", "$1,$2"),
+    (rf"(?U){_DIGITS} *+, *+(\d++)", "$1,$2"),
+    (rf"(?U){_DIGITS} *+\. *+(\d++)", "$1.$2"),
+    (rf"{_SPACES}([.,!?:;])", "$1"),
 )
 _LAST_PASSES = (_SPACING[4], _SPACING[7])
 
