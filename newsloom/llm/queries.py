@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, packing, quality, sharding, topk, toxicity
+from newsloom.llm import chat, jaccard, packing, quality, secrets, sharding, topk, toxicity
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,18 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents linked by a word-shingle similarity of 0.9 or more, as components."""
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document, with the weak parts that complete a credential."""
+    return secrets.digest(secrets.find_secrets(table(spark, sf, "documents")))
+
+
 ORACLES["op2_sharding"] = """
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, coalesce('=' || source, '-') AS stratum FROM documents),
@@ -132,3 +144,25 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
       FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)),
+             lambda i: array_to_string(w[i:i+2], ' '))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT min(doc_id) AS id, list_sort(s) AS s, len(s) AS n FROM s GROUP BY list_sort(s), len(s)),
+e AS (SELECT id, n, unnest(s) AS g FROM c),
+f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+o AS (SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY df, g) AS pos FROM e JOIN f USING (g)),
+p AS (SELECT * FROM o WHERE pos <= n - (90 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.g = b.g AND a.id < b.id
+          AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM pairs JOIN c x ON x.id = a JOIN c y ON y.id = b
+      WHERE 190 * len(list_intersect(x.s, y.s)) >= 90 * (x.n + y.n)),
+near AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, root) AS (SELECT id, id FROM c UNION SELECT near.b, root FROM reach JOIN near ON near.a = id),
+r AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT documents.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(r.root, documents.doc_id) AS component_id
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.s = list_sort(s.s) LEFT JOIN r ON r.id = c.id"""
