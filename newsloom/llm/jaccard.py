@@ -45,7 +45,8 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) + len(words) > KNOWN_WORDS and self:
             self.clear()
-        return self.hashes[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.hashes[numbers]
 
 
 def shingle_set(text: str, known: WordHashes, words: int = 3) -> np.ndarray:
