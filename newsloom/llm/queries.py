@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, jaccard, packing, quality, secrets, sharding, topk, toxicity
+from newsloom.llm import chat, jaccard, packing, quality, secrets, sentencepiece_codec, sharding, token_counts, topk, toxicity
 from newsloom.llm.common import table
+from newsloom.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +21,12 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded with a public model and decoded again."""
+    return sentencepiece_codec.encode_texts(table(spark, sf, "documents"), keep_ids=False)
+
+
 @query
 def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 24 shards that each hold the mixture of sources; the counts differ by one at most."""
@@ -30,6 +37,45 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after three batches over all documents, the second of them delivered twice.
+
+    Batch 1 inserts every document; batch 2 deletes the later copies of equal texts; batch 3 revises what is left of
+    the languages other than English, now counted with the vocabulary for many languages.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    copies = (
+        docs.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+        .groupBy("digest").agg(F.min("doc_id").alias("first"))
+    )
+    keyed = docs.select("doc_id", "lang", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    later = keyed.join(copies, "digest").filter("doc_id > first").select("doc_id", "lang", "source")
+    version = F.lit("byte_bpe_50k.tiktoken").alias("tokenizer_version")
+
+    rollup = token_counts.TokenRollup(spark, new_folder(spark, "token-counts"))
+    rollup.commit(
+        1,
+        token_counts.count_tokens(docs.select("*", version))
+        .select("*", F.lit(1).cast("long").alias("seq"), F.lit("insert").alias("op")),
+    )
+    deletes = later.select(
+        "*", version, F.lit(0).cast("long").alias("tokens"), F.lit(2).cast("long").alias("seq"), F.lit("delete").alias("op")
+    )
+    rollup.commit(2, deletes)
+    rollup.commit(2, deletes)
+    left = rollup.states().filter("present").select("doc_id")
+    revised = docs.filter("lang <> 'en'").join(left, "doc_id", "left_semi").select(
+        "*", F.lit("byte_bpe_multi_50k.tiktoken").alias("tokenizer_version")
+    )
+    rollup.commit(
+        3,
+        token_counts.count_tokens(revised)
+        .select("*", F.lit(3).cast("long").alias("seq"), F.lit("revise").alias("op")),
+    )
+    return rollup.totals()
+
+
 @query
 def op4_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations and one whose texts hold control strings, formatted and read back."""
