@@ -6,7 +6,10 @@ import functools
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,60 @@ def byte_bpe(name: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding(
         name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
+
+
+U = np.uint64
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers evenly (the finaliser of splitmix64)."""
+    z = (z ^ (z >> U(30))) * U(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> U(27))) * U(0x94D049BB133111EB)
+    return z ^ (z >> U(31))
+
+
+class Sieve:
+    """A bitmap of hashed ids: 2**bits bits whatever the number of ids, so it can be broadcast.
+
+    It lets every row of a given id pass and few others, while there are fewer ids than bits; beyond that it lets more
+    pass. What passes is joined afterwards, so a sieve only saves moving rows that the join would drop.
+    """
+
+    def __init__(self, ids: DataFrame, bits: int = 26) -> None:
+        """``ids`` has one column of longs."""
+        self.bits = bits
+        spark = ids.sparkSession
+        ship(spark)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = self.slots(batch.column(0))
+                masks = (U(1) << (at & U(63))).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((at >> U(6)).astype(np.int32)), pa.array(masks)], ["word", "mask"]
+                )
+
+        found = ids.mapInArrow(run, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        words = np.zeros(1 << (bits - 6), np.int64)
+        words[found["word"].to_numpy()] = found["mask"].to_numpy()
+        self.words = spark.sparkContext.broadcast(words.view(U))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("bits", "words")}
+
+    def slots(self, ids: pa.Array) -> np.ndarray:
+        return mixed(ids.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(U)) >> U(64 - self.bits)
+
+    def sift(self, df: DataFrame, key: str, passing: bool = True) -> DataFrame:
+        """The rows of ``df`` that the sieve lets pass, or those that it holds back, rows with a null key among them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = self.words.value
+            for batch in batches:
+                ids = batch.column(key)
+                known = np.array(ids.is_valid())
+                at = self.slots(ids)
+                known[known] = (words[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+                yield batch.filter(pa.array(known == passing))
+
+        return df.mapInArrow(run, df.schema)

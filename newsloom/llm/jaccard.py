@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ship, text_or_empty
+from newsloom.llm.common import Sieve, U, mixed, ship, text_or_empty
 from newsloom.llm.components import components
 from newsloom.session import stage
 
 KNOWN_WORDS = 1 << 20  # a task forgets its words beyond this many
 KNOWN_SETS = 1 << 20  # and the sets it has met
 FRAGMENT = 4096  # shingles of the order whose overlaps are counted at a time
-U = np.uint64
-
-
-def mixed(z: np.ndarray) -> np.ndarray:
-    """Spread 64-bit numbers evenly (the finaliser of splitmix64)."""
-    z = (z ^ (z >> U(30))) * U(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> U(27))) * U(0x94D049BB133111EB)
-    return z ^ (z >> U(31))
-
-
 class WordHashes(dict):
     """64-bit hashes of the words of one task, kept by number so that a text's are one array look-up."""
 
@@ -62,67 +53,75 @@ def shingle_set(text: str, known: WordHashes, words: int = 3) -> np.ndarray:
     return np.unique(total)
 
 
-class Scheme:
-    """Which fragments a set of a given size is cut into, so that similar sets have one fragment alike.
+def sketch(texts: DataFrame, words: int, bits: int) -> np.ndarray:
+    """About how many sets hold each shingle: ``2**bits`` counters by hash, however many shingles there are.
+
+    Tasks send their counters packed, in pieces; the pieces are summed as they come in.
+    """
+    pieces = 1 << min(6, bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, totals = WordHashes(), np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(totals, slots_of(shingle_set(text, known, words), bits), 1)
+        packed = [zlib.compress(part.tobytes(), 1) for part in np.split(totals, pieces)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(packed)], ["piece", "counters"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(packed), np.uint32)
+                sums[piece] = sums.get(piece, 0) + part.astype(np.int64)
+        packed = [zlib.compress(s.tobytes(), 1) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["piece", "counters"])
+
+    schema = "piece int, counters binary"
+    found = texts.mapInArrow(count, schema).repartition(pieces, "piece").mapInArrow(add, schema).collect()
+    totals = np.zeros((pieces, (1 << bits) // pieces), np.int64)
+    for row in found:
+        totals[row.piece] = np.frombuffer(zlib.decompress(row.counters), np.int64)
+    return totals.reshape(-1)
+
+
+def slots_of(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(shingles) >> U(64 - bits)).astype(np.int64)
 
-    Sets of similarity ``share`` differ in at most ``(|A| + |B|) (100 - share) / (100 + share)`` shingles. Cut into one
-    fragment more than that, at the same places of the global order, at least one fragment is the same in both. Sizes
-    are put into classes narrow enough that similar sets lie in the same class or in neighbouring ones; the cut of a
-    class is fine enough for its own largest sets, and each set is cut as its own class and as the next one.
+
+def prefix(shingles: np.ndarray, counters: np.ndarray, bits: int, share: int) -> np.ndarray:
+    """The first fragment of the set in the global order: rare shingles first, by the sketch and then by hash.
+
+    Sets of similarity ``share`` have at least that share of each in common, so the first shingle that they have in
+    common lies within this many of the first in both.
     """
+    n = len(shingles)
+    order = np.argsort(counters[slots_of(shingles, bits)], kind="stable")
+    return shingles[order[: n - (share * n + 99) // 100 + 1]]
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """A number for the set: texts of the same set are one node."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
 
-    def __init__(self, share: int) -> None:
-        self.share, self.lows = share, [1]
-
-    def _low(self, k: int) -> int:
-        while len(self.lows) <= k:
-            last = self.lows[-1]
-            self.lows.append(max(last + 1, (last - 1) * 100 // self.share + 1))
-        return self.lows[k]
-
-    def class_of(self, size: int) -> int:
-        while self.lows[-1] <= size:
-            self._low(len(self.lows))
-        return int(np.searchsorted(self.lows, size, side="right")) - 1
-
-    def fragments(self, k: int) -> int:
-        most = self._low(k + 1) - 1
-        return 2 * most * (100 - self.share) // (100 + self.share) + 1
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each fragment of the set under its own class and the next."""
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(shingles + U(0x632BE59BD9B4E019)), dtype=U)])
-        k, out = self.class_of(len(shingles)), []
-        for c in (k, k + 1):
-            n = self.fragments(c)
-            cuts = np.arange(1, n, dtype=U) * U(min((1 << 64) // n, (1 << 64) - 1))
-            at = np.concatenate([[0], np.searchsorted(shingles, cuts), [len(shingles)]])
-            inside = sums[at[1:]] - sums[at[:-1]]
-            out.append(mixed(inside + mixed(np.arange(n, dtype=U) + U(c + 1) * U(1 << 32))))
-        return np.concatenate(out)
-
-
-def _cut_sets(share: int, words: int):
+
+def _cut_sets(counters, bits: int, share: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, scheme, met = WordHashes(), Scheme(share), set()
+        known, met = WordHashes(), set()
         for batch in batches:
             sizes, nodes, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, known, words)
+                node = node_of(shingles) if len(shingles) else None
                 sizes.append(len(shingles))
-                if not len(shingles):
-                    nodes.append(None)
-                    keys.append(None)
-                    continue
-                node = xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
                 nodes.append(node)
-                if node in met:  # a copy of a set that this task has sent
+                if node is None or node in met:  # nothing to link, or a copy of a set that this task has sent
                     keys.append(None)
                     continue
                 if len(met) >= KNOWN_SETS:
                     met.clear()
                 met.add(node)
-                keys.append(scheme.keys(shingles).view(np.int64))
+                keys.append(prefix(shingles, counters.value, bits, share).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64()))],
@@ -194,7 +193,7 @@ def _link_blocks(share: int, words: int):
                     at, members = (family, first, second), {}
                 if node not in members:
                     shingles = shingle_set(text, known, words)
-                    if xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63) == node:
+                    if node_of(shingles) == node:
                         members[node] = shingles
         if len(members) > 1:
             yield links()
@@ -204,7 +203,7 @@ def _link_blocks(share: int, words: int):
 
 def jaccard_components(
     docs: DataFrame, share: int = 90, words: int = 3, key: str = "doc_id", text: str = "text",
-    block_shingles: int = 2_000_000,
+    block_shingles: int = 2_000_000, sketch_bits: int = 20,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row for each row of ``docs``.
 
@@ -212,10 +211,12 @@ def jaccard_components(
     space); a shorter text is one shingle as a whole, one without words has the empty set and links with nothing. Two
     texts link when 100 |A and B| >= ``share`` |A or B|; ``component_id`` is the smallest id that links lead to.
 
-    1. The global order of shingles (by hash) is cut vertically into fragments, finely enough for the set's size that
-       two similar sets have at least one fragment alike (``Scheme``). Equal sets are one node from here on.
-    2. Nodes with a fragment alike are candidates of each other. Each is joined to the smallest node that has the
-       fragment, which is enough to find the families of candidates, as connected components.
+    1. The global order of shingles puts rare ones first: by a sketch of how many sets hold them, of a fixed size, then
+       by hash. Any order is right; this one keeps passages that many texts share out of the first fragment. Equal sets
+       are one node from here on.
+    2. The order is cut vertically. The first fragment of a set is long enough to hold a shingle in common with every
+       similar set; nodes with such a shingle in common, and sizes that can be similar, are candidates. They are joined
+       in chains by size, which is enough to find the families of candidates, as connected components.
     3. Links exist only within a family. Its texts are dealt into blocks by size class and hash, of about
        ``block_shingles`` shingles, and every two blocks that can hold similar sizes meet in one task, which counts
        the overlaps of all its pairs fragment by fragment, sums them, and returns each text with the smallest one it
@@ -228,18 +229,22 @@ def jaccard_components(
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    counters = spark.sparkContext.broadcast(sketch(rows.select("text"), words, sketch_bits))
     cut = stage(
         rows.mapInArrow(
-            _cut_sets(share, words), "doc_id long, n_shingles long, node long, keys array<long>"
+            _cut_sets(counters, sketch_bits, share, words), "doc_id long, n_shingles long, node long, keys array<long>"
         ),
         "sets",
     )
 
-    fragments = cut.filter("keys IS NOT NULL").select("node", F.explode("keys").alias("key")).repartition("key")
-    heads = fragments.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a <> _last")
+    by_size = Window.partitionBy("key").orderBy("n", "node")
     candidates = (
-        fragments.join(heads.drop("_last").hint("shuffle_hash"), "key")
-        .filter("node <> a").select("a", F.col("node").alias("b"))
+        cut.filter("keys IS NOT NULL").select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+        .select(
+            "n", F.col("node").alias("a"), F.lag("node").over(by_size).alias("b"), F.lag("n").over(by_size).alias("_n")
+        )
+        .filter(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & (F.col("n") * share <= F.col("_n") * 100))
+        .select("a", "b")
     )
     families = components(candidates)
 
@@ -262,6 +267,22 @@ def jaccard_components(
     )
 
 
+def one_of_each(docs: DataFrame, share: int = 90, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of ``jaccard_components``, that of the smallest id, all columns as they are.
+
+    Rows without an id stay. Of rows that share the smallest id, those that are equal in every column are one.
+    """
+    found = stage(jaccard_components(docs, share, words, key, text), "found")
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    # Only rows that may have to go, or that share an id, are moved and joined.
+    doubtful = found.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min("component_id").alias("_first"))
+    sieve = Sieve(doubtful.filter("_rows > 1 OR _first <> doc_id").select("doc_id"))
+    stays = sieve.sift(docs, key).join(kept.hint("shuffle_hash"), F.col(f"`{key}`") == F.col("_id"))
+    once = stays.filter("_rows = 1").select(*docs.columns)
+    more = stays.filter("_rows > 1").select(*docs.columns).distinct()
+    return sieve.sift(docs, key, passing=False).unionByName(once).unionByName(more)
+
+
 def _verified(
     rows: DataFrame, classes: DataFrame, families: DataFrame, share: int, words: int, block_shingles: int
 ) -> DataFrame:
@@ -298,7 +319,7 @@ def _verified(
             F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second"),
         )
     )
-    pairs = rows.join(placed, "doc_id")
+    pairs = Sieve(placed.select("doc_id").distinct()).sift(rows, "doc_id").join(placed.hint("shuffle_hash"), "doc_id")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         pairs.repartition(parts, "family", "first", "second").sortWithinPartitions("family", "first", "second")
