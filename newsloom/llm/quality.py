@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ship, text_or_empty
+from newsloom.llm.common import Sieve, ship, text_or_empty
 
 BLANK = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -104,20 +104,23 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 RESULT = f"doc_id long, {COUNTS}, log_ratio double, base_failed boolean, kept boolean"
 
 
+def judged(text: str | None, words: Words, ratio: np.ndarray, bits: int, lowest: float) -> tuple:
+    """The counts, the mean log ratio, whether the base rules fail, whether the text is kept."""
+    body = (text or "").encode("utf-8", "surrogatepass")
+    parts = body.split()
+    ids = words.of(parts)
+    found = grams(ids, words, bits)
+    score = float(ratio[found].mean()) if len(found) else 0.0
+    counts = text_counts(body, parts, ids)
+    failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+    return (*counts, score, failed, not failed and score >= lowest)
+
+
 def _judge(ratios, bits: int, lowest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ratio = Words(), ratios.value
+        words = Words()
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                body = text.encode("utf-8", "surrogatepass")
-                parts = body.split()
-                ids = words.of(parts)
-                found = grams(ids, words, bits)
-                score = float(ratio[found].mean()) if len(found) else 0.0
-                counts = text_counts(body, parts, ids)
-                failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-                rows.append((*counts, score, failed, not failed and score >= lowest))
+            rows = [judged(t, words, ratios.value, bits, lowest) for t in batch.column("text").to_pylist()]
             names = (*COLUMNS, "log_ratio", "base_failed", "kept")
             columns = zip(*rows) if rows else [[] for _ in names]
             kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
@@ -162,13 +165,32 @@ def quality_rules(
     """
     ship(docs.sparkSession)
     body = text_or_empty(text).alias("text")
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs.select(body), trusted.select(body), bits))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs.select(body), trusted.select(text_or_empty().alias("text")), bits))
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), body).mapInArrow(
         _judge(ratios, bits, lowest), RESULT
     )
 
 
+def keep_good(
+    docs: DataFrame, trusted: DataFrame, text: str = "text", bits: int = 16, lowest: float = -0.12
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns as they are; no row moves."""
+    spark = docs.sparkSession
+    ship(spark)
+    body = text_or_empty(text).alias("text")
+    ratios = spark.sparkContext.broadcast(log_ratios(docs.select(body), trusted.select(text_or_empty().alias("text")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            kept = [judged(t, words, ratios.value, bits, lowest)[-1] for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The texts of ``docs`` that ``labels`` calls good (quality 1)."""
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi").select("text")
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return Sieve(good).sift(rows, "doc_id").join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
