@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ship, text_or_empty
+from newsloom.llm.common import Sieve, ship, text_or_empty
 from newsloom.session import stage
 
 ORDER = 4
@@ -159,23 +159,11 @@ def part_of(key: str = "doc_id"):
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 5
 
 
-def toxicity(
+def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 500_000,
     calibration_rows: int = 50_000,
-) -> DataFrame:
-    """``doc_id, mean_ratio, word_ratio, score, predicted``: one row for each row of ``docs``.
-
-    Two Kneser-Ney models, of the toxic and of the ordinary labelled texts, give every word a log-likelihood ratio,
-    from its characters and those before them, so that rare forms of an expression are known by their parts. A text is
-    judged by length-normalised ratios: the mean over its words, and that of the most telling stretch of one word (a
-    single insult in a long text). A logistic function of both, fitted on rows that trained neither model, is the score.
-
-    Learning uses labelled rows outside the held-out fifth: all of them for the counts, of which the ``max_grams`` most
-    frequent grams make up the model (rarer ones are left to backoff), and up to ``calibration_rows`` for the three
-    weights. ``labels`` has ``doc_id, toxic``; several labels of an id count as toxic if one is. Ids or labels that are
-    null teach nothing. Null and empty texts have ratios 0 and get the score that goes with them; without labels every
-    score is near 0; an empty table gives no rows.
-    """
+):
+    """The ratios of grams, broadcast to the executors (at most ``max_grams`` and their contexts), and three weights."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -184,7 +172,8 @@ def toxicity(
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
     learn = stage(
-        rows.filter(part_of() != 0).join(known.filter(part_of() != 0), "doc_id")
+        Sieve(known.select("doc_id")).sift(rows.filter(part_of() != 0), "doc_id")
+        .join(known.filter(part_of() != 0).hint("shuffle_hash"), "doc_id")
         .select("doc_id", "text", "toxic", (part_of() == 1).alias("calibrates")),
         "toxicity",
     )
@@ -202,6 +191,41 @@ def toxicity(
         .toPandas()
     )
     weights = calibrate(sample[["mean_ratio", "word_ratio"]].to_numpy(float), sample["toxic"].to_numpy(float))
+    return model, weights
+
+
+def toxicity(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 500_000,
+    calibration_rows: int = 50_000,
+) -> DataFrame:
+    """``doc_id, mean_ratio, word_ratio, score, predicted``: one row for each row of ``docs``.
+
+    Two Kneser-Ney models, of the toxic and of the ordinary labelled texts, give every word a log-likelihood ratio,
+    from its characters and those before them, so that rare forms of an expression are known by their parts. A text is
+    judged by length-normalised ratios: the mean over its words, and that of the most telling stretch of one word (a
+    single insult in a long text). A logistic function of both, fitted on rows that trained neither model, is the score.
+
+    Learning uses labelled rows outside the held-out fifth: all of them for the counts, of which the ``max_grams`` most
+    frequent grams make up the model (rarer ones are left to backoff), and up to ``calibration_rows`` for the three
+    weights. ``labels`` has ``doc_id, toxic``; several labels of an id count as toxic if one is. Ids or labels that are
+    null teach nothing. Null and empty texts have ratios 0 and get the score that goes with them; without labels every
+    score is near 0; an empty table gives no rows.
+    """
+    model, weights = fit(docs, labels, key, text, max_grams, calibration_rows)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(
         _score(model, weights), "doc_id long, mean_ratio double, word_ratio double, score double, predicted int"
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` does not predict to be toxic, all columns as they are; no row moves."""
+    model, weights = fit(docs, labels, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = WordScores(model.value)
+        for batch in batches:
+            x = [text_features(t or "", scores) for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(probability(np.array(x).reshape(-1, 2), weights) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
