@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import Sieve, ship, text_or_empty
 from newsloom.session import stage
 
-ORDER = 4
+ORDER = 6
 PAD = " " * (ORDER - 1)
 EDGES = ".,!?;:\"'()*#%&$|<>-"
 KNOWN_WORDS = 500_000  # a task forgets the scores of its words beyond this many and works them out again
@@ -26,7 +26,7 @@ def normal(word: str) -> str:
 
 
 def word_grams(word: str) -> list[str]:
-    """Every character of the word and its end, each with the three before it; blanks stand before the first."""
+    """Every character of the word and its end, each with those before it; blanks stand before the first."""
     padded = f"{PAD}{word} "
     return [padded[i : i + ORDER] for i in range(len(word) + 1)]
 
@@ -55,7 +55,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_ratios(grams: pd.DataFrame, discount: float = 0.75) -> dict[str, float]:
-    """ln p(character | three before; toxic) - ln p(... ; ordinary), by gram and, for unseen grams, by context.
+    """ln p(character | those before; toxic) - ln p(... ; ordinary), by gram and, for unseen grams, by context.
 
     Each class has its own counts of whole grams. What a class has not seen falls to one Kneser-Ney model of shorter
     grams over both classes (how many different characters precede them), weighted by the class's own discount mass. A
@@ -104,19 +104,25 @@ class WordScores(dict):
         return value
 
 
-def text_features(text: str, scores: WordScores) -> tuple[float, float]:
-    """Mean log-likelihood ratio of the text's words, and that of its most telling word."""
-    values = [scores[w] for w in text.split()]
-    return (math.fsum(values) / len(values), max(values)) if values else (0.0, 0.0)
+FEATURES = ("mean_ratio", "telling_ratio", "three_ratio", "word_ratio")
+RATIOS = ", ".join(f"{name} double" for name in FEATURES)
+
+
+def text_features(text: str, scores: WordScores) -> tuple[float, ...]:
+    """Log-likelihood ratio for each word: of all words, of the most telling fiftieth, the three and the one most telling."""
+    values = sorted([scores[w] for w in text.split()], reverse=True)
+    if not values:
+        return (0.0,) * len(FEATURES)
+    telling = -(-len(values) // 50)
+    return tuple(math.fsum(values[:n]) / min(n, len(values)) for n in (len(values), telling, 3, 1))
 
 
 def _score(model, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(model.value)
         for batch in batches:
-            x = np.array([text_features(t, scores) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
-            columns = [batch.column("doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1])]
-            names = ["doc_id", "mean_ratio", "word_ratio"]
+            x = features(batch.column("text").to_pylist(), scores)
+            columns, names = [batch.column("doc_id"), *map(pa.array, x.T.copy())], ["doc_id", *FEATURES]
             if weights is None:
                 columns, names = [*columns, batch.column("toxic")], [*names, "toxic"]
             else:
@@ -128,30 +134,41 @@ def _score(model, weights):
     return run
 
 
+def features(texts: list[str | None], scores: WordScores) -> np.ndarray:
+    return np.array([text_features(t or "", scores) for t in texts]).reshape(-1, len(FEATURES))
+
+
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Logistic function of the two ratios; the logit is kept within what a double can tell from 0 and 1."""
-    z = np.clip(weights[0] + x @ weights[1:], -30, 30)
-    return 1 / (1 + np.exp(-z))
+    """Logistic function of the ratios; the logit is kept within what a double can tell from 0 and 1."""
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression on the two ratios by Newton's method; one class only gives its share for every text."""
-    share = (y.sum() + 0.0) / (len(y) + 1)
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic regression on the ratios by Newton's method; one class only gives its share for every text."""
+    share = y.sum() / (len(y) + 1)
     if not len(y) or y.min() == y.max():
-        return np.array([math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    design = np.column_stack([np.ones(len(x)), x / scale])
-    w = np.zeros(3)
-    penalty = ridge * np.diag([0.0, 1.0, 1.0]) * len(x) / 100
-    for _ in range(50):
+        return np.array([math.log((share + 1e-6) / (1 - share + 1e-6)), *np.zeros(x.shape[1])])
+    middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    design = np.column_stack([np.ones(len(x)), (x - middle) / scale])
+    penalty = ridge * len(x) * np.diag([0.0, *np.ones(x.shape[1])])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + w @ penalty @ w / 2)
+
+    w = np.zeros(x.shape[1] + 1)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - y) + penalty @ w
-        hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + penalty + 1e-9 * np.eye(3)
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + penalty + 1e-9 * np.eye(len(w))
+        step = np.linalg.solve(hessian, design.T @ (p - y) + penalty @ w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):  # steps that overshoot are halved
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return np.array([w[0], *(w[1:] / scale)])
+    slopes = w[1:] / scale
+    return np.array([w[0] - slopes @ middle, *slopes])
 
 
 def part_of(key: str = "doc_id"):
@@ -163,7 +180,7 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 500_000,
     calibration_rows: int = 50_000,
 ):
-    """The ratios of grams, broadcast to the executors (at most ``max_grams`` and their contexts), and three weights."""
+    """The ratios of grams, broadcast to the executors (at most ``max_grams`` and their contexts), and the weights of the score."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -186,11 +203,11 @@ def fit(
     model = spark.sparkContext.broadcast(log_ratios(grams.toPandas()))
     sample = (
         learn.filter("calibrates").select("doc_id", "text", "toxic")
-        .mapInArrow(_score(model, None), "doc_id long, mean_ratio double, word_ratio double, toxic int")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "mean_ratio", "word_ratio").limit(calibration_rows)
+        .mapInArrow(_score(model, None), f"doc_id long, {RATIOS}, toxic int")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(calibration_rows)
         .toPandas()
     )
-    weights = calibrate(sample[["mean_ratio", "word_ratio"]].to_numpy(float), sample["toxic"].to_numpy(float))
+    weights = calibrate(sample[list(FEATURES)].to_numpy(float), sample["toxic"].to_numpy(float))
     return model, weights
 
 
@@ -198,24 +215,23 @@ def toxicity(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 500_000,
     calibration_rows: int = 50_000,
 ) -> DataFrame:
-    """``doc_id, mean_ratio, word_ratio, score, predicted``: one row for each row of ``docs``.
+    """``doc_id``, the ratios, ``score, predicted``: one row for each row of ``docs``.
 
     Two Kneser-Ney models, of the toxic and of the ordinary labelled texts, give every word a log-likelihood ratio,
     from its characters and those before them, so that rare forms of an expression are known by their parts. A text is
-    judged by length-normalised ratios: the mean over its words, and that of the most telling stretch of one word (a
-    single insult in a long text). A logistic function of both, fitted on rows that trained neither model, is the score.
+    judged by length-normalised ratios: the mean over its words, and the means over the fiftieth, the three and the one
+    that tell most (a single insult in a long text). A logistic function of these, fitted on rows that trained neither
+    model, is the score.
 
     Learning uses labelled rows outside the held-out fifth: all of them for the counts, of which the ``max_grams`` most
-    frequent grams make up the model (rarer ones are left to backoff), and up to ``calibration_rows`` for the three
+    frequent grams make up the model (rarer ones are left to backoff), and up to ``calibration_rows`` for the
     weights. ``labels`` has ``doc_id, toxic``; several labels of an id count as toxic if one is. Ids or labels that are
     null teach nothing. Null and empty texts have ratios 0 and get the score that goes with them; without labels every
     score is near 0; an empty table gives no rows.
     """
     model, weights = fit(docs, labels, key, text, max_grams, calibration_rows)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(
-        _score(model, weights), "doc_id long, mean_ratio double, word_ratio double, score double, predicted int"
-    )
+    return rows.mapInArrow(_score(model, weights), f"doc_id long, {RATIOS}, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +241,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(model.value)
         for batch in batches:
-            x = [text_features(t or "", scores) for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array(probability(np.array(x).reshape(-1, 2), weights) < 0.5))
+            x = features(batch.column(text).to_pylist(), scores)
+            yield batch.filter(pa.array(probability(x, weights) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
