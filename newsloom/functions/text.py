@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 import re
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
@@ -13,16 +14,6 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 NON_SPACE = r"[^\s\x1c-\x1f]"
 
-# Named references seen in practice; anything numeric is decoded by rule below.
-NAMED_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-    ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"),
-    ("&ccedil;", "ç"), ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"), ("&ntilde;", "ñ"), ("&szlig;", "ß"),
-)
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Name a value inside an expression, so that it is written, and computed, once however often it is used.
 
@@ -100,20 +91,23 @@ def _code_point(digits: Column) -> Column:
 
 
 def _decode(c: Column) -> Column:
-    named = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, c)
-
-    def numeric(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#([xX]?[0-9a-fA-F]{1,7});"), F.lit(1)))
-        return F.aggregate(
-            found,
-            t,
-            lambda acc, n: F.replace(
-                acc, F.concat(F.lit("&#"), n, F.lit(";")), F.coalesce(_code_point(n), F.lit("\ufffd"))
-            ),
+    """Every reference is replaced once: a text is split at its ampersands, and each piece begins with at most one."""
+    named = {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")}
+    table = F.map_from_arrays(*[F.split(F.lit("\x01".join(x)), "\x01") for x in (named.keys(), named.values())])
+    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+    def char(name: Column) -> Column:
+        numeric = F.coalesce(_code_point(F.substring(name, 2, 12)), F.lit("\ufffd"))
+        return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(table, name))
+
+    def read(piece: Column, i: Column) -> Column:
+        decoded = let(
+            F.regexp_extract(piece, reference, 1),
+            lambda name: F.concat(char(name), F.substr(piece, F.length(name) + 2)),
         )
+        return F.when(i == 0, piece).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), piece)))
 
-    decoded = let(named, lambda t: F.when(t.contains("&#"), numeric(t)).otherwise(t))
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    return F.array_join(F.transform(F.split(c, "&"), read), "")
 
 
 def decode_entities(c: Column) -> Column:

@@ -9,39 +9,59 @@ from newsloom.functions import text
 from newsloom.operators.takeaways import sentences
 
 CHARS_PER_TOKEN = 3
-_EMPTY = "struct<done:array<string>,open:string,size:int>"
+_RUN = "struct<first:int,size:int,cut:boolean>"
 
 
 def chunks_of(content: Column, max_tokens: int) -> Column:
     """Array of chunks: whole sentences packed greedily up to three characters per token.
 
-    Joining spaces do not count. A sentence over the limit closes the open chunk and is cut at the limit.
+    Joining spaces do not count. A sentence over the limit closes the open chunk and is cut at the limit. The fold sees
+    sentence lengths only and notes where each chunk begins and how many sentences it has; texts are put together once.
     """
     limit = max_tokens * CHARS_PER_TOKEN
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit(None).cast("string").alias("open"),
-        F.lit(0).alias("size"),
-    ).cast(_EMPTY)
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+    def state(at: Column, chars: Column, held: Column, runs: Column) -> Column:
+        return F.struct(
+            at.cast("int").alias("at"), chars.cast("int").alias("chars"), held.cast("int").alias("held"), runs.alias("runs")
+        )
 
-    def state(done: Column, opened: Column, size: Column) -> Column:
-        return F.struct(done.alias("done"), opened.alias("open"), size.cast("int").alias("size"))
+    def run(first: Column, size: Column, cut: bool) -> Column:
+        return F.array(F.struct(first.alias("first"), size.alias("size"), F.lit(cut).alias("cut")).cast(_RUN))
 
-    def add(acc: Column, s: Column) -> Column:
-        size = F.length(s)
-        cuts = F.transform(
-            F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(limit)), lambda i: F.substr(s, i, F.lit(limit))
+    def closed(acc: Column) -> Column:
+        return F.when(acc["held"] == 0, acc["runs"]).otherwise(
+            F.concat(acc["runs"], run(acc["at"] - acc["held"], acc["held"], False))
         )
+
+    def add(acc: Column, size: Column) -> Column:
+        at = acc["at"] + 1
         return (
-            F.when(size > limit, state(F.concat(closed(acc), cuts), F.lit(None).cast("string"), F.lit(0)))
-            .when(acc["size"] + size > limit, state(closed(acc), s, size))
-            .otherwise(state(acc["done"], F.concat_ws(" ", acc["open"], s), acc["size"] + size))
+            F.when(
+                size > limit,
+                state(at, F.lit(0), F.lit(0), F.concat(closed(acc), run(acc["at"], F.lit(1), True))),
+            )
+            .when(acc["chars"] + size > limit, state(at, size, F.lit(1), closed(acc)))
+            .otherwise(state(at, acc["chars"] + size, acc["held"] + 1, acc["runs"]))
         )
 
-    packed = F.aggregate(sentences(content), start, add, closed)
+    def pack(parts: Column) -> Column:
+        begin = state(F.lit(0), F.lit(0), F.lit(0), F.array().cast(f"array<{_RUN}>"))
+        runs = F.aggregate(F.transform(parts, lambda s: F.length(s)), begin, add, closed)
+
+        def written(r: Column) -> Column:
+            whole = F.array(F.array_join(F.slice(parts, r["first"] + 1, r["size"]), " "))
+            cuts = text.let(
+                F.get(parts, r["first"]),
+                lambda s: F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(limit)),
+                    lambda i: F.substr(s, i, F.lit(limit)),
+                ),
+            )
+            return F.when(r["cut"], cuts).otherwise(whole)
+
+        return F.flatten(F.transform(runs, written))
+
+    packed = text.let(sentences(content), pack)
     return F.when(F.length(content) < limit, F.array(content)).otherwise(packed)
 
 

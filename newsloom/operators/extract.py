@@ -108,19 +108,33 @@ def extract_page_metadata(pages: DataFrame, as_of) -> DataFrame:
     return compute_once(pages.select("url", "html"), {"title": title, "date": date}).drop("html")
 
 
+def _block(html: Column, tag: str) -> Column:
+    """What the first element of a name holds, elements of the same name inside included; null if there is none."""
+    opened = rf"(?is)<{tag}\b[^>]*>"
+    pieces = F.split(F.regexp_extract(html, rf"{opened}(.*)\z", 1), rf"(?i)(?=</?{tag}\b)")
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece.rlike(rf"(?i)\A</{tag}\b"), -1).when(
+            piece.rlike(rf"(?i)\A<{tag}\b"), 1
+        ).otherwise(0)
+        inside = (acc["depth"] > 0) & (depth > 0)
+        return F.struct(
+            F.when(inside, depth).otherwise(0).alias("depth"),
+            F.when(inside, F.concat(acc["kept"], F.array(piece))).otherwise(acc["kept"]).alias("kept"),
+        )
+
+    begin = F.struct(F.lit(1).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.when(html.rlike(opened), F.array_join(F.aggregate(pieces, begin, step)["kept"], ""))
+
+
 def extract_main_text(pages: DataFrame, joiner: str = " ") -> DataFrame:
     """Adds ``content``: text of the first ``article``, ``main`` or ``body`` without boilerplate blocks.
 
     Text nodes are joined with one space; ``joiner=""`` glues the stripped nodes together.
     """
     cleaned = F.regexp_replace("html", _BOILERPLATE, "")
-
-    def block(tag: str) -> Column:
-        return text.null_if_empty(
-            F.regexp_extract(F.col("_clean"), rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)", 1)
-        )
-
-    body = F.coalesce(block("article"), block("main"), block("body"), F.col("_clean"))
+    blocks = [_block(F.col("_clean"), tag) for tag in ("article", "main", "body")]
+    body = F.coalesce(*blocks, F.col("_clean"))
     if joiner:
         content = text.collapse_spaces(text.decode_entities(text.strip_tags(body, joiner)))
     else:

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import text
+from newsloom.functions import dates, text
 from newsloom.functions.rows import compute_once
+from newsloom.operators import scoring
 from newsloom.operators.ranking import first_per_group, first_per_key
 from newsloom.session import stage
 
@@ -28,14 +29,13 @@ def join_metadata(links: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def join_content(articles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Fill in missing content by URL; content that is there stays."""
-    missing = articles.where(F.coalesce(F.length("content"), F.lit(0)) == 0).select("url").distinct()
-    needed = texts.join(missing, "url", "left_semi")
+    """Fill in missing content by URL; content that is there stays, and those rows are not moved."""
+    there = F.coalesce(F.length("content"), F.lit(0)) > 0
+    missing = articles.where(~there)
+    needed = texts.join(missing.select("url").distinct(), "url", "left_semi")
     fetched = needed.groupBy("url").agg(F.min("content").alias("_text"))
-    joined = articles.join(fetched, "url", "left")
-    return joined.withColumn("content", F.coalesce(text.null_if_empty(F.col("content")), F.col("_text"))).drop(
-        "_text"
-    )
+    filled = missing.join(fetched, "url", "left").withColumn("content", F.col("_text")).drop("_text")
+    return articles.where(there).unionByName(filled)
 
 
 def exclude_seen(links: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
@@ -87,93 +87,55 @@ def match_terms(
     )
 
 
-# Up to this many terms each text is simply searched for every one of them.
-LISTED_TERMS = 200
-# Characters of term text that may be shipped to every executor; larger term tables are shuffled.
-BROADCAST_CHARS = 4_000_000
-
-
-def match_term_table(
-    articles: DataFrame,
-    terms: DataFrame,
-    column: str = "content",
-    gram: int = 4,
-    listed_terms: int = LISTED_TERMS,
-    broadcast_chars: int = BROADCAST_CHARS,
-) -> DataFrame:
+def match_term_table(articles: DataFrame, terms: DataFrame, column: str = "content", gram: int = 4) -> DataFrame:
     """Which terms of a table occur, in any case, in which articles: ``id, term``.
 
     A phrase with a word between two spaces can only occur in a text that has that word, so phrases and texts meet in
-    an equi-join on words and the candidates are verified with ``contains``. Terms without a space occur inside a
-    word: up to ``listed_terms`` of them are looked for directly, more are matched against the vocabulary of the
-    texts. Term tables of measured small size are broadcast and the texts stay where they are; larger ones are
-    shuffled and only matching ids go back for their texts. Every way gives the same rows.
+    an equi-join on words. Other terms with a space meet the texts on their first characters. Terms without a space
+    occur inside a word: they are matched with the vocabulary of the texts, each word once. Candidates are verified
+    with ``contains``; only texts that have some are fetched for that. The terms are staged, so their size is known
+    and Spark decides what is broadcast; the plan is the same for any size.
     """
     pieces = F.split("needle", " ")
     inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = terms.select(F.lower("term").alias("needle"), "term").where(F.length("needle") > 0).distinct()
-    wanted = wanted.withColumn("seed", longest)
-    sizes = wanted.agg(
-        F.coalesce(F.sum(F.length("needle") + F.length("term")), F.lit(0)).alias("chars"),
-        F.count("seed").alias("phrases"),
-    ).first()
-    small = sizes["chars"] <= broadcast_chars
+    wanted = stage(
+        terms.select(F.lower("term").alias("needle"), "term").where(F.length("needle") > 0).distinct()
+        .withColumn("word", longest),
+        "terms",
+    )
     texts = articles.select("id", F.lower(column).alias("_text"))
-    found = _match_loose(texts, wanted.where(F.col("seed").isNull()), gram, listed_terms, small)
-    if sizes["phrases"]:
-        words = F.array_distinct(F.split("_text", " "))
-        found = found.unionByName(_meet(texts, words, wanted.where(F.col("seed").isNotNull()), small))
-    return found
-
+    phrases = wanted.where(F.col("word").isNotNull())
+    spaced = wanted.where(F.col("word").isNull() & F.col("needle").contains(" "))
+    single = wanted.where(F.col("word").isNull() & ~F.col("needle").contains(" "))
 
-def _match_loose(texts: DataFrame, wanted: DataFrame, gram: int, listed_terms: int, small: bool) -> DataFrame:
-    """Terms that may start or end inside a word."""
-    listed = wanted.select("needle", "term").limit(listed_terms + 1).collect()
-    if len(listed) <= listed_terms:
-        return _search_listed(texts, [(r["needle"], r["term"]) for r in listed])
-    spaced = wanted.where(F.col("needle").contains(" "))
-    single = wanted.where(~F.col("needle").contains(" "))
     words = texts.select("id", F.explode_outer(F.array_distinct(F.split("_text", " "))).alias("word"))
-    vocabulary = words.select(F.col("word").alias("id"), F.col("word").alias("_text")).distinct()
-    inside = _match_sequences(vocabulary, single, gram, small).withColumnRenamed("id", "word")
+    vocabulary = words.select("word").distinct()
+    seeds = vocabulary.select("word", F.explode_outer(_starts(F.col("word"), single, gram)).alias("seed"))
+    inside = (
+        seeds.join(single.select(F.substring("needle", 1, gram).alias("seed"), "needle", "term"), "seed")
+        .where(F.col("word").contains(F.col("needle"))).select("word", "term").distinct()
+    )
     found = words.join(inside, "word").select("id", "term").distinct()
-    return found if spaced.isEmpty() else found.unionByName(_match_sequences(texts, spaced, gram, small))
-
 
-def _match_sequences(texts: DataFrame, wanted: DataFrame, gram: int, small: bool) -> DataFrame:
-    """Any terms at all: texts and terms meet on the first characters of the term."""
-    wanted = wanted.withColumn("seed", F.substring("needle", 1, gram))
-    lengths = [r["n"] for r in wanted.select(F.length("seed").alias("n")).distinct().limit(gram).collect()]
-    seeds = F.concat(*[_grams(F.col("_text"), n) for n in sorted(lengths)] or [_grams(F.col("_text"), gram)])
-    return _meet(texts, seeds, wanted, small)
-
-
-def _meet(texts: DataFrame, seeds: Column, wanted: DataFrame, small: bool) -> DataFrame:
-    """Texts and terms that share a seed, verified."""
-    if small:
-        candidates = texts.select("id", "_text", F.explode_outer(seeds).alias("seed")).join(
-            F.broadcast(wanted), "seed"
-        )
-    else:
-        matched = texts.select("id", F.explode_outer(seeds).alias("seed")).join(wanted, "seed").drop("seed")
-        candidates = matched.join(texts, "id")
-    return candidates.where(F.col("_text").contains(F.col("needle"))).select("id", "term")
+    candidates = []
+    if not phrases.isEmpty():
+        by_word = words.join(phrases.select("word", "needle", "term"), "word")
+        candidates.append(by_word.select("id", "needle", "term"))
+    if not spaced.isEmpty():
+        starts = texts.select("id", F.explode_outer(_starts(F.col("_text"), spaced, gram)).alias("seed"))
+        by_start = starts.join(spaced.select(F.substring("needle", 1, gram).alias("seed"), "needle", "term"), "seed")
+        candidates.append(by_start.select("id", "needle", "term"))
+    for pairs in candidates:
+        verified = pairs.distinct().join(texts, "id").where(F.col("_text").contains(F.col("needle")))
+        found = found.unionByName(verified.select("id", "term"))
+    return found
 
 
-def _search_listed(texts: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFrame:
-    needles, names = [n for n, _ in terms], [t for _, t in terms]
-    used = set("".join(needles + names))
-    mark = next(chr(c) for c in range(1, 0x110000) if chr(c) not in used)
-    table = F.arrays_zip(
-        F.split(F.lit(mark.join(needles)), mark).alias("needle"), F.split(F.lit(mark.join(names)), mark).alias("term")
-    )
-    found = F.filter(table, lambda s: (s["needle"] != "") & F.col("_text").contains(s["needle"]))
-    return (
-        texts.select("id", F.explode_outer(found).alias("_hit"))
-        .where(F.col("_hit").isNotNull())
-        .select("id", F.col("_hit.term").alias("term"))
-    )
+def _starts(column: Column, wanted: DataFrame, gram: int) -> Column:
+    """Sequences of a text that may be the first characters of a wanted term (at most ``gram`` lengths)."""
+    lengths = wanted.select(F.least(F.length("needle"), F.lit(gram)).alias("n")).distinct()
+    return F.concat(*[_grams(column, n) for n in sorted(r["n"] for r in lengths.collect())] or [F.array().cast("array<string>")])
 
 
 def _grams(column: Column, size: int) -> Column:
@@ -181,25 +143,31 @@ def _grams(column: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def _ordered(name: str) -> Column:
+    return F.col(name[1:]).desc() if name.startswith("-") else F.col(name).asc()
+
+
 def keyword_hits(
     keywords: DataFrame,
     docs: DataFrame,
-    per_keyword: int = 5,
+    per_keyword: int | None = None,
     order: Sequence[str] = (),
     column: str = "title",
 ) -> DataFrame:
-    """The first documents for every keyword; a document may answer several keywords.
+    """The documents for every keyword, the first ``per_keyword`` if set; a document may answer several keywords.
 
     ``keywords(pos, keyword)``; result ``pos, keyword`` and the document columns. Documents are ranked by the
-    ``order`` columns, then by id, on their ids alone; only the chosen ones are fetched.
+    ``order`` columns (a leading minus: largest first), then by id, on their ids alone; only the chosen are fetched.
     """
     hits = match_term_table(docs, keywords.select(F.col("keyword").alias("term")), column)
     named = hits.withColumnRenamed("term", "keyword").join(
         keywords.groupBy("keyword").agg(F.min("pos").alias("pos")), "keyword"
     )
+    if per_keyword is None:
+        return named.select("pos", "keyword", "id").join(docs, "id").select("pos", "keyword", *docs.columns)
     if order:
-        named = named.join(docs.select("id", *order), "id")
-    best = first_per_group(named, ["pos", "keyword"], [*[F.col(c).asc() for c in order], F.col("id")], per_keyword)
+        named = named.join(docs.select("id", *[c.lstrip("-") for c in order]), "id")
+    best = first_per_group(named, ["pos", "keyword"], [*[_ordered(c) for c in order], F.col("id")], per_keyword)
     chosen = stage(best.select("pos", "keyword", "id"), "hits")
     return chosen.join(docs, "id").select("pos", "keyword", *docs.columns)
 
@@ -210,16 +178,42 @@ def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(known, ["content_key", "rubric_key"], "left")
 
 
-def score_criteria(
-    docs: DataFrame, criteria: DataFrame, score: Column
+def fresh_responses(requests: DataFrame, responses: DataFrame, as_of, ttl_seconds: int) -> DataFrame:
+    """As ``join_responses``, with responses that carry a time ``answered_at``: the newest one no older than the TTL."""
+    moment = dates.as_timestamp(as_of)
+    age = F.unix_seconds(moment) - F.unix_seconds("answered_at")
+    valid = responses.where((age >= 0) & (age < ttl_seconds))
+    known = valid.groupBy("content_key", "rubric_key").agg(F.max(F.struct("answered_at", "raw"))["raw"].alias("raw"))
+    return requests.join(known, ["content_key", "rubric_key"], "left")
+
+
+def best_criteria(
+    docs: DataFrame, criteria: DataFrame, k: int = 3, key: str = "id", vector: str = "embedding", block: int = 256
 ) -> DataFrame:
-    """Every document against every criterion of a dense 0-based ``criterion_no``.
+    """``key, criterion_no, score``: the ``k`` criteria nearest to every document, ties to the smaller number.
 
-    The result has documents x criteria rows by definition. Each document is repeated once per criterion number and
-    meets the criterion by equality. The criteria are staged, so their size is known: Spark broadcasts a small table
-    and hash-partitions a large one.
+    ``criteria(criterion_no, criterion)`` are put into blocks of ``block`` rows, and a document meets a block as one
+    row, so a pair is never a row of its own. Norms are computed once for each vector.
     """
-    criteria = stage(criteria, "criteria")
-    count = criteria.agg(F.max("criterion_no") + 1).scalar()
-    numbered = docs.withColumn("criterion_no", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    return compute_once(numbered.join(criteria, "criterion_no"), {"score": score})
+    normed = criteria.select(
+        F.struct(F.col("criterion_no").alias("no"), F.col("criterion").alias("v"), scoring.norm(F.col("criterion")).alias("n"))
+        .alias("c"),
+    )
+    count = criteria.count()
+    blocks = max(1, -(-count // block))
+    packed = stage(
+        normed.groupBy(F.pmod(F.xxhash64("c.no"), F.lit(blocks)).cast("int").alias("_block"))
+        .agg(F.collect_list("c").alias("_criteria")),
+        "criteria",
+    )
+    measured = compute_once(docs.select(key, vector), {"_norm": scoring.norm(F.col(vector))})
+    met = measured.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block")
+    scored = F.transform(
+        "_criteria",
+        lambda c: F.struct(
+            (-scoring.similarity_points(F.col(vector), c["v"], F.col("_norm") * c["n"])).alias("s"), c["no"].alias("no")
+        ),
+    )
+    best = met.select(key, F.explode_outer(F.slice(F.array_sort(scored), 1, k)).alias("_b")).where(F.col("_b").isNotNull())
+    named = best.select(key, F.col("_b.no").alias("criterion_no"), (-F.col("_b.s")).alias("score"))
+    return first_per_group(named, [key], [F.col("score").desc(), F.col("criterion_no")], k)

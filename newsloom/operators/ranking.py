@@ -41,8 +41,12 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
     The sorted rows are written once to the shared folder, which fixes what each partition holds; the table of
     partition sizes (one row per partition) is then all that has to be summed in one place.
     """
-    ordered = cut_lineage(df.orderBy(*order))
-    numbered = ordered.withColumn("_part", F.spark_partition_id()).withColumn(
+    return number_rows(df.orderBy(*order), name)
+
+
+def number_rows(ordered: DataFrame, name: str = "pos") -> DataFrame:
+    """Adds the 0-based position of every row of a sorted table."""
+    numbered = cut_lineage(ordered).withColumn("_part", F.spark_partition_id()).withColumn(
         "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

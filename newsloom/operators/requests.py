@@ -10,22 +10,6 @@ from pyspark.sql import functions as F
 from newsloom import profile as p
 from newsloom.profile import Profile
 
-# How much text each kind of request carries, and what marks a cut.
-SNIPPET_CHARS = {
-    "categorize": 3000,
-    "takeaway": 150_000,
-    "rationale": 1000,
-    "validate": 1000,
-    "refine": 5000,
-    "rewrite": 5000,
-    "combine": 50_000,
-}
-MARKS_CUT = {"categorize", "takeaway"}
-ALWAYS_MARKED = {"validate", "refine", "rewrite"}
-CRITERIA_CHARS = 500
-MAX_CHUNK_TOKENS = 40_000
-CUT_CHUNK_CHARS = 120_000
-
 # Our own wording. Names in braces are columns, ``rubric`` and ``framework`` are parameters.
 TEMPLATES = {
     "categorize": (
@@ -80,20 +64,11 @@ def fingerprint(c: Column, first_chars: int | None = None) -> Column:
     return F.md5(F.substring(c, 1, first_chars) if first_chars else c)
 
 
-def snippet(c: Column, kind: str) -> Column:
-    """The part of the text a request carries. The size is part of the request format."""
-    size = SNIPPET_CHARS.get(kind)
-    if size is None:
+def snippet(c: Column, max_chars: int | None = None) -> Column:
+    """The text a request carries: all of it, unless the caller sets a size; what is left out is marked."""
+    if max_chars is None:
         return c
-    if kind == "takeaway":
-        over = F.floor(F.length(c) / 3) > MAX_CHUNK_TOKENS
-        c = F.when(over, F.substring(c, 1, CUT_CHUNK_CHARS)).otherwise(c)
-    cut = F.substring(c, 1, size)
-    if kind in ALWAYS_MARKED:
-        return F.concat(cut, F.lit("..."))
-    if kind in MARKS_CUT:
-        return F.when(F.length(c) > size, F.concat(cut, F.lit("..."))).otherwise(c)
-    return cut
+    return F.when(F.length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit("..."))).otherwise(c)
 
 
 def build_requests(
@@ -104,21 +79,25 @@ def build_requests(
     column: str = "content",
     template: str | None = None,
     framework: str = "",
-    criteria: str = "",
+    criteria: str | Column = "",
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """``key, kind, content_key, rubric_key, prompt`` for one kind of request."""
+    """``key, kind, content_key, rubric_key, prompt`` for one kind of request, and ``chunk_no`` if the input has it.
+
+    Requests carry whole texts. A text too long for a model is sent as several rows: cut it with ``chunk_articles`` and
+    pass the chunks, whose numbers stay with their requests. ``criteria`` may be a column.
+    """
     wording = template or TEMPLATES[kind]
-    limited = criteria[:CRITERIA_CHARS] if kind == "rationale" else criteria
     content = F.col(column)
     values = {name: F.col(name) for name in df.columns}
     values |= {
-        "snippet": snippet(content, kind),
+        "snippet": snippet(content, max_chars),
         "rubric": F.lit(profile.rubric),
         "framework": F.lit(framework),
-        "criteria": F.lit(limited),
+        "criteria": criteria if isinstance(criteria, Column) else F.lit(criteria),
     }
     return df.select(
-        key,
+        *[c for c in (key, "chunk_no") if c in df.columns],
         F.lit(kind).alias("kind"),
         fingerprint(content).alias("content_key"),
         F.md5(F.lit(profile.rubric)).alias("rubric_key"),

@@ -23,16 +23,23 @@ _BROKEN = (
 )
 
 
-def _json(c: Column) -> Column:
-    return F.try_parse_json(c)
+def _parsed(df: DataFrame, raw: Column, *names: str) -> DataFrame:
+    """Adds ``_json``, ``_keys`` of an object, and ``_last``: named fields of an object that repeats a key.
 
+    A repeated key is no variant, but it is JSON, and the last value holds.
+    """
+    fields = ", ".join(f"{name} STRING" for name in names)
+    read = compute_once(df, {"_json": F.try_parse_json(raw), "_keys": F.json_object_keys(raw)})
+    repeated = F.col("_json").isNull() & (F.size("_keys") > F.size(F.array_distinct("_keys")))
+    return read.withColumn("_last", F.when(repeated, F.from_json(raw, fields)))
 
-def _is_object(parsed: Column) -> Column:
-    return F.schema_of_variant(parsed).startswith("OBJECT")
 
+def _readable() -> Column:
+    return F.col("_json").isNotNull() | F.col("_last").isNotNull()
 
-def _field(parsed: Column, name: str) -> Column:
-    return F.try_variant_get(parsed, f"$.{name}", "string")
+
+def _field(name: str) -> Column:
+    return F.coalesce(F.try_variant_get(F.col("_json"), f"$.{name}", "string"), F.col(f"_last.{name}"))
 
 
 def _salvaged(c: Column) -> Column:
@@ -46,45 +53,48 @@ def _salvaged(c: Column) -> Column:
 def parse_takeaway_responses(df: DataFrame, raw: str = "raw", fallback: str | None = None) -> DataFrame:
     """Adds ``takeaway``. ``fallback`` names a column to use instead of the fixed failure text."""
     stripped = df.withColumn("_raw", text.strip(F.col(raw)))
-    parsed = compute_once(stripped, {"_json": _json(F.col("_raw"))})
-    from_json = F.when(
-        _is_object(F.col("_json")), F.coalesce(_field(F.col("_json"), "takeaway"), F.lit(""))
-    ).otherwise(NOT_AN_OBJECT)
+    parsed = _parsed(stripped, F.col("_raw"), "takeaway")
+    from_json = F.when(F.col("_keys").isNotNull(), F.coalesce(_field("takeaway"), F.lit(""))).otherwise(NOT_AN_OBJECT)
     last = F.col(fallback) if fallback else F.lit(NO_TAKEAWAY)
     takeaway = (
-        F.when(F.col("_json").isNotNull(), from_json)
+        F.when(_readable(), from_json)
         .when(F.length("_raw") > 0, F.coalesce(_salvaged(F.col("_raw")), last))
         .otherwise(last)
     )
-    return compute_once(parsed, {"takeaway": takeaway}).drop("_raw", "_json")
+    return compute_once(parsed, {"takeaway": takeaway}).drop("_raw", "_json", "_keys", "_last")
 
 
 def parse_category_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``category`` and ``category_justification``; code fences around the JSON are dropped."""
     bare = text.strip(F.col(raw))
     bare = F.regexp_replace(F.regexp_replace(bare, r"\A```json", ""), r"```\z", "")
-    parsed = compute_once(df, {"_json": _json(bare)})
-    category, why = _field(F.col("_json"), "category"), _field(F.col("_json"), "justification")
-    complete = category.isNotNull() & why.isNotNull()
+    parsed = _parsed(df, bare, "category", "justification")
+    category, why = _field("category"), _field("justification")
+    # both keys are there; their values may be null
+    complete = F.coalesce(
+        _readable() & F.array_contains("_keys", "category") & F.array_contains("_keys", "justification"), F.lit(False)
+    )
     return parsed.withColumns(
         {
             "category": F.when(complete, category).otherwise(UNCATEGORIZED),
             "category_justification": F.when(complete, why)
-            .when(F.col("_json").isNotNull(), FORMAT_ERROR)
+            .when(_readable(), FORMAT_ERROR)
             .when(F.col(raw).isNull(), NO_RESPONSE)
             .otherwise(DECODE_ERROR),
         }
-    ).drop("_json")
+    ).drop("_json", "_keys", "_last")
 
 
-def parse_keyword_responses(df: DataFrame, raw: str = "raw", limit: int = 5) -> DataFrame:
-    """Adds ``keywords``: the first few of the response, or the default ones if it cannot be read."""
-    parsed = compute_once(df, {"_json": _json(F.col(raw))})
+def parse_keyword_responses(df: DataFrame, raw: str = "raw", limit: int | None = None) -> DataFrame:
+    """Adds ``keywords``: those of the response (the first ``limit``, if set), or the default ones if it cannot be read."""
+    parsed = _parsed(df, F.col(raw), "keywords")
     listed = F.coalesce(
-        F.try_variant_get(F.col("_json"), "$.keywords", "array<string>"), F.array().cast("array<string>")
+        F.try_variant_get(F.col("_json"), "$.keywords", "array<string>"),
+        F.from_json("_last.keywords", "ARRAY<STRING>"),
+        F.array().cast("array<string>"),
     )
     defaults = F.array(*[F.lit(k) for k in p.FALLBACK_KEYWORDS])
-    readable = F.coalesce(_is_object(F.col("_json")), F.lit(False))
-    return parsed.withColumn("keywords", F.when(readable, F.slice(listed, 1, limit)).otherwise(defaults)).drop(
-        "_json"
+    readable = _readable() & F.col("_keys").isNotNull()
+    return parsed.withColumn("keywords", F.when(readable, listed if limit is None else F.slice(listed, 1, limit)).otherwise(defaults)).drop(
+        "_json", "_keys", "_last"
     )

@@ -215,26 +215,29 @@ def report_relevance(df: DataFrame, as_of) -> DataFrame:
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, cut to the shorter one; null for a zero vector."""
+def _sum_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
-    def total(products: Column) -> Column:
-        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
+def norm(v: Column) -> Column:
+    """Euclidean length of a vector."""
+    return F.sqrt(_sum_of(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
+
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Cosine of two vectors, cut to the shorter one; null for a zero vector. ``norms`` is the product if it is known."""
     size = F.least(F.size(a), F.size(b))
-    dot = total(
-        F.transform(
-            F.arrays_zip(F.slice(a, 1, size).alias("a"), F.slice(b, 1, size).alias("b")),
-            lambda z: z["a"].cast("double") * z["b"].cast("double"),
+    dot = _sum_of(
+        F.zip_with(
+            F.slice(a, 1, size), F.slice(b, 1, size), lambda x, y: x.cast("double") * y.cast("double")
         )
     )
-    norm = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.try_divide(dot, norm(a) * norm(b))
+    return F.try_divide(dot, norm(a) * norm(b) if norms is None else norms)
 
 
-def similarity_points(a: Column, b: Column) -> Column:
+def similarity_points(a: Column, b: Column, norms: Column | None = None) -> Column:
     """Cosine as 1 to 10 points, halves to even; anything that cannot be computed is 1."""
-    points = F.coalesce(F.bround(cosine(a, b) * 10).cast("int"), F.lit(1))
+    points = F.coalesce(F.bround(cosine(a, b, norms) * 10).cast("int"), F.lit(1))
     return F.greatest(F.lit(1), F.least(F.lit(10), points))
 
 

@@ -222,23 +222,26 @@ def combine_takeaways(
     chunks: DataFrame,
     articles: DataFrame | None = None,
     key: str = "id",
-    max_chars: int = 2000,
+    max_chars: int | None = None,
     fan_in: int = 256,
 ) -> DataFrame:
     """``key, takeaway`` from ``chunks(key, chunk_no, takeaway)``, in chunk order; key and number name one chunk.
 
-    One chunk speaks for itself; several are joined with spaces and cut to ``max_chars``. Chunks are joined in blocks
-    of ``fan_in`` neighbours, then blocks of blocks, each keeping its first ``max_chars`` characters only, so an
-    article with any number of chunks never has to fit in one place.
+    One chunk speaks for itself; several are joined with spaces, whole unless the caller sets ``max_chars``. Chunks are
+    joined in blocks of ``fan_in`` neighbours, then blocks of blocks.
     """
     c = F.col("takeaway")
+
+    def cut(joined: Column) -> Column:
+        return joined if max_chars is None else F.substring(joined, 1, max_chars)
+
     node = chunks.select(
         key,
         F.col("chunk_no").cast("long").alias("no"),
         F.lit(1).cast("long").alias("rows"),
         c.isNotNull().cast("long").alias("texts"),
         F.coalesce(F.length(c), F.lit(0)).cast("long").alias("chars"),
-        F.substring(c, 1, max_chars).alias("head"),
+        cut(c).alias("head"),
         c.alias("sole"),
     )
     highest = chunks.agg(F.max("chunk_no")).first()[0] or 0
@@ -252,7 +255,7 @@ def combine_takeaways(
             F.sum("chars").alias("chars"),
             F.when(
                 F.count("head") > 0,
-                F.substring(F.array_join(F.transform(heads, lambda h: h["head"]), " "), 1, max_chars),
+                cut(F.array_join(F.transform(heads, lambda h: h["head"]), " ")),
             ).alias("head"),
             F.max("sole").alias("sole"),
         )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsloom import profile as p
 from newsloom.functions import dates, text, urls
 from newsloom.operators import (
-    aggregates, chunking, extract, filters, joins, memo, ranking, requests, responses, scoring, takeaways,
+    aggregates, chunking, extract, filters, joins, ranking, requests, responses, scoring, takeaways,
 )
 from newsloom.plans import runs
 from newsloom.profile import CORPUS_PROFILE as PROFILE
@@ -24,7 +24,7 @@ from newsloom.streaming import jobs
 
 AS_OF = "2024-01-31"
 CUTOFF = "2024-01-16"
-TTL_SECONDS = 6 * 3600
+TTL_SECONDS = 10 * 86400
 CHUNK_TOKENS = 100
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,7 +206,7 @@ def read_search_results(spark, sf):
     )
     folder = new_folder(spark, "search")
     dumps.drop("url").write.json(folder)
-    found = readers.read_search_results(spark, folder, CUTOFF, max_keywords=None)
+    found = readers.read_search_results(spark, folder, CUTOFF)
     return found.withColumn("published_date", dates.format_date(F.col("published_date")))
 
 
@@ -230,7 +230,7 @@ def _store_rows(spark, sf):
 def load_store(spark, sf):
     folder = new_folder(spark, "store")
     store.save_store(_store_rows(spark, sf).drop("seq"), folder)
-    loaded = store.load_store(spark, folder)
+    loaded = ranking.number_rows(store.load_store(spark, folder))
     return loaded.withColumn("created_at", dates.format_date(F.col("created_at")))
 
 
@@ -518,11 +518,24 @@ def similarity_score(spark, sf):
 
 
 @query
-def cross_criteria_similarity(spark, sf):
+def best_criteria(spark, sf):
     vectors = table(spark, sf, "embeddings")
     criteria = _centroids(vectors).select(F.col("label").cast("long").alias("criterion_no"), "criterion")
-    points = scoring.similarity_points(F.col("embedding"), F.col("criterion"))
-    return joins.score_criteria(vectors, criteria, points).select("vec_id", "criterion_no", "score")
+    return joins.best_criteria(vectors, stage(criteria), 3, "vec_id")
+
+
+@query
+def fresh_responses(spark, sf):
+    """Answers given on the articles' days, of which those of the last ten days hold."""
+    asked = requests.build_requests(articles(spark, sf), "takeaway", PROFILE)
+    answered = raw_responses(spark, sf).join(articles(spark, sf).select("id", "date"), "id").select(
+        requests.fingerprint(F.col("content")).alias("content_key"),
+        F.md5(F.lit(PROFILE.rubric)).alias("rubric_key"),
+        "raw",
+        F.col("date").cast("timestamp").alias("answered_at"),
+    )
+    fresh = joins.fresh_responses(asked, answered, AS_OF, TTL_SECONDS)
+    return fresh.select("id", F.md5("raw").alias("raw_key"))
 
 
 def _keywords(spark, sf):
@@ -620,14 +633,10 @@ def chunk_articles(spark, sf):
     return chunking.chunk_articles(articles(spark, sf), CHUNK_TOKENS)
 
 
-@query
-def truncate_chunks(spark, sf):
-    return chunking.truncate_chunks(articles(spark, sf), CHUNK_TOKENS)
-
-
 @query
 def sort_by_assessment(spark, sf):
-    return ranking.sort_by_assessment(evaluated(spark, sf)).select("id", "assessment", "assessment_score")
+    judged = evaluated(spark, sf).select("id", "url", "assessment", "assessment_score")
+    return ranking.number_rows(ranking.sort_by_assessment(judged)).drop("url")
 
 
 def _ranked_relevance(spark, sf):
@@ -643,7 +652,7 @@ def select_top_articles(spark, sf):
 
 @query
 def newest_first(spark, sf):
-    return ranking.newest_first(articles(spark, sf), "date", ("id",)).select("id", "date")
+    return ranking.number_rows(ranking.newest_first(articles(spark, sf).select("id", "date"), "date", ("id",)))
 
 
 @query
@@ -724,7 +733,13 @@ def _validated(spark, sf):
 
 @query
 def validate_takeaways(spark, sf):
-    judged = takeaways.validate_takeaways(turns(spark, sf))
+    marked = turns(spark, sf).withColumn(
+        "takeaway",
+        F.when(F.col("id") % 5 == 0, F.concat("takeaway", F.lit(" • one")))
+        .when(F.col("id") % 7 == 0, F.concat("takeaway", F.lit(" so that AI leaders can act.")))
+        .otherwise(F.col("takeaway")),
+    )
+    judged = takeaways.validate_takeaways(marked)
     return judged.select(
         "id", "chunk_no", "word_count", "sentence_count", "passes_validation",
         F.array_join("issues_found", " | ").alias("issues"),
@@ -756,10 +771,22 @@ def parse_takeaway_responses(spark, sf):
 
 @query
 def parse_category_responses(spark, sf):
-    raw = raw_responses(spark, sf, "category", ', "justification": "as told"')
+    raw = raw_responses(spark, sf, "category", ', "justification": "as told"').withColumn(
+        "raw",
+        F.when(F.col("source") == "src8", F.lit('{"category": 5, "justification": null}'))
+        .when(F.col("source") == "src9", F.concat(F.lit('{"category": "a", "category": "'), "id", F.lit('", "justification": "b"}')))
+        .otherwise(F.col("raw")),
+    )
     return responses.parse_category_responses(raw).select("id", "category", "category_justification")
 
 
+@query
+def parse_takeaway_fallback(spark, sf):
+    """What cannot be read is replaced by a text of the caller's."""
+    raw = raw_responses(spark, sf).withColumn("joined", F.concat(F.lit("joined "), "id"))
+    return responses.parse_takeaway_responses(raw, fallback="joined").select("id", "takeaway")
+
+
 @query
 def parse_keyword_responses(spark, sf):
     words = F.split(text.collapse_spaces(F.regexp_replace("content", r'["\\]', " ")), " ")
@@ -776,8 +803,9 @@ def parse_keyword_responses(spark, sf):
 def _request_query(kind: str) -> Query:
     def run(spark, sf):
         instructed = articles(spark, sf).withColumn("refinement", F.concat(F.lit("Shorten "), "title"))
+        criteria = F.col("content") if kind == "keywords" else "New tools in use"
         return requests.build_requests(
-            instructed, kind, PROFILE, framework="1. Creative\n2. Other", criteria="New tools in use"
+            instructed, kind, PROFILE, framework="1. Creative\n2. Other", criteria=criteria
         )
 
     run.__name__ = f"request_{kind}"
@@ -827,31 +855,13 @@ def date_functions(spark, sf):
     )
 
 
-# --- memo and streams ------------------------------------------------------------------------------------------
-
-
-@query
-def ttl_memo(spark, sf):
-    answered = memo.ttl_memo(table(spark, sf, "events"), TTL_SECONDS, "user_id", "ts", "event_id")
-    return answered.select("event_id", "is_hit", F.unix_micros("stored_ts").alias("stored_us"))
+# --- streams -----------------------------------------------------------------------------------------------------
 
 
 def _event_stream(spark, sf):
     return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf.rstrip('/')}/events*.parquet")
 
 
-@query
-def stream_ttl_memo(spark, sf):
-    folder, checkpoint = new_folder(spark, "memo"), new_folder(spark, "memo-progress")
-    asked = _event_stream(spark, sf).select(
-        F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "ts"
-    )
-    jobs.run_to_folder(jobs.stream_ttl_memo(asked, TTL_SECONDS), folder, checkpoint)
-    return spark.read.parquet(folder).select(
-        F.col("request_id").alias("event_id"), "is_hit", F.col("stored_us").alias("stored_us")
-    )
-
-
 def _page_stream(spark, sf):
     # a pattern, because a stream's path may not be a single file
     return jobs.read_page_stream(spark, f"{sf.rstrip('/')}/pages*.parquet")
@@ -898,6 +908,46 @@ def scan_articles(spark, sf):
     return result.select("url", "title", "date", "source", "assessment", "assessment_score", "category")
 
 
+@query
+def scan_store(spark, sf):
+    """The scan with takeaways, put into a store that holds every other page already."""
+    listed = listing_pages(spark, sf)
+    texts = stage(extract.extract_main_text(listed).select("url", "content"))
+    metadata = extract.extract_page_metadata(listed, AS_OF)
+    given = texts.select("url", F.substring("content", 1, 60).alias("takeaway"))
+    scanned = runs.run_scan(listed, metadata, texts, given, CUTOFF, PROFILE)
+    old = pages(spark, sf).where(F.col("page_id") % 2 == 0).select("url", F.lit("Old").alias("title")).distinct()
+    existing = store.to_store_rows(old, CUTOFF)
+    merged = runs.store_scan(scanned, existing, AS_OF, new_folder(spark, "reports"))
+    return merged.select(
+        "url", "title", "date", "summary", "category", dates.format_date(F.col("created_at")).alias("created_at")
+    )
+
+
+def _answer(content: Column) -> Column:
+    return F.concat(F.lit('{"takeaway": "'), escaped(content), F.lit('"}'))
+
+
+@query
+def takeaway_run(spark, sf):
+    """Chunked requests, answers that repeat their chunk or are missing, verdicts, and a second round of answers."""
+    every = articles(spark, sf)
+    rubric = F.md5(F.lit(PROFILE.rubric)).alias("rubric_key")
+    chunk = chunking.chunk_articles(every, CHUNK_TOKENS).select(F.col("chunk").alias("c"))
+    answers = chunk.where(F.length("c") % 5 != 0).select(
+        requests.fingerprint(F.col("c")).alias("content_key"), rubric, _answer(F.col("c")).alias("raw")
+    )
+    shortened = takeaways.extractive_takeaways(every, PROFILE)
+    refined = shortened.where(F.length("content") % 2 == 0).select(
+        requests.fingerprint(F.col("content")).alias("content_key"), rubric, _answer(F.col("takeaway")).alias("raw")
+    )
+    result = runs.run_takeaways(every, answers, verdicts(spark, sf), refined, PROFILE, CHUNK_TOKENS)
+    return result.select(
+        "id", F.md5("takeaway").alias("takeaway_key"), "passes_validation", "refined",
+        F.array_join("issues_found", " | ").alias("issues"),
+    )
+
+
 @query
 def workflow_selected(spark, sf):
     every = articles(spark, sf)

@@ -1,4 +1,4 @@
-"""The three end-to-end runs. A stage is a function from DataFrame to DataFrame, chained with ``transform``."""
+"""The end-to-end runs. A stage is a function from DataFrame to DataFrame, chained with ``transform``."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates
-from newsloom.operators import aggregates, extract, filters, joins, ranking, scoring
+from newsloom.operators import (
+    aggregates, chunking, extract, filters, joins, ranking, requests, responses, scoring, takeaways as tk,
+)
 from newsloom.profile import Profile
 from newsloom.session import stage
+from newsloom.sources import reports, store
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -81,6 +84,59 @@ def run_scan(
     )
 
 
+def store_scan(scanned: DataFrame, existing: DataFrame | None, as_of: str, folder: str | None = None) -> DataFrame:
+    """The end of a scan: the articles go into the store, and into the day's report if a folder is given."""
+    scanned = stage(scanned, "scanned")
+    if folder is not None:
+        reports.write_report_set(scanned, folder, as_of)
+    rows = scanned.withColumn("summary", F.col("takeaway"))
+    return store.upsert_store(existing, store.to_store_rows(rows, as_of))
+
+
+def run_takeaways(
+    articles: DataFrame,
+    answers: DataFrame,
+    verdicts: DataFrame,
+    refined: DataFrame,
+    profile: Profile = Profile(),
+    max_tokens: int = 40_000,
+) -> DataFrame:
+    """``id, takeaway, passes_validation, refined, issues_found`` for ``articles(id, content)``.
+
+    Short contents get their fixed text. The others are cut into chunks, and every chunk is a request; answers are
+    attached by fingerprint, parsed and combined. What does not pass the rules and verdicts is asked for again with
+    instructions; the second answer (without one, the first takeaway) is judged by the rules once more.
+    """
+    guarded = tk.short_content_guard(articles.select("id", "content"))
+    due = guarded.where(F.col("takeaway").isNull()).select("id", "content")
+    chunks = chunking.chunk_articles(due, max_tokens).select("id", "chunk_no", F.col("chunk").alias("content"))
+    asked = requests.build_requests(chunks, "takeaway", profile)
+    parsed = responses.parse_takeaway_responses(joins.join_responses(asked, answers))
+    first = tk.combine_takeaways(parsed.select("id", "chunk_no", "takeaway"))
+    judged = stage(tk.refinement_instructions(tk.merge_verdicts(tk.validate_takeaways(first), verdicts)), "judged")
+
+    failing = judged.where(~F.col("passes_validation")).select("id", "takeaway", "refinement")
+    again = requests.build_requests(failing.join(due, "id"), "refine", profile)
+    answered = joins.join_responses(again, refined).join(failing.select("id", F.col("takeaway").alias("first")), "id")
+    second = responses.parse_takeaway_responses(answered, fallback="first").select("id", "takeaway")
+
+    shown = ["id", "takeaway", "passes_validation", "refined", "issues_found"]
+    return (
+        judged.where("passes_validation").withColumn("refined", F.lit(False)).select(*shown)
+        .unionByName(tk.validate_takeaways(second).withColumn("refined", F.lit(True)).select(*shown))
+        .unionByName(
+            guarded.where(F.col("takeaway").isNotNull())
+            .withColumns(
+                {
+                    "passes_validation": F.lit(False), "refined": F.lit(False),
+                    "issues_found": F.array().cast("array<string>"),
+                }
+            )
+            .select(*shown)
+        )
+    )
+
+
 @dataclass(frozen=True)
 class Workflow:
     """What the coordinator hands back. The analysed articles come without their texts."""
@@ -119,20 +175,27 @@ def run_workflow(
 
 
 def run_search(
-    keywords: DataFrame, docs: DataFrame, cutoff, profile: Profile = Profile()
+    keywords: DataFrame,
+    docs: DataFrame,
+    cutoff,
+    profile: Profile = Profile(),
+    max_keywords: int | None = None,
+    per_keyword: int | None = None,
 ) -> DataFrame:
-    """The criteria search: first keywords, first hits of each, inclusive cutoff, labelled, newest first."""
-    hits = joins.keyword_hits(
-        ranking.top_keywords(keywords, profile.max_keywords),
+    """The criteria search: recent, specific articles with content, matched with the keywords, labelled, newest first.
+
+    Limits are off unless the caller sets them; the hits of a keyword are then its newest.
+    """
+    fitting = chain(
         docs,
-        profile.results_per_keyword,
-        column="content",
-    )
-    return chain(
-        hits,
         lambda df: filters.filter_recent(df, cutoff, "published_date", inclusive=True),
         filters.filter_specific_articles,
         filters.filter_with_content,
+    )
+    asked = keywords if max_keywords is None else ranking.top_keywords(keywords, max_keywords)
+    hits = joins.keyword_hits(asked, fitting, per_keyword, ("-published_date",), column="content")
+    return chain(
+        hits,
         lambda df: scoring.label_relevance(df, profile),
         lambda df: df.withColumn("ai_confidence", F.lit(100)),
         lambda df: ranking.newest_first(df, tie=("pos", "url")),

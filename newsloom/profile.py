@@ -133,8 +133,6 @@ class Profile:
     max_report_articles: int = 10
     source_batch_size: int = 5
     min_confidence: int = 40
-    max_keywords: int = 5
-    results_per_keyword: int = 5
 
     def with_terms(self, **lists) -> "Profile":
         """A copy with whole lists replaced, as a settings override does."""

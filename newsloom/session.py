@@ -59,16 +59,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# A table of at most this many input splits (128 MB each by default) counts as small.
-SMALL_SPLITS = 16
+READ_PARTITIONS = "newsloom.read.partitions"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a table of a few input splits, so that text work on it uses every core.
+    """Hash-partition a table that was read, if the session says into how many parts; as it is otherwise.
 
-    A file of one row group is read by one task however many cores there are. Tables of more splits are left as they
-    are, so this never shuffles a large table.
+    One row group is read by one task, however many cores there are. Whoever runs a job on a few large row groups may
+    set ``newsloom.read.partitions``; it is never decided by the size of a table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df.rdd.getNumPartitions() <= min(cores, SMALL_SPLITS)
-    return df.repartition(cores, key) if small else df
+    parts = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(parts), key) if parts else df

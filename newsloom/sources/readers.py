@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from newsloom import profile as p
 from newsloom.functions import dates, text
 from newsloom.operators.filters import filter_recent
-from newsloom.operators.ranking import first_per_group, with_position
+from newsloom.operators.ranking import with_position
 from newsloom.profile import Profile
 
 _ENTRY = "title STRING, id STRING, published STRING, summary STRING"
@@ -142,11 +142,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.length("html") > 0)
 
 
-def read_atom_feed(spark: SparkSession, path: str, cutoff, newest: int = 5) -> DataFrame:
-    """The newest feed entries from the cutoff day on; an entry without a readable date gets the cutoff day.
-
-    The feed asks for its newest entries by position of ``published``, then applies the cutoff.
-    """
+def read_atom_feed(spark: SparkSession, path: str, cutoff, newest: int | None = None) -> DataFrame:
+    """Feed entries from the cutoff day on, the ``newest`` of them if set; one without a readable date gets that day."""
     day = F.to_date(dates.as_timestamp(cutoff))
     entries = spark.read.format("xml").option("rowTag", "entry").schema(_ENTRY).load(path)
     published = F.coalesce(F.substring("published", 1, 10).try_cast("date"), day)
@@ -157,20 +154,20 @@ def read_atom_feed(spark: SparkSession, path: str, cutoff, newest: int = 5) -> D
         published.cast("timestamp").alias("published_date"),
         text.strip(F.coalesce("summary", F.lit(""))).alias("content"),
     )
-    latest = rows.orderBy(F.col("published_date").desc(), "url").limit(newest)
-    return filter_recent(latest, day.cast("timestamp"), "published_date", inclusive=True)
+    recent = filter_recent(rows, day.cast("timestamp"), "published_date", inclusive=True)
+    return recent if newest is None else recent.orderBy(F.col("published_date").desc(), "url").limit(newest)
 
 
 def search_results(
-    dumps: DataFrame, cutoff, max_keywords: int | None = 5, per_keyword: int = 5
+    dumps: DataFrame, cutoff, max_keywords: int | None = None, per_keyword: int | None = None
 ) -> DataFrame:
     """Result rows from dumps ``pos, keyword, news_results``; see ``read_search_results``."""
-    rows = (
+    results = F.col("news_results") if per_keyword is None else F.slice("news_results", 1, per_keyword)
+    asked = (
         (dumps if max_keywords is None else dumps.where(F.col("pos") < max_keywords))
-        .select("pos", "keyword", F.posexplode("news_results").alias("result_no", "r"))
+        .select("pos", "keyword", F.posexplode(results).alias("result_no", "r"))
         .select("pos", "keyword", "result_no", "r.*")
     )
-    asked = first_per_group(rows, ["pos", "keyword"], [F.col("result_no").asc()], per_keyword)
     complete = asked.where(F.col("title").isNotNull() & F.col("link").isNotNull() & F.col("source").isNotNull())
     dated = complete.select(
         "keyword",
@@ -184,9 +181,9 @@ def search_results(
 
 
 def read_search_results(
-    spark: SparkSession, path: str, cutoff, max_keywords: int | None = 5, per_keyword: int = 5
+    spark: SparkSession, path: str, cutoff, max_keywords: int | None = None, per_keyword: int | None = None
 ) -> DataFrame:
-    """News search dumps: the first results of the first keywords that are complete and not before the cutoff."""
+    """News search dumps: results that are complete and not before the cutoff; limits only where the caller sets them."""
     return search_results(spark.read.schema(_RESULTS).json(path), cutoff, max_keywords, per_keyword)
 
 

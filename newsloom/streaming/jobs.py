@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -53,47 +51,9 @@ def stream_dedup_urls(links: DataFrame, ts: str = "ts", lookback: str = "7 days"
     return links.withWatermark(ts, lookback).dropDuplicatesWithinWatermark(["url"])
 
 
-def stream_recent(records: DataFrame, cutoff, ts: str = "ts", lookback: str = "7 days") -> DataFrame:
-    """Records after the cutoff; late ones inside the look-back stay."""
-    return filter_recent(records.withWatermark(ts, lookback), dates.as_timestamp(cutoff), ts)
-
-
-def stream_ttl_memo(requests: DataFrame, ttl_seconds: int) -> DataFrame:
-    """``key, request_id, us, stored_us, is_hit`` for ``requests(key, request_id, ts)``.
-
-    The state of a key is the time of its last remembered miss; with a ``usable`` column, misses that are not usable
-    are not remembered. Requests of one micro-batch are taken in time order; the size of a micro-batch (files per
-    trigger) bounds what a key can bring at once.
-    """
-    ttl = ttl_seconds * 1_000_000
-
-    def answer(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(list(frames)).sort_values(["us", "request_id"], kind="stable")
-        stored = state.get[0] if state.exists else None
-        answers = []
-        for us, ok in zip(asked["us"].tolist(), asked["ok"].tolist()):
-            hit = stored is not None and us - stored < ttl
-            if not hit and ok:
-                stored = us
-            answers.append((stored if hit or ok else None, hit))
-        if stored is not None:
-            state.update((stored,))
-        table = asked.assign(
-            stored_us=pd.array([a[0] for a in answers], dtype="Int64"), is_hit=[a[1] for a in answers]
-        )
-        yield table[["key", "request_id", "us", "stored_us", "is_hit"]]
-
-    usable = F.coalesce(F.col("usable"), F.lit(False)) if "usable" in requests.columns else F.lit(True)
-    asked = requests.select(
-        "key", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), usable.alias("ok")
-    )
-    return asked.groupBy("key").applyInPandasWithState(
-        answer,
-        "key LONG, request_id LONG, us LONG, stored_us LONG, is_hit BOOLEAN",
-        "stored LONG",
-        "append",
-        "NoTimeout",
-    )
+def stream_recent(records: DataFrame, cutoff, ts: str = "ts") -> DataFrame:
+    """Records after the cutoff, as they arrive."""
+    return filter_recent(records, dates.as_timestamp(cutoff), ts)
 
 
 def run_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> None:

@@ -145,3 +145,23 @@ def test_words_and_spaces_equal_python(spark, texts):
     got = df.select(text.word_count(F.col("t")), text.collapse_spaces(F.col("t")), text.strip(F.col("t"))).collect()
     for t, row in zip(texts, got, strict=True):
         assert (row[0], row[1], row[2]) == (len(t.split()), " ".join(t.split()), t.strip())
+
+
+@pytest.mark.parametrize("text, want", [
+    ("&times; &deg; &ecirc;", "× ° ê"), ("&#38;amp;", "&amp;"), ("&amp;lt;", "&lt;"), ("&#x26;lt; &#233;", "&lt; é"),
+    ("a & b &unknown; &", "a & b &unknown; &"), ("&#0;&#1114112;", "\ufffd\ufffd"), ("&NotEqualTilde;", "≂̸"), ("&#xZ;", "&#xZ;"),
+])
+def test_references_are_decoded_once(rows, text, want):
+    from newsloom.functions.text import decode_entities
+
+    assert rows([(text,)], "t STRING").select(decode_entities(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<article>a<article>b</article>c</article>d", "a b c"), ("<article></article><main>m</main>", ""),
+    ("<main>a<main x='1'>b</main>c", "a b c"), ("<body>x<b>y</b></body>z", "x y"), ("no block", "no block"),
+    ("<ARTICLE class='a'>a <Article>b</ARTICLE> c</article > d", "a b c"),
+])
+def test_blocks_end_where_they_began(rows, html, want):
+    df = rows([(1, "u", html)], "page_id LONG, url STRING, html STRING")
+    assert extract.extract_main_text(df).first()["content"] == want

@@ -56,3 +56,13 @@ def test_long_pages(rows):
     extract.extract_main_text(df).collect()
     extract.extract_page_metadata(df, "2024-01-31").collect()
     assert time.time() - start < 60
+
+
+def test_chunks_of_a_long_text_in_linear_time(rows):
+    seconds = []
+    for size in (2_000, 40_000):
+        df = rows([(1, "Some sentence of fifty characters, more or less so. " * size)], "id LONG, content STRING")
+        start = time.time()
+        chunking.chunk_articles(df).agg({"chunk": "max"}).collect()
+        seconds.append(time.time() - start)
+    assert seconds[1] < 20 * seconds[0] + 5

@@ -325,7 +325,7 @@ def test_category_responses(rows, raw, want):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ('{"keywords": ["a", "b", "c", "d", "e", "f"]}', ["a", "b", "c", "d", "e"]), ('{"keywords": []}', []),
+    ('{"keywords": ["a", "b", "c", "d", "e", "f"]}', ["a", "b", "c", "d", "e", "f"]), ('{"keywords": []}', []),
     ('{"x": 1}', []), ("broken", list(p.FALLBACK_KEYWORDS)), (None, list(p.FALLBACK_KEYWORDS)),
 ])
 def test_keyword_responses(rows, raw, want):
@@ -341,16 +341,15 @@ def test_requests_carry_the_rubric(rows):
     assert '{"takeaway": "..."}' in first["prompt"]
 
 
-def test_request_snippets(rows):
-    df = rows([(1, "T", "x" * 3001, "K")], ARTICLE)
-    long = requests.build_requests(df, "categorize").first()["prompt"]
-    assert "x" * 3000 + "..." in long and "x" * 3001 not in long
-    assert "x" * 1000 + "..." in requests.build_requests(df, "validate").first()["prompt"]
-    huge = rows([(1, "T", "x" * 120_001, "K")], ARTICLE)
-    prompt = requests.build_requests(huge, "takeaway", template="{snippet}").first()["prompt"]
-    assert len(prompt) == 120_001  # 40,000 tokens exactly are not over the limit
-    huge = rows([(1, "T", "x" * 120_003, "K")], ARTICLE)
-    assert len(requests.build_requests(huge, "takeaway", template="{snippet}").first()["prompt"]) == 120_000
+def test_requests_carry_whole_texts_and_chunk_numbers(rows):
+    df = rows([(1, "T", "x" * 130_000, "K")], ARTICLE).withColumn("refinement", F.lit("R"))
+    for kind in ("categorize", "takeaway", "rationale", "validate", "refine", "rewrite", "combine"):
+        assert "x" * 130_000 in requests.build_requests(df, kind).first()["prompt"], kind
+    short = requests.build_requests(df, "takeaway", template="{snippet}", max_chars=10).first()["prompt"]
+    assert short == "x" * 10 + "..."
+    chunks = rows([(1, 0, "a"), (1, 1, "b")], "id LONG, chunk_no INT, content STRING")
+    got = requests.build_requests(chunks, "takeaway", template="{snippet}").collect()
+    assert sorted((r["chunk_no"], r["prompt"]) for r in got) == [(0, "a"), (1, "b")]
 
 
 def test_responses_join_by_fingerprints(rows):
@@ -386,3 +385,37 @@ def test_funnel_and_summary(rows):
         rows([("a",), ("a",)], "source STRING"),
     )
     assert {tuple(r) for r in summary.collect()} == {("a", True, 2), ("b", True, 0), ("c", False, 0)}
+
+
+@pytest.mark.parametrize("raw, want", [
+    ('{"category": 5, "justification": null}', ("5", None)),
+    ('{"category": "a", "category": "b", "justification": "c"}', ("b", "c")),
+    ('{"category": "a"}', (responses.UNCATEGORIZED, responses.FORMAT_ERROR)),
+    ('[1]', (responses.UNCATEGORIZED, responses.FORMAT_ERROR)),
+    ('{"category": "a", ', (responses.UNCATEGORIZED, responses.DECODE_ERROR)),
+    (None, (responses.UNCATEGORIZED, responses.NO_RESPONSE)),
+])
+def test_category_keys_may_hold_null_or_repeat(rows, raw, want):
+    assert tuple(responses.parse_category_responses(rows([(raw,)], "raw STRING")).drop("raw").first()) == want
+
+
+def test_repeated_takeaway_keeps_the_last(rows):
+    df = rows([('{"takeaway":"a","takeaway":"b"}',)], "raw STRING")
+    assert responses.parse_takeaway_responses(df).first()["takeaway"] == "b"
+
+
+def test_fresh_responses(rows):
+    asked = rows([(1, "k", "r"), (2, "x", "r")], "id LONG, content_key STRING, rubric_key STRING")
+    given = rows([("k", "r", "old", "2024-01-01"), ("k", "r", "new", "2024-01-09"), ("k", "r", "late", "2024-02-01"),
+                  ("x", "r", "stale", "2023-12-01")], "content_key STRING, rubric_key STRING, raw STRING, d STRING")
+    given = given.select("content_key", "rubric_key", "raw", F.col("d").cast("timestamp").alias("answered_at"))
+    got = joins.fresh_responses(asked, given, "2024-01-10", 10 * 86400)
+    assert {r["id"]: r["raw"] for r in got.collect()} == {1: "new", 2: None}
+
+
+def test_best_criteria_in_blocks(rows):
+    docs = rows([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "id LONG, embedding ARRAY<DOUBLE>")
+    criteria = rows([(i, [float(i % 3), float(i % 5)]) for i in range(20)], "criterion_no LONG, criterion ARRAY<DOUBLE>")
+    for block in (3, 256):
+        got = {(r["id"], r["criterion_no"]): r["score"] for r in joins.best_criteria(docs, criteria, 2, block=block).collect()}
+        assert got == {(1, 5): 10, (1, 10): 10, (2, 3): 10, (2, 4): 10, (3, 0): 1, (3, 1): 1}

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newsloom import profile as p
-from newsloom.operators import chunking, memo, ranking
+from newsloom.operators import chunking, ranking
 from newsloom.operators import takeaways as tk
 from newsloom.session import new_folder
 from newsloom.sources import readers, reports, store
@@ -84,7 +84,7 @@ def test_combination(spark):
         (5, 0, None), (5, 1, None), (6, 0, None),
     ])
     assert got == {
-        1: long, 2: "first part second part", 3: tk.NOTHING_MEANINGFUL, 4: long[:2000], 5: tk.NOTHING_MEANINGFUL, 6: None,
+        1: long, 2: "first part second part", 3: tk.NOTHING_MEANINGFUL, 4: long + " z", 5: tk.NOTHING_MEANINGFUL, 6: None,
     }
     articles = spark.createDataFrame([(1,), (9,)], "id LONG")
     df = spark.createDataFrame([(1, 0, "only")], CHUNK)
@@ -100,75 +100,6 @@ def test_combination_in_blocks_equals_a_join(spark, texts):
     assert got == (joined[:50] if len(joined) >= 10 else tk.NOTHING_MEANINGFUL)
 
 
-REQUEST = "key LONG, request_id LONG, s LONG, usable BOOLEAN"
-
-
-def asked(spark, data):
-    full = [(*r, True) if len(r) == 3 else r for r in data]
-    return spark.createDataFrame(full, REQUEST).withColumn("ts", F.timestamp_seconds("s"))
-
-
-def answers(df):
-    return {
-        r["request_id"]: (r["is_hit"], r["stored_ts"] and int(r["stored_ts"].timestamp())) for r in df.collect()
-    }
-
-
-def remembered_by_hand(data, ttl):
-    stored, got = {}, {}
-    for key, number, s, *ok in sorted(data, key=lambda r: (r[2], r[1])):
-        hit = key is not None and key in stored and s - stored[key] < ttl
-        keep = key is not None and not hit and (not ok or ok[0])
-        if keep:
-            stored[key] = s
-        got[number] = (hit, stored[key] if hit or keep else None)
-    return got
-
-
-def test_memo_does_not_slide(spark):
-    hours = [(1, i, h * 3600) for i, h in enumerate((0, 5, 6, 11, 12))]
-    got = answers(memo.ttl_memo(asked(spark, hours), 6 * 3600))
-    assert [got[i][0] for i in range(5)] == [False, True, False, True, False]
-
-
-KEYS = st.one_of(st.none(), st.integers(0, 2))
-REQUESTS = st.lists(st.tuples(KEYS, st.integers(0, 300), st.booleans()), min_size=1, max_size=60)
-
-
-@QUIET
-@given(REQUESTS)
-def test_memo_equals_a_plain_loop(spark, triples):
-    data = [(k, i, s, ok) for i, (k, s, ok) in enumerate(triples)]
-    assert answers(memo.ttl_memo(asked(spark, data), 25, usable="usable")) == remembered_by_hand(data, 25)
-
-
-@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
-@given(REQUESTS)
-def test_memo_by_slices_equals_a_plain_loop(spark, triples):
-    data = [(k, i, s, ok) for i, (k, s, ok) in enumerate(triples)]
-    got = answers(memo.ttl_memo(asked(spark, data), 60, usable="usable", fold_limit=5))
-    assert got == remembered_by_hand(data, 60)
-
-
-@pytest.mark.parametrize("flagged", [False, True])
-def test_memo_stream_in_steps(spark, flagged):
-    folder, out, checkpoint = (new_folder(spark, x) for x in ("asked", "answered", "progress"))
-    data = [
-        (i % 2, 100 * b + i, b * 100 + i * 7, not flagged or i % 5 > 0) for b in range(3) for i in range(12)
-    ]
-    for b in range(3):
-        part = [r for r in data if r[1] // 100 == b]
-        asked(spark, part).drop("s").write.mode("append").parquet(folder)
-        schema = "key LONG, request_id LONG, ts TIMESTAMP" + (", usable BOOLEAN" if flagged else "")
-        stream = spark.readStream.schema(schema).parquet(folder)
-        jobs.run_to_folder(jobs.stream_ttl_memo(stream, 40), out, checkpoint)
-    got = {
-        r["request_id"]: (r["is_hit"], r["stored_us"] and r["stored_us"] // 1_000_000)
-        for r in spark.read.parquet(out).collect()
-    }
-    assert got == {n: (hit, at or (0 if at == 0 else None)) for n, (hit, at) in remembered_by_hand(data, 40).items()}
-
-
 # --- store ----------------------------------------------------------------------------------------------------
 
 
@@ -280,7 +211,12 @@ def test_search_results(spark, tmp_path):
     path = tmp_path / "dumps.json"
     path.write_text("\n".join(json.dumps(d) for d in dumps))
     got = readers.read_search_results(spark, str(path), "2024-06-15").collect()
-    assert sorted((r["keyword"], r["url"]) for r in got) == [("k0", f"l{i}") for i in range(5)] + [("k1", "l3")]
+    every = [("k0", f"l{i}") for i in range(7)] + [("k1", "l3"), ("k9", "l0")]
+    assert sorted((r["keyword"], r["url"]) for r in got) == every
+    some = readers.read_search_results(spark, str(path), "2024-06-15", max_keywords=5, per_keyword=5).collect()
+    assert sorted((r["keyword"], r["url"]) for r in some) == [("k0", f"l{i}") for i in range(5)] + [("k1", "l3")]
+    plan = readers.read_search_results(spark, str(path), "2024-06-15", per_keyword=5)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_framework(spark, tmp_path):
