@@ -17,6 +17,7 @@ from newsloom.session import stage
 
 KNOWN_WORDS = 1 << 20  # a task forgets its words beyond this many
 KNOWN_SETS = 1 << 20  # and the sets it has met
+BLOCK_TEXTS = 1500  # texts of a block, on average
 FRAGMENT = 4096  # shingles of the order whose overlaps are counted at a time
 class WordHashes(dict):
     """64-bit hashes of the words of one task, kept by number so that a text's are one array look-up."""
@@ -100,6 +101,45 @@ def prefix(shingles: np.ndarray, counters: np.ndarray, bits: int, share: int) ->
     return shingles[order[: n - (share * n + 99) // 100 + 1]]
 
 
+class Segments:
+    """Cuts a set at fixed places of the global order, so finely that similar sets have a segment alike.
+
+    Sets of similarity ``share`` differ in at most ``(|A| + |B|) (100 - share) / (100 + share)`` shingles; with more
+    segments than that, one is the same in both. Sizes are put into classes narrow enough that similar sets lie in one
+    class or in neighbouring ones; the cut of a class is fine enough for its largest sets, and each set is cut as its
+    own class and as the next one. Empty segments say nothing and are left out where enough others remain, which a few
+    segments more make sure of for nearly every set.
+    """
+
+    def __init__(self, share: int) -> None:
+        self.share, self.lows = share, [1]
+
+    def _low(self, k: int) -> int:
+        while len(self.lows) <= k:
+            last = self.lows[-1]
+            self.lows.append(max(last + 1, (last - 1) * 100 // self.share + 1))
+        return self.lows[k]
+
+    def _class_of(self, size: int) -> int:
+        while self.lows[-1] <= size:
+            self._low(len(self.lows))
+        return int(np.searchsorted(self.lows, size, side="right")) - 1
+
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
+        """A 64-bit key of each segment's place and content."""
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(shingles + U(0x632BE59BD9B4E019)), dtype=U)])
+        k, out = self._class_of(len(shingles)), []
+        for c in (k, k + 1):
+            differ = 2 * (self._low(c + 1) - 1) * (100 - self.share) // (100 + self.share)
+            n = differ + 1 + (differ // 10 + 2 if differ else 0)
+            cuts = np.arange(1, n, dtype=U) * U(min((1 << 64) // n, (1 << 64) - 1))
+            at = np.concatenate([[0], np.searchsorted(shingles, cuts), [len(shingles)]])
+            keys = mixed(sums[at[1:]] - sums[at[:-1]] + mixed(np.arange(n, dtype=U) + U(c + 1) * U(1 << 32)))
+            filled = at[1:] > at[:-1]
+            out.append(keys[filled] if filled.sum() > differ else keys)
+        return np.concatenate(out)
+
+
 def node_of(shingles: np.ndarray) -> int:
     """A number for the set: texts of the same set are one node."""
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
@@ -107,7 +147,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 def _cut_sets(counters, bits: int, share: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = WordHashes(), set()
+        known, met, segments = WordHashes(), set(), Segments(share)
         for batch in batches:
             sizes, nodes, keys = [], [], []
             for text in batch.column("text").to_pylist():
@@ -121,7 +161,8 @@ def _cut_sets(counters, bits: int, share: int, words: int):
                 if len(met) >= KNOWN_SETS:
                     met.clear()
                 met.add(node)
-                keys.append(prefix(shingles, counters.value, bits, share).view(np.int64))
+                found = prefix(shingles, counters.value, bits, share) if counters else segments.keys(shingles)
+                keys.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64()))],
@@ -203,7 +244,7 @@ def _link_blocks(share: int, words: int):
 
 def jaccard_components(
     docs: DataFrame, share: int = 90, words: int = 3, key: str = "doc_id", text: str = "text",
-    block_shingles: int = 2_000_000, sketch_bits: int = 20,
+    block_shingles: int = 2_000_000, rare_first: bool = False, sketch_bits: int = 22,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row for each row of ``docs``.
 
@@ -211,14 +252,15 @@ def jaccard_components(
     space); a shorter text is one shingle as a whole, one without words has the empty set and links with nothing. Two
     texts link when 100 |A and B| >= ``share`` |A or B|; ``component_id`` is the smallest id that links lead to.
 
-    1. The global order of shingles puts rare ones first: by a sketch of how many sets hold them, of a fixed size, then
-       by hash. Any order is right; this one keeps passages that many texts share out of the first fragment. Equal sets
-       are one node from here on.
-    2. The order is cut vertically. The first fragment of a set is long enough to hold a shingle in common with every
-       similar set; nodes with such a shingle in common, and sizes that can be similar, are candidates. They are joined
-       in chains by size, which is enough to find the families of candidates, as connected components.
+    1. The global order of shingles (their hashes) is cut vertically, and what two sets have alike in a fragment makes
+       them candidates: a whole segment of the set's size class (``Segments``), or, if ``rare_first``, one shingle of
+       the first fragment of an order in which rare shingles come first (``prefix``, by a sketch of fixed size). Both
+       miss no similar pair. Segments hold some ``100 / (100 - share)`` shingles, which suits high similarities; rare
+       shingles suit lower ones, if shingles are long enough not to meet by chance. Equal sets are one node.
+    2. Nodes with something alike, and sizes that can be similar, are joined in chains by size, which is enough to find
+       the families of candidates, as connected components.
     3. Links exist only within a family. Its texts are dealt into blocks by size class and hash, of about
-       ``block_shingles`` shingles, and every two blocks that can hold similar sizes meet in one task, which counts
+       ``block_shingles`` shingles or ``BLOCK_TEXTS`` texts, and every two blocks that can hold similar sizes meet in one task, which counts
        the overlaps of all its pairs fragment by fragment, sums them, and returns each text with the smallest one it
        is linked to. No pair is ever a row, and no family is one task's work.
     4. Components of these links are the answer. No partner or candidate is capped or left out.
@@ -229,7 +271,9 @@ def jaccard_components(
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    counters = spark.sparkContext.broadcast(sketch(rows.select("text"), words, sketch_bits))
+    counters = None
+    if rare_first:
+        counters = spark.sparkContext.broadcast(sketch(rows.select("text"), words, sketch_bits).astype(np.uint32))
     cut = stage(
         rows.mapInArrow(
             _cut_sets(counters, sketch_bits, share, words), "doc_id long, n_shingles long, node long, keys array<long>"
@@ -267,12 +311,14 @@ def jaccard_components(
     )
 
 
-def one_of_each(docs: DataFrame, share: int = 90, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, share: int = 90, words: int = 3, key: str = "doc_id", text: str = "text", rare_first: bool = False
+) -> DataFrame:
     """One row of each component of ``jaccard_components``, that of the smallest id, all columns as they are.
 
     Rows without an id stay. Of rows that share the smallest id, those that are equal in every column are one.
     """
-    found = stage(jaccard_components(docs, share, words, key, text), "found")
+    found = stage(jaccard_components(docs, share, words, key, text, rare_first=rare_first), "found")
     kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
     # Only rows that may have to go, or that share an id, are moved and joined.
     doubtful = found.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min("component_id").alias("_first"))
@@ -293,7 +339,7 @@ def _verified(
         families.select("node", F.col("root").alias("family")).join(classes, "node").withColumn("band", band), "members"
     )
     blocks = members.groupBy("family", "band").agg(
-        F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("blocks")
+        F.ceil(F.greatest(F.sum("n") / F.lit(block_shingles), F.count("*") / F.lit(BLOCK_TEXTS))).cast("int").alias("blocks")
     )
     above = blocks.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
     below = blocks.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))

@@ -139,7 +139,7 @@ def near_copies(seed):
     return out
 
 
-@pytest.mark.parametrize("share, words, block, bits", [(90, 3, 10**6, 20), (90, 3, 300, 4), (80, 5, 200, 8)])
+@pytest.mark.parametrize("share, words, block, bits", [(90, 3, 10**6, 0), (90, 3, 300, 4), (80, 5, 200, 8), (80, 5, 10**6, 0)])
 def test_jaccard_equals_brute_force(spark, share, words, block, bits):
     texts = near_copies(share + block)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", F.lit("clash"))
@@ -155,7 +155,9 @@ def test_jaccard_equals_brute_force(spark, share, words, block, bits):
             if a and b and 100 * len(a & b) >= share * len(a | b):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    got = jaccard.jaccard_components(df, share, words, block_shingles=block, sketch_bits=bits).collect()
+    got = jaccard.jaccard_components(
+        df, share, words, block_shingles=block, rare_first=bits > 0, sketch_bits=bits
+    ).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {
         i: (len(sets[i]), find(i)) for i in range(len(texts))
     }
