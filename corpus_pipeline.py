@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by word shingles at 0.8, five words each, the one with the smallest id stays."""
-    return jaccard.one_of_each(docs, share=80, words=5)
+    return jaccard.one_of_each(docs, share=80, words=5, rare_first=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
