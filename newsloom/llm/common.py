@@ -103,7 +103,7 @@ class Sieve:
                     [pa.array((at >> U(6)).astype(np.int32)), pa.array(masks)], ["word", "mask"]
                 )
 
-        found = ids.mapInArrow(run, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        found = ids.mapInArrow(run, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         words = np.zeros(1 << (bits - 6), np.int64)
         words[found["word"].to_numpy()] = found["mask"].to_numpy()
         self.words = spark.sparkContext.broadcast(words.view(U))

@@ -135,7 +135,7 @@ def log_ratios(raw: DataFrame, trusted: DataFrame, bits: int) -> np.ndarray:
     both = (
         bucket_counts(raw, bits).withColumnRenamed("n", "raw")
         .join(bucket_counts(trusted, bits).withColumnRenamed("n", "trusted"), "bucket", "left")
-        .toPandas()
+        .toArrow().to_pandas()
     )
     counts = np.zeros((2, 1 << bits))
     counts[0, both["bucket"].to_numpy()] = both["raw"].to_numpy()

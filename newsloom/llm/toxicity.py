@@ -177,7 +177,7 @@ def part_of(key: str = "doc_id"):
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 500_000,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 200_000,
     calibration_rows: int = 50_000,
 ):
     """The ratios of grams, broadcast to the executors (at most ``max_grams`` and their contexts), and the weights of the score."""
@@ -200,19 +200,19 @@ def fit(
         .groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
         .orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "gram").limit(max_grams)
     )
-    model = spark.sparkContext.broadcast(log_ratios(grams.toPandas()))
+    model = spark.sparkContext.broadcast(log_ratios(grams.toArrow().to_pandas()))
     sample = (
         learn.filter("calibrates").select("doc_id", "text", "toxic")
         .mapInArrow(_score(model, None), f"doc_id long, {RATIOS}, toxic int")
         .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(calibration_rows)
-        .toPandas()
+        .toArrow().to_pandas()
     )
     weights = calibrate(sample[list(FEATURES)].to_numpy(float), sample["toxic"].to_numpy(float))
     return model, weights
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 500_000,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 200_000,
     calibration_rows: int = 50_000,
 ) -> DataFrame:
     """``doc_id``, the ratios, ``score, predicted``: one row for each row of ``docs``.
