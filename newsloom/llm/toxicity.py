@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Sieve, ship, text_or_empty
@@ -18,7 +19,7 @@ from newsloom.session import stage
 ORDER = 6
 PAD = " " * (ORDER - 1)
 EDGES = ".,!?;:\"'()*#%&$|<>-"
-KNOWN_WORDS = 500_000  # a task forgets the scores of its words beyond this many and works them out again
+CHUNK_CHARS, CHUNK_ROWS = 14_000_000, 100_000  # so many characters, or rows, share one list of words
 
 
 def normal(word: str) -> str:
@@ -31,32 +32,10 @@ def word_grams(word: str) -> list[str]:
     return [padded[i : i + ORDER] for i in range(len(word) + 1)]
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def fold(words: Counter, into: Counter) -> None:
-        for word, n in words.items():
-            w = normal(word)
-            if w:
-                for gram in word_grams(w):
-                    into[gram] += n
-
-    for batch in batches:
-        words: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words[toxic].update(text.split())
-        for k in (0, 1):
-            fold(words[k], totals[k])
-    grams = list(totals[0].keys() | totals[1].keys())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(grams, pa.string()), *[pa.array([totals[k][g] for g in grams], pa.int64()) for k in (0, 1)]],
-        ["gram", "ordinary", "toxic"],
-    )
-
-
 def log_ratios(grams: pd.DataFrame, discount: float = 0.75) -> dict[str, float]:
     """ln p(character | those before; toxic) - ln p(... ; ordinary), by gram and, for unseen grams, by context.
 
+    The definition in plain form, for small tables; ``estimate`` is the same model as Spark tables.
     Each class has its own counts of whole grams. What a class has not seen falls to one Kneser-Ney model of shorter
     grams over both classes (how many different characters precede them), weighted by the class's own discount mass. A
     gram unseen in both classes has the shared factor on both sides, so the ratio is that of the discount masses.
@@ -88,54 +67,232 @@ def log_ratios(grams: pd.DataFrame, discount: float = 0.75) -> dict[str, float]:
     return out
 
 
-class WordScores(dict):
-    """Log-likelihood ratio of a word, worked out when it is first met."""
+def estimate(grams: DataFrame, discount: float = 0.75) -> DataFrame:
+    """``gram, context, ratio, mass``: the model of ``log_ratios`` from a table ``gram, ordinary, toxic`` of any size.
+
+    Type counts of each shorter level, their context sums and the two classes' sums are tables too; only the number of
+    types of the lowest level comes to the driver. Sums by context run over the characters that follow it.
+    """
+    tail = F.substring("seq", 2, ORDER)
+    g = grams.filter("ordinary + toxic > 0").select("gram", "ordinary", "toxic")
+    levels = [stage(g.groupBy(F.substring("gram", 2, ORDER).alias("seq")).agg(F.count("*").alias("n")), "toxicity-types")]
+    for _ in range(ORDER - 2):
+        levels.append(stage(levels[-1].groupBy(tail.alias("seq")).agg(F.count("*").alias("n")), "toxicity-types"))
+    types = levels[-1].agg(F.sum("n")).first()[0] or 1
+    p = levels[-1].select("seq", (F.col("n") / types).alias("p"))
+    for size, counts in zip(range(2, ORDER), reversed(levels[:-1])):
+        by = Window.partitionBy("context")
+        sums = counts.withColumn("context", F.substring("seq", 1, size - 1)).select(
+            "seq", "n", tail.alias("tail"), F.sum("n").over(by).alias("total"), F.count("*").over(by).alias("kinds")
+        )
+        lower = p.select(F.col("seq").alias("tail"), F.col("p").alias("lower"))
+        spread = discount * F.col("kinds") * F.col("lower")
+        p = sums.join(lower, "tail").select(
+            "seq", ((F.greatest(F.col("n") - discount, F.lit(0.0)) + spread) / F.col("total")).alias("p")
+        )
+    by = Window.partitionBy("context")
+    sums = g.withColumn("context", F.substring("gram", 1, ORDER - 1)).select(
+        "gram", "context", "ordinary", "toxic", F.substring("gram", 2, ORDER).alias("seq"),
+        *[F.sum(k).over(by).alias(f"total_{k}") for k in ("ordinary", "toxic")],
+        *[F.sum((F.col(k) > 0).cast("long")).over(by).alias(f"kinds_{k}") for k in ("ordinary", "toxic")],
+    )
+
+    def mass(k: str) -> Column:
+        return F.when(F.col(f"total_{k}") > 0, discount * F.col(f"kinds_{k}") / F.col(f"total_{k}")).otherwise(1.0)
+
+    def chance(k: str) -> Column:
+        own = F.greatest(F.col(k) - discount, F.lit(0.0)) / F.col(f"total_{k}")
+        return F.when(F.col(f"total_{k}") > 0, own).otherwise(0.0) + mass(k) * F.col("p")
+
+    return stage(
+        sums.join(p, "seq").select(
+            "gram", "context", (F.log(chance("toxic")) - F.log(chance("ordinary"))).alias("ratio"),
+            (F.log(mass("toxic")) - F.log(mass("ordinary"))).alias("mass"),
+        ),
+        "toxicity-model",
+    )
+
 
-    def __init__(self, ratios: dict[str, float]) -> None:
+class Places(dict):
+    """Places of the words, as they are written, in a chunk's list of words in normal form."""
+
+    def __init__(self) -> None:
         super().__init__()
-        self.ratios = ratios
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = self.words.setdefault(normal(word), len(self.words))
+        return place
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Small integers compressed, byte by byte of their size."""
+    planes = np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
+def places_of_grams(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct grams of the words in order, the places of each word's grams in them, and how many each word has."""
+    order: dict[str, int] = {}
+    found = np.fromiter((order.setdefault(g, len(order)) for w in words if w for g in word_grams(w)), np.int32)
+    names = sorted(order)
+    rank = np.empty(len(names), np.int32)
+    rank[np.fromiter(map(order.__getitem__, names), np.int32, len(names))] = np.arange(len(names))
+    return names, rank[found], np.array([len(w) + 1 if w else 0 for w in words], np.int64)
+
+
+COUNTED = ("ordinary", "toxic", "held_ordinary", "held_toxic")  # occurrences in rows that train, and that calibrate
+CHUNKS = (
+    "chunk long, doc_id array<long>, toxic array<int>, lengths binary, places binary, words binary, "
+    "contexts array<struct<start: int, context: string, next: string>>, "
+    f"grams array<struct<gram: string, {', '.join(f'{k}: long' for k in COUNTED)}>>"
+)
+ROW = pa.schema([
+    ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("toxic", pa.list_(pa.int32())), ("lengths", pa.binary()),
+    ("places", pa.binary()), ("words", pa.binary()),
+    ("contexts", pa.list_(pa.struct([("start", pa.int32()), ("context", pa.string()), ("next", pa.string())]))),
+    ("grams", pa.list_(pa.struct([("gram", pa.string()), *[(k, pa.int64()) for k in COUNTED]]))),
+])
+
+
+def _chunk(number: int, words: list[str], rows: list[tuple[int, int, np.ndarray]], learns: bool) -> pa.RecordBatch:
+    names, at, sizes = places_of_grams(words)
+    used, grams = np.ones(len(names), bool), []
+    if learns:
+        counts = []
+        for k in range(len(COUNTED)):
+            of = [places for _, kind, places in rows if kind == k]
+            seen = np.bincount(np.concatenate(of), minlength=len(words)) if of else np.zeros(len(words), np.int64)
+            counts.append(np.bincount(at, np.repeat(seen, sizes), len(names)).astype(np.int64))
+        used = counts[2] + counts[3] > 0
+        grams = pa.StructArray.from_arrays([pa.array(names, pa.string()), *map(pa.array, counts)], ["gram", *COUNTED])
+        rows = [row for row in rows if row[1] > 1]
+    starts, contexts, following = [], [], []
+    for i in np.flatnonzero(used).tolist():
+        context = names[i][:-1]
+        if contexts and contexts[-1] == context and i == starts[-1] + len(following[-1]):
+            following[-1] += names[i][-1]
+        else:
+            starts.append(i)
+            contexts.append(context)
+            following.append(names[i][-1])
+    entries = pa.StructArray.from_arrays(
+        [pa.array(starts, pa.int32()), pa.array(contexts, pa.string()), pa.array(following, pa.string())],
+        ["start", "context", "next"],
+    )
+
+    def one(values, kind: pa.DataType) -> pa.Array:
+        """A list column of one row."""
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind.value_type))
+
+    steps = [np.diff(places, prepend=np.int32(0)) for *_, places in rows]
+    columns = [
+        pa.array([number]), one([r[0] for r in rows], ROW.field("doc_id").type),
+        one([r[1] & 1 for r in rows], ROW.field("toxic").type),
+        pa.array([packed(np.array([len(x) for x in steps], np.int32))]),
+        pa.array([packed(np.concatenate([np.zeros(0, np.int32), *steps]))]),
+        pa.array([zlib.compress("\n".join(words).encode(), 1)]), one(entries, ROW.field("contexts").type),
+        one(grams, ROW.field("grams").type),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=ROW)
+
+
+def _chunks(learns: bool):
+    """Texts as chunks: the distinct words of some thousand texts, and each text as sorted places in that list.
+
+    Where texts teach, the grams come with their occurrences by class, and only texts that calibrate are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        known, rows, size = Places(), [], 0
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist() if learns else [0] * batch.num_rows
+            for i, text, kind in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), kinds):
+                words = text.split()
+                places = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                places.sort()
+                rows.append((i, kind, places))
+                size += len(text)
+                if size >= CHUNK_CHARS or len(rows) >= CHUNK_ROWS:
+                    yield _chunk(number, list(known.words), rows, learns)
+                    number += 1
+                    known, rows, size = Places(), [], 0
+        if rows:
+            yield _chunk(number, list(known.words), rows, learns)
+
+    return run
 
-    def __missing__(self, word: str) -> float:
-        ratio, w = self.ratios, normal(word)
-        value = sum(ratio[g] if g in ratio else ratio.get(g[:-1], 0.0) for g in word_grams(w)) if w else 0.0
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = value
-        return value
+
+def chunks_of(rows: DataFrame, learns: bool = False) -> DataFrame:
+    """Chunks of ``doc_id, text`` (and ``kind``, a place in ``COUNTED``), written once."""
+    return stage(rows.mapInArrow(_chunks(learns), CHUNKS), "toxicity")
 
 
 FEATURES = ("mean_ratio", "telling_ratio", "three_ratio", "word_ratio")
 RATIOS = ", ".join(f"{name} double" for name in FEATURES)
 
 
-def text_features(text: str, scores: WordScores) -> tuple[float, ...]:
+def ratio_features(values: np.ndarray) -> tuple[float, ...]:
     """Log-likelihood ratio for each word: of all words, of the most telling fiftieth, the three and the one most telling."""
-    values = sorted([scores[w] for w in text.split()], reverse=True)
-    if not values:
+    if not len(values):
         return (0.0,) * len(FEATURES)
+    values = np.sort(values)[::-1]
     telling = -(-len(values) // 50)
-    return tuple(math.fsum(values[:n]) / min(n, len(values)) for n in (len(values), telling, 3, 1))
+    return tuple(float(values[:n].mean()) for n in (len(values), telling, 3, 1))
 
 
-def _score(model, weights):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(model.value)
-        for batch in batches:
-            x = features(batch.column("text").to_pylist(), scores)
-            columns, names = [batch.column("doc_id"), *map(pa.array, x.T.copy())], ["doc_id", *FEATURES]
-            if weights is None:
-                columns, names = [*columns, batch.column("toxic")], [*names, "toxic"]
-            else:
-                p = probability(x, weights)
-                columns += [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
-                names += ["score", "predicted"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k] for c in batch.schema.names}
+            words = zlib.decompress(row["words"].as_py()).decode().split("\n")
+            names, at, sizes = places_of_grams(words)
+            of_gram = np.zeros(len(names))
+            if row["found"].is_valid:
+                start, ratios = (row["found"].values.field(c) for c in ("start", "ratios"))
+                lengths = ratios.value_lengths().to_numpy()
+                first = np.cumsum(lengths) - lengths
+                slots = np.repeat(start.to_numpy() - first, lengths) + np.arange(lengths.sum())
+                of_gram[slots] = ratios.flatten().to_numpy()
+            sums = np.concatenate([[0.0], np.cumsum(of_gram[at])])
+            ends = np.cumsum(sizes)
+            of_word = sums[ends] - sums[ends - sizes]
+            lengths = unpacked(row["lengths"].as_py())
+            texts = np.split(unpacked(row["places"].as_py()), np.cumsum(lengths)[:-1]) if len(lengths) else []
+            x = np.array([ratio_features(of_word[np.cumsum(t)]) for t in texts]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays(
+                [row["doc_id"].values, *map(pa.array, x.T.copy()), row["toxic"].values], ["doc_id", *FEATURES, "toxic"]
+            )
+
+
+def features(chunks: DataFrame, model: DataFrame) -> DataFrame:
+    """``doc_id``, the ratios and ``toxic`` of the texts in chunks.
+
+    The distinct grams of a chunk, by context, meet the model by a join and come back to it as one list; the texts
+    themselves do not move. A gram that the model lacks has what its context gives, or 0.
+    """
+    by_context = model.groupBy("context").agg(
+        F.min("mass").alias("mass"),
+        F.map_from_entries(F.collect_list(F.struct(F.substring("gram", ORDER, 1), "ratio"))).alias("known"),
+    )
 
+    def ratio(i: Column) -> Column:
+        known = F.try_element_at("known", F.substring(F.col("next"), i, F.lit(1)))
+        return F.coalesce(known, F.col("mass"), F.lit(0.0)).cast("float")
 
-def features(texts: list[str | None], scores: WordScores) -> np.ndarray:
-    return np.array([text_features(t or "", scores) for t in texts]).reshape(-1, len(FEATURES))
+    found = (
+        chunks.select("chunk", F.inline("contexts")).join(by_context, "context")
+        .select("chunk", "start", F.transform(F.sequence(F.lit(1), F.char_length("next")), ratio).alias("ratios"))
+        .groupBy("chunk").agg(F.collect_list(F.struct("start", "ratios")).alias("found"))
+    )
+    rows = chunks.select("chunk", "doc_id", "toxic", "lengths", "places", "words")
+    return rows.join(found, "chunk", "left").mapInArrow(_features, f"doc_id long, {RATIOS}, toxic int")
 
 
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -176,34 +333,27 @@ def part_of(key: str = "doc_id"):
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 5
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 200_000,
-    calibration_rows: int = 50_000,
-):
-    """The ratios of grams, broadcast to the executors (at most ``max_grams`` and their contexts), and the weights of the score."""
-    spark = docs.sparkSession
-    ship(spark)
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", calibration_rows: int = 50_000):
+    """The model as a table, and the weights of the score."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     known = (
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
-    learn = stage(
+    kind = F.col("toxic") + F.when(part_of() == 1, 2).otherwise(0)
+    learn = chunks_of(
         Sieve(known.select("doc_id")).sift(rows.filter(part_of() != 0), "doc_id")
         .join(known.filter(part_of() != 0).hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "text", "toxic", (part_of() == 1).alias("calibrates")),
-        "toxicity",
+        .select("doc_id", "text", kind.cast("int").alias("kind")),
+        learns=True,
     )
-    grams = (
-        learn.filter(~F.col("calibrates")).select("text", "toxic")
-        .mapInArrow(_count_grams, "gram string, ordinary long, toxic long")
-        .groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        .orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "gram").limit(max_grams)
+    grams = stage(
+        learn.select(F.inline("grams")).groupBy("gram").agg(*[F.sum(k).alias(k) for k in COUNTED]), "toxicity-grams"
     )
-    model = spark.sparkContext.broadcast(log_ratios(grams.toArrow().to_pandas()))
+    model = estimate(grams.select("gram", "ordinary", "toxic"))
     sample = (
-        learn.filter("calibrates").select("doc_id", "text", "toxic")
-        .mapInArrow(_score(model, None), f"doc_id long, {RATIOS}, toxic int")
+        features(learn, model)
         .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(calibration_rows)
         .toArrow().to_pandas()
     )
@@ -211,9 +361,28 @@ def fit(
     return model, weights
 
 
+def _scored(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
+            p = probability(x, weights)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *map(batch.column, FEATURES), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
+                ["doc_id", *FEATURES, "score", "predicted"],
+            )
+
+    return run
+
+
+def score(rows: DataFrame, model: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``doc_id``, the ratios, ``score, predicted`` of ``doc_id, text``."""
+    return features(chunks_of(rows), model).mapInArrow(
+        _scored(weights), f"doc_id long, {RATIOS}, score double, predicted int"
+    )
+
+
 def toxicity(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_grams: int = 200_000,
-    calibration_rows: int = 50_000,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", calibration_rows: int = 50_000
 ) -> DataFrame:
     """``doc_id``, the ratios, ``score, predicted``: one row for each row of ``docs``.
 
@@ -223,25 +392,26 @@ def toxicity(
     that tell most (a single insult in a long text). A logistic function of these, fitted on rows that trained neither
     model, is the score.
 
-    Learning uses labelled rows outside the held-out fifth: all of them for the counts, of which the ``max_grams`` most
-    frequent grams make up the model (rarer ones are left to backoff), and up to ``calibration_rows`` for the
-    weights. ``labels`` has ``doc_id, toxic``; several labels of an id count as toxic if one is. Ids or labels that are
+    Learning uses labelled rows outside the held-out fifth: three of the other four fifths for the counts, of which every
+    gram is in the model, and up to ``calibration_rows`` of the fourth for the weights. The model is a table, which
+    the distinct grams of some thousand texts at a time are joined with. ``labels`` has ``doc_id, toxic``; several labels of an id count as toxic if one is. Ids or labels that are
     null teach nothing. Null and empty texts have ratios 0 and get the score that goes with them; without labels every
     score is near 0; an empty table gives no rows.
     """
-    model, weights = fit(docs, labels, key, text, max_grams, calibration_rows)
+    model, weights = fit(docs, labels, key, text, calibration_rows)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(_score(model, weights), f"doc_id long, {RATIOS}, score double, predicted int")
+    return score(rows, model, weights)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``toxicity`` does not predict to be toxic, all columns as they are; no row moves."""
-    model, weights = fit(docs, labels, key, text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(model.value)
-        for batch in batches:
-            x = features(batch.column(text).to_pylist(), scores)
-            yield batch.filter(pa.array(probability(x, weights) < 0.5))
+    """The rows of ``docs`` that ``toxicity`` does not predict to be toxic, all columns as they are.
 
-    return docs.mapInArrow(run, docs.schema)
+    A verdict follows from the text, so toxic texts are known by a 64-bit hash; only rows that a sieve holds move.
+    """
+    model, weights = fit(docs, labels, key, text)
+    digest = F.xxhash64(text_or_empty(text))
+    found = score(docs.select(digest.alias("doc_id"), text_or_empty(text).alias("text")), model, weights)
+    toxic = stage(found.filter("predicted = 1").select(F.col("doc_id").alias("_digest")).distinct(), "toxicity-found")
+    sieve, rows = Sieve(toxic), docs.withColumn("_digest", digest)
+    held = sieve.sift(rows, "_digest").join(toxic.hint("shuffle_hash"), "_digest", "left_anti")
+    return sieve.sift(rows, "_digest", passing=False).unionByName(held).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -268,6 +268,48 @@ def test_ratios_of_grams_follow_the_definition():
         assert got[row.gram] == pytest.approx(logs[0] - logs[1])
 
 
+def test_estimate_equals_the_definition(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcde", k=rng.randrange(1, 9))) for _ in range(300)]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for word in words:
+        for gram in toxicity.word_grams(word):
+            counts[gram][rng.randrange(2)] += rng.randrange(1, 4)
+    grams = pd.DataFrame([(g, *n) for g, n in counts.items()], columns=["gram", "ordinary", "toxic"])
+    model, want = toxicity.estimate(spark.createDataFrame(grams)), toxicity.log_ratios(grams)
+    got = model.toPandas()
+    assert sorted(got.gram) == sorted(grams.gram)
+    for row in got.itertuples():
+        assert row.ratio == pytest.approx(want[row.gram]) and row.mass == pytest.approx(want[row.context])
+    others = ["".join(rng.choices("abcdef", k=rng.randrange(1, 9))) for _ in range(200)]
+    texts = [(i, " ".join(rng.choices(words + others, k=i % 70))) for i in range(300)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    scored = toxicity.score(rows, model, np.zeros(5)).collect()
+    assert len(scored) == 300
+    for row in scored:
+        ratios = sorted((
+            sum(want[g] if g in want else want.get(g[:-1], 0.0) for g in toxicity.word_grams(w))
+            for w in texts[row.doc_id][1].split()
+        ), reverse=True)
+        tops = (len(ratios), -(-len(ratios) // 50), 3, 1)
+        assert row[1:5] == pytest.approx([np.mean(ratios[:n]) if ratios else 0.0 for n in tops], abs=1e-5)
+
+
+def test_every_sequence_is_in_the_model(spark):
+    """More sequences than any fixed number kept before; the toxic ones are the rarest, each seen once."""
+    rng, docs, trains = random.Random(5), [], set()
+    for i in range(1, 1201):
+        toxic = i % 20 == 3
+        words = ["".join(rng.choices("uvwxyz" if toxic else "abcdefghijklmnopqrst", k=10)) for _ in range(6 if toxic else 40)]
+        docs.append((i, " ".join(words if toxic else words * 2), int(toxic)))
+        if zlib.crc32(str(i).encode()) % 5 > 1:
+            trains.update(g for w in words for g in toxicity.word_grams(w))
+    assert len(trains) > 200_000
+    rows = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model, _ = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert trains <= {r.gram for r in model.select("gram").collect()}
+
+
 def test_toxicity_without_labels_or_with_one_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for rows in ([], [(i, 0) for i in range(30)]):
