@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import Sieve, ship, text_or_empty
 from newsloom.session import stage
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 ORDER = 6
 PAD = " " * (ORDER - 1)
 EDGES = ".,!?;:\"'()*#%&$|<>-"
-CHUNK_CHARS, CHUNK_ROWS = 14_000_000, 100_000  # so many characters, or rows, share one list of words
+CHUNK_CHARS, CHUNK_ROWS = 20_000_000, 150_000  # so many characters, or rows, share one list of words
 
 
 def normal(word: str) -> str:
@@ -40,6 +43,8 @@ def log_ratios(grams: pd.DataFrame, discount: float = 0.75) -> dict[str, float]:
     grams over both classes (how many different characters precede them), weighted by the class's own discount mass. A
     gram unseen in both classes has the shared factor on both sides, so the ratio is that of the discount masses.
     """
+    import pandas as pd  # not in the workers, which have little memory
+
     if grams.empty:
         return {}
     g = grams.assign(context=grams.gram.str[:-1], rest=grams.gram.str[1:])
@@ -247,32 +252,51 @@ def ratio_features(values: np.ndarray) -> tuple[float, ...]:
     return tuple(float(values[:n].mean()) for n in (len(values), telling, 3, 1))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = {c: batch.column(c)[k] for c in batch.schema.names}
-            words = zlib.decompress(row["words"].as_py()).decode().split("\n")
-            names, at, sizes = places_of_grams(words)
-            of_gram = np.zeros(len(names))
-            if row["found"].is_valid:
-                start, ratios = (row["found"].values.field(c) for c in ("start", "ratios"))
-                lengths = ratios.value_lengths().to_numpy()
-                first = np.cumsum(lengths) - lengths
-                slots = np.repeat(start.to_numpy() - first, lengths) + np.arange(lengths.sum())
-                of_gram[slots] = ratios.flatten().to_numpy()
-            sums = np.concatenate([[0.0], np.cumsum(of_gram[at])])
-            ends = np.cumsum(sizes)
-            of_word = sums[ends] - sums[ends - sizes]
-            lengths = unpacked(row["lengths"].as_py())
-            texts = np.split(unpacked(row["places"].as_py()), np.cumsum(lengths)[:-1]) if len(lengths) else []
-            x = np.array([ratio_features(of_word[np.cumsum(t)]) for t in texts]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays(
-                [row["doc_id"].values, *map(pa.array, x.T.copy()), row["toxic"].values], ["doc_id", *FEATURES, "toxic"]
-            )
-
-
-def features(chunks: DataFrame, model: DataFrame) -> DataFrame:
-    """``doc_id``, the ratios and ``toxic`` of the texts in chunks.
+def _values_of_words(row: dict) -> np.ndarray:
+    """The log-likelihood ratio of each word of a chunk."""
+    names, at, sizes = places_of_grams(zlib.decompress(row["words"].as_py()).decode().split("\n"))
+    of_gram = np.zeros(len(names))
+    if row["found"].is_valid:
+        start, ratios = (row["found"].values.field(c) for c in ("start", "ratios"))
+        lengths = ratios.value_lengths().to_numpy()
+        first = np.cumsum(lengths) - lengths
+        slots = np.repeat(start.to_numpy() - first, lengths) + np.arange(lengths.sum())
+        of_gram[slots] = ratios.flatten().to_numpy()
+    del names
+    of_word = np.zeros(len(sizes))
+    filled = np.flatnonzero(sizes)  # only an empty word has no grams
+    if len(filled):
+        of_word[filled] = np.add.reduceat(of_gram[at], (np.cumsum(sizes) - sizes)[filled])
+    return of_word
+
+
+def _features_of_chunk(row: dict) -> np.ndarray:
+    of_word = _values_of_words(row)
+    lengths = unpacked(row["lengths"].as_py())
+    texts = np.split(unpacked(row["places"].as_py()), np.cumsum(lengths)[:-1]) if len(lengths) else []
+    return np.array([ratio_features(of_word[np.cumsum(t)]) for t in texts]).reshape(-1, len(FEATURES))
+
+
+def _features(weights: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                x = _features_of_chunk(row)
+                columns, names = [row["doc_id"].values, *map(pa.array, x.T.copy())], ["doc_id", *FEATURES]
+                if weights is None:
+                    columns, names = [*columns, row["toxic"].values], [*names, "toxic"]
+                else:
+                    p = probability(x, weights)
+                    columns += [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
+                    names += ["score", "predicted"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def features(chunks: DataFrame, model: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """``doc_id``, the ratios and, without weights, ``toxic`` of the texts in chunks, else ``score, predicted``.
 
     The distinct grams of a chunk, by context, meet the model by a join and come back to it as one list; the texts
     themselves do not move. A gram that the model lacks has what its context gives, or 0.
@@ -292,7 +316,8 @@ def features(chunks: DataFrame, model: DataFrame) -> DataFrame:
         .groupBy("chunk").agg(F.collect_list(F.struct("start", "ratios")).alias("found"))
     )
     rows = chunks.select("chunk", "doc_id", "toxic", "lengths", "places", "words")
-    return rows.join(found, "chunk", "left").mapInArrow(_features, f"doc_id long, {RATIOS}, toxic int")
+    more = "toxic int" if weights is None else "score double, predicted int"
+    return rows.join(found, "chunk", "left").mapInArrow(_features(weights), f"doc_id long, {RATIOS}, {more}")
 
 
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -329,19 +354,25 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
 
 
 def part_of(key: str = "doc_id"):
-    """crc32 of the id's digits modulo 5: 0 is held out from all learning, 1 calibrates, the rest trains."""
+    """crc32 of the id's digits modulo 5: 0 is held out from all learning, the sample that calibrates is from 1."""
     return F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 5
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", calibration_rows: int = 50_000):
-    """The model as a table, and the weights of the score."""
+    """The model as a table, and the weights of the score.
+
+    The weights are fitted on a sample by a model that does not know it; then the sample teaches the model too.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     known = (
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
-    kind = F.col("toxic") + F.when(part_of() == 1, 2).otherwise(0)
+    known_rows = known.filter(part_of() != 0).count()
+    share = min(1.0, 4 * calibration_rows / max(known_rows, 1))  # of the fifth that calibrates, a quarter of the rows
+    sampled = (part_of() == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    kind = F.col("toxic") + F.when(sampled, 2).otherwise(0)
     learn = chunks_of(
         Sieve(known.select("doc_id")).sift(rows.filter(part_of() != 0), "doc_id")
         .join(known.filter(part_of() != 0).hint("shuffle_hash"), "doc_id")
@@ -351,34 +382,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     grams = stage(
         learn.select(F.inline("grams")).groupBy("gram").agg(*[F.sum(k).alias(k) for k in COUNTED]), "toxicity-grams"
     )
-    model = estimate(grams.select("gram", "ordinary", "toxic"))
+    trained = estimate(grams.select("gram", "ordinary", "toxic"))
     sample = (
-        features(learn, model)
+        features(learn, trained)
         .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(calibration_rows)
         .toArrow().to_pandas()
     )
     weights = calibrate(sample[list(FEATURES)].to_numpy(float), sample["toxic"].to_numpy(float))
-    return model, weights
-
-
-def _scored(weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
-            p = probability(x, weights)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *map(batch.column, FEATURES), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                ["doc_id", *FEATURES, "score", "predicted"],
-            )
-
-    return run
+    both = [(F.col(k) + F.col(f"held_{k}")).alias(k) for k in ("ordinary", "toxic")]
+    return estimate(grams.select("gram", *both)), weights
 
 
 def score(rows: DataFrame, model: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id``, the ratios, ``score, predicted`` of ``doc_id, text``."""
-    return features(chunks_of(rows), model).mapInArrow(
-        _scored(weights), f"doc_id long, {RATIOS}, score double, predicted int"
-    )
+    return features(chunks_of(rows), model, weights)
 
 
 def toxicity(
@@ -389,12 +406,12 @@ def toxicity(
     Two Kneser-Ney models, of the toxic and of the ordinary labelled texts, give every word a log-likelihood ratio,
     from its characters and those before them, so that rare forms of an expression are known by their parts. A text is
     judged by length-normalised ratios: the mean over its words, and the means over the fiftieth, the three and the one
-    that tell most (a single insult in a long text). A logistic function of these, fitted on rows that trained neither
-    model, is the score.
+    that tell most (a single insult in a long text). A logistic function of these is the score. Its weights are fitted
+    on rows that the models did not know then.
 
-    Learning uses labelled rows outside the held-out fifth: three of the other four fifths for the counts, of which every
-    gram is in the model, and up to ``calibration_rows`` of the fourth for the weights. The model is a table, which
-    the distinct grams of some thousand texts at a time are joined with. ``labels`` has ``doc_id, toxic``; several labels of an id count as toxic if one is. Ids or labels that are
+    Learning uses labelled rows outside the held-out fifth, all of them for the counts, of which every gram is in the
+    model. The weights are fitted on about ``calibration_rows`` of them at most, chosen by a hash of the id, with a model
+    of all the others; the sample's counts are added afterwards. The model is a table, which the distinct grams of some thousand texts at a time are joined with. ``labels`` has ``doc_id, toxic``; several labels of an id count as toxic if one is. Ids or labels that are
     null teach nothing. Null and empty texts have ratios 0 and get the score that goes with them; without labels every
     score is near 0; an empty table gives no rows.
     """

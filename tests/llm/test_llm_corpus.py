@@ -310,6 +310,17 @@ def test_every_sequence_is_in_the_model(spark):
     assert trains <= {r.gram for r in model.select("gram").collect()}
 
 
+def test_rows_that_calibrate_teach_the_counts_too(spark):
+    docs = [(i, f"plain w{i} text", i % 2) for i in range(1, 200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    for most in (50_000, 5):
+        model, _ = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), calibration_rows=most)
+        want = {
+            g for i, text, _ in docs if zlib.crc32(str(i).encode()) % 5 for w in text.split() for g in toxicity.word_grams(w)
+        }
+        assert {r.gram for r in model.select("gram").collect()} == want
+
+
 def test_toxicity_without_labels_or_with_one_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for rows in ([], [(i, 0) for i in range(30)]):
