@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -72,6 +73,26 @@ def byte_bpe(name: str = "byte_bpe_50k.tiktoken"):
     )
 
 
+SLICE = 1 << 22  # bytes of a text that are taken apart at a time
+BLANK = re.compile(rb"[\x09-\x0D\x20]")
+
+
+def word_slices(data: bytes, overlap: int, size: int = SLICE) -> Iterator[tuple[list[bytes], int]]:
+    """The words of a text (split at ASCII white space) in runs, so that a very long text is never held as words.
+
+    Each run starts with the last ``overlap`` words of what came before; their number is the second value.
+    """
+    at, carried = 0, []
+    while at < len(data):
+        end = len(data)
+        if at + size < end and (blank := BLANK.search(data, at + size)):
+            end = blank.start()
+        words = carried + data[at:end].split()
+        yield words, len(carried)
+        carried = words[max(0, len(words) - overlap) :]
+        at = end
+
+
 U = np.uint64
 
 

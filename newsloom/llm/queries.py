@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, jaccard, packing, quality, secrets, sentencepiece_codec, sharding, token_counts, topk, toxicity
+from newsloom.llm import (
+    chat, clustering, jaccard, packing, quality, resample, secrets, sentencepiece_codec, sharding, token_counts, topk,
+    toxicity, vptree,
+)
 from newsloom.llm.common import table
-from newsloom.session import new_folder
+from newsloom.session import new_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,6 +148,37 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf, "documents")))
 
 
+@query
+def op11_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors in eight clusters after ten rounds."""
+    found = clustering.centroid_clusters(table(spark, sf, "embeddings"))
+    assigned = stage(found.assigned, "assigned")
+    of_cluster = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("sum"))
+    sums = {row["cluster"]: int(row["sum"]) for row in of_cluster.collect()}  # a row for each cluster
+    largest = clustering.LARGEST
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    clusters = spark.createDataFrame(
+        [(i, min(sums.get(i, 0), largest), min(sum(sums.values()), largest), name) for i, name in enumerate(names)],
+        "cluster int, cluster_inertia long, inertia long, centroid_sha256 string",
+    )
+    return assigned.join(F.broadcast(clusters), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+@query
+def op12_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose fingerprints differ in two bits at most, as components."""
+    return vptree.simhash_components(table(spark, sf, "documents"))
+
+
+@query
+def op13_importance_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """A twentieth of all documents of twenty words or more, drawn towards the benchmark's n-grams."""
+    drawn = resample.importance_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 ORACLES["op2_sharding"] = """
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, coalesce('=' || source, '-') AS stratum FROM documents),
@@ -212,3 +247,65 @@ reach(id, root) AS (SELECT id, id FROM c UNION SELECT near.b, root FROM reach JO
 r AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
 SELECT documents.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(r.root, documents.doc_id) AS component_id
 FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.s = list_sort(s.s) LEFT JOIN r ON r.id = c.id"""
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """Each round's distances, assignment and centroids as tables of their own; floor(sum / count) of whole numbers."""
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: "
+        "floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE len(embedding) = 64 AND "
+        "len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), e) - 1 AS c, e AS m FROM v "
+        "WHERE vec_id IS NOT NULL QUALIFY c < 8)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT i, arg_min((c, d), (d, c)) AS best FROM (SELECT v.i, c, list_sum(list_transform("
+            f"list_zip(v.e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r}) GROUP BY i)"
+        )
+        if r < rounds:
+            steps.append(
+                f"s{r} AS (SELECT best[1] AS c, pos, sum(e[pos])::BIGINT AS s, count(*) AS n FROM a{r} JOIN v USING (i), "
+                f"range(1, 65) t(pos) GROUP BY ALL),\n"
+                f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(list((s - ((s % n) + n) % n) // n ORDER BY pos) FILTER (n > 0), "
+                f"any_value(m)) AS m FROM c{r} LEFT JOIN s{r} USING (c) GROUP BY c)"
+            )
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, best[1]::INT AS cluster, best[2] AS distance, (sum(best[2]) OVER (PARTITION BY best[1]))::BIGINT AS cluster_inertia,
+       (sum(best[2]) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (i) JOIN c{rounds} ON c = best[1]"""
+    )
+
+
+ORACLES["op11_centroid_clusters"] = _clusters_sql()
+
+ORACLES["op13_importance_resample"] = r"""
+WITH tab AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384)) ORDER BY i) AS t
+         FROM range(256) x(i)),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, 'd' AS side, doc_id, text FROM documents
+  UNION ALL SELECT -row_number() OVER (), 't', NULL, text FROM benchmark),
+w AS MATERIALIZED (
+  SELECT i, side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM d),
+g AS (SELECT i, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]),
+         list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]))) AS g FROM w),
+n AS MATERIALIZED (SELECT i, side, g, count(*) AS n FROM g GROUP BY ALL),
+x AS MATERIALIZED (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM n)),
+b AS MATERIALIZED (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) + 1, 2),
+         lambda k: ('0x' || x[k:k+1])::BIGINT)), lambda crc, byte: xor(crc >> 8, t[(xor(crc, byte) & 255) + 1])),
+         4294967295) % 10000 AS b FROM x, tab),
+s AS (SELECT b, coalesce(sum(n) FILTER (side = 'd'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 't'), 0)::BIGINT AS t
+      FROM n JOIN b USING (g) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+              / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM s),
+weight AS (SELECT i, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+           FROM n JOIN b USING (g) JOIN gain USING (b) WHERE side = 'd' GROUP BY i),
+r AS (SELECT w.i, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+                 + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w LEFT JOIN weight USING (i) WHERE side = 'd'),
+o AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM r WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM r LEFT JOIN o USING (i)"""

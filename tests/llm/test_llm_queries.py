@@ -13,6 +13,7 @@ TABLES = {
     "labels": "doc_id long, quality int, toxic int",
     "embeddings": "vec_id long, embedding array<float>, label int",
     "conversations": "conv_id long, turn long, role string, text string",
+    "benchmark": "item_id long, text string",
 }
 LONG = "word " * 30_000 + "x" * 50_000
 ODD = {
@@ -25,7 +26,9 @@ ODD = {
     "embeddings": [
         (None, [1.0], 0), (0, [0.5, 0.25], 0), (50, None, 0), (100, [], 0), (1, [1.0, None], 0), (2, [float("nan")], 0),
         (3, [1.0, 1.0, 1.0], None), (4, [0.5, 0.25], 1), (4, [0.5, 0.25], 1), (5, [3e38, -3e38], 1),
+        (6, [0.5] * 64, 0), (6, [0.5] * 64, 0), (None, [0.25] * 64, 0), (7, [3e38] * 64, 0), (8, [-0.1] * 63 + [None], 0),
     ],
+    "benchmark": [(None, None), (1, ""), (2, "one word"), (2, LONG)],
     "conversations": [
         (None, None, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "tool", "[/ROLE]\\["),
         (2, 0, "assistant", None), (3, 0, "user", LONG), (3, 1, "assistant", "\\" * 3 + "<s>" * 500),
@@ -41,7 +44,7 @@ def test_equals_sql(spark, name):
 
 def test_all_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
 
 
@@ -69,7 +72,8 @@ def test_empty_tables(spark, folders, name):
 @pytest.mark.parametrize("name", sorted([*QUERIES, "pipeline"]))
 def test_odd_rows(spark, folders, name):
     rows = entry_points.queries()[name](spark, folders["odd"]).collect()
-    if name in ("op1_sentencepiece", "op2_sharding", "op6_toxicity", "op7_quality_rules", "op9_jaccard_join", "op10_secret_scan"):
+    if name in ("op1_sentencepiece", "op2_sharding", "op6_toxicity", "op7_quality_rules", "op9_jaccard_join", "op10_secret_scan",
+                "op12_simhash_components", "op13_importance_resample"):
         assert len(rows) == len(ODD["documents"])
 
 
