@@ -42,6 +42,12 @@ def exclude_seen(links: DataFrame, seen: DataFrame, key: str = "url") -> DataFra
     return links.join(seen.select(key).distinct(), key, "left_anti")
 
 
+def exclude_known(links: DataFrame, known: DataFrame, order: Sequence[str], key: str = "url") -> DataFrame:
+    """Links whose URL is not known already from a link at or before their place."""
+    places = known.select(F.col(key).alias("_known"), F.struct(*order).alias("_place"))
+    return links.join(places, (F.col(key) == F.col("_known")) & (F.col("_place") <= F.struct(*order)), "left_anti")
+
+
 def match_terms(
     articles: DataFrame,
     terms: Sequence[str],

@@ -73,9 +73,13 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return as_listing(pages(spark, sf))
+
+
+def as_listing(pages: DataFrame) -> DataFrame:
     """The pages with a publication date in the head and a permalink to themselves at the end."""
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return pages(spark, sf).withColumn(
+    return pages.where(F.length("html") > 0).withColumn(
         "html",
         F.concat(
             F.lit('<meta property="article:published_time" content="'),
@@ -286,7 +290,10 @@ def upsert_store(spark, sf):
         F.col("created_at"),
         "id",
     )
-    merged = store.upsert_store(existing, incoming)
+    kept = store.BucketedStore(spark, new_folder(spark, "store"))
+    kept.upsert(existing)
+    kept.upsert(incoming)
+    merged = kept.read()
     return merged.withColumn("created_at", dates.format_date(F.col("created_at"))).drop("seq")
 
 
@@ -869,14 +876,26 @@ def _page_stream(spark, sf):
 
 @query
 def stream_scan(spark, sf):
-    log, checkpoint = new_folder(spark, "scan"), new_folder(spark, "scan-progress")
+    """The scan over pages as they arrive, articles evaluated and kept batch by batch."""
+    listed = listing_pages(spark, sf)
+    texts = stage(extract.extract_main_text(listed).select("url", "content"), "texts")
+    metadata = stage(extract.extract_page_metadata(listed, AS_OF).select("url", "title", "date"), "metadata")
+    log, checkpoint = runs.scan_log(spark, new_folder(spark, "scan")), new_folder(spark, "scan-progress")
+    found = runs.run_stream_scan(
+        _page_stream(spark, sf), metadata, texts, log, checkpoint, CUTOFF, PROFILE, as_listing
+    )
+    return found.select("url", "title", "date", "source", "assessment", "assessment_score", "category")
 
-    def stage(batch):
-        found = extract.resolve_links(extract.extract_links(batch))
-        return ranking.dedup_urls(filters.filter_topic_titles(found, PROFILE.topic_patterns)).select("url", "title")
 
-    jobs.stream_scan(_page_stream(spark, sf), stage, log, checkpoint).awaitTermination()
-    return jobs.load_scan(spark, log).drop("seq")
+@query
+def stream_join_metadata(spark, sf):
+    """Links and descriptions of pages as two streams that meet within the look-back."""
+    folder, checkpoint = new_folder(spark, "joined"), new_folder(spark, "joined-progress")
+    arriving = as_listing(_page_stream(spark, sf))
+    found = extract.resolve_links(extract.extract_links(arriving)).withColumn("ts", day_of(F.col("page_id")).cast("timestamp"))
+    described = extract.extract_page_metadata(arriving, AS_OF).withColumn("ts", F.col("date").cast("timestamp"))
+    jobs.run_to_folder(jobs.stream_join_metadata(found, described, lookback="31 days"), folder, checkpoint)
+    return jobs.settle_metadata(spark.read.parquet(folder)).select("page_id", "pos", "url", "page_title", "date")
 
 
 @query

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates
@@ -15,6 +15,8 @@ from newsloom.operators import (
 from newsloom.profile import Profile
 from newsloom.session import stage
 from newsloom.sources import reports, store
+from newsloom.streaming import jobs
+from newsloom.streaming.log import ScanLog
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -32,10 +34,12 @@ def discover(
     profile: Profile = Profile(),
     seen: DataFrame | None = None,
     specific: bool = True,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """New articles linked from the pages: ``url, title, date, published_ts, source``.
+    """New articles linked from the pages: ``url, title, date, published_ts, source`` and the link's columns to ``keep``.
 
-    The cheap title test comes first, then one row per URL, and only then the metadata join.
+    The cheap title test comes first, then one row per URL, and only then the metadata join. ``seen`` holds URLs to leave
+    out; if it has the columns to ``keep``, only where they were seen at or before the link's place.
     """
     links = chain(
         pages,
@@ -46,13 +50,14 @@ def discover(
         ranking.dedup_urls,
     )
     if seen is not None:
-        links = joins.exclude_seen(links, seen)
+        placed = keep and set(keep) <= set(seen.columns)
+        links = joins.exclude_known(links, seen, keep) if placed else joins.exclude_seen(links, seen)
     found = joins.join_metadata(links, metadata)
     if specific:
         found = filters.filter_specific_articles(found, "url", "page_title")
     dated = found.withColumn("published_ts", dates.parse_date(F.col("date")))
     recent = filters.filter_recent(dated, cutoff)
-    return recent.select("url", "title", "date", "published_ts", F.col("source_url").alias("source"))
+    return recent.select("url", "title", "date", "published_ts", F.col("source_url").alias("source"), *keep)
 
 
 def run_scan(
@@ -63,10 +68,11 @@ def run_scan(
     cutoff,
     profile: Profile = Profile(),
     seen: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The interactive scan: discover, fetch text, attach takeaways, evaluate and categorise."""
     # what was found is small beside the pages: kept once, it is what the texts are narrowed down by
-    found = stage(discover(pages, metadata, cutoff, profile, seen), "found")
+    found = stage(discover(pages, metadata, cutoff, profile, seen, keep=keep), "found")
     found = found.withColumn("content", F.lit(None).cast("string"))
     articles = filters.filter_with_content(joins.join_content(found, texts))
     if takeaways is None:
@@ -84,6 +90,38 @@ def run_scan(
     )
 
 
+PLACE = ("page_id", "pos")
+
+
+def scan_log(spark: SparkSession, folder: str, fan: int = 8) -> ScanLog:
+    """The log of a repeated scan: an article holds as its first link, by page and position, found it."""
+    return ScanLog(spark, folder, order=PLACE, ts="published_ts", fan=fan)
+
+
+def run_stream_scan(
+    pages: DataFrame,
+    metadata: DataFrame,
+    texts: DataFrame,
+    log: ScanLog,
+    checkpoint: str,
+    cutoff: str,
+    profile: Profile = Profile(),
+    prepare: Stage = lambda pages: pages,
+) -> DataFrame:
+    """The scan over a stream of pages: each micro-batch finds, filters and evaluates its articles and commits them.
+
+    Articles that the log holds from an earlier place are not evaluated again. Returns what the log holds at the end,
+    which equals ``run_scan`` over all pages at once, however they were cut into batches and in whatever order they came.
+    """
+
+    def one(batch: DataFrame) -> DataFrame:
+        known = log.read("url string, page_id long, pos int, seq long").select("url", *PLACE)
+        return run_scan(prepare(batch), metadata, texts, None, cutoff, profile, known, PLACE)
+
+    jobs.stream_scan(pages, one, log, checkpoint).awaitTermination()
+    return log.read()
+
+
 def store_scan(scanned: DataFrame, existing: DataFrame | None, as_of: str, folder: str | None = None) -> DataFrame:
     """The end of a scan: the articles go into the store, and into the day's report if a folder is given."""
     scanned = stage(scanned, "scanned")

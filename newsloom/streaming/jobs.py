@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.functions import dates
 from newsloom.operators.filters import filter_recent
-from newsloom.operators.ranking import first_per_key
+from newsloom.streaming.log import ScanLog
 
 PAGE_SCHEMA = "page_id LONG, url STRING, html STRING"
 
@@ -21,16 +21,17 @@ def read_page_stream(spark: SparkSession, path: str, files_per_batch: int = 5) -
 
 
 def stream_scan(
-    pages: DataFrame, stage: Callable[[DataFrame], DataFrame], log: str, checkpoint: str
+    pages: DataFrame, stage: Callable[[DataFrame], DataFrame], log: ScanLog, checkpoint: str, since: str | None = None
 ) -> StreamingQuery:
-    """Run ``stage`` on every micro-batch and append its articles to the scan log, until all input is used.
+    """Run ``stage`` on every micro-batch and commit its articles to the scan log, until all input is used.
 
-    Each batch owns one folder of the log, so a batch that is repeated after a failure replaces itself.
+    ``stage`` finds, filters and evaluates; it may look at what the log holds. A batch that is repeated after a failure
+    replaces what it left, and one that is delivered again after its commit does no work.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = stage(batch).withColumn("seq", F.lit(number).cast("long"))
-        rows.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        if number > log.last_batch():
+            log.commit(number, stage(batch), since)
 
     return (
         pages.writeStream.foreachBatch(append)
@@ -40,10 +41,29 @@ def stream_scan(
     )
 
 
-def load_scan(spark: SparkSession, log: str, key: str = "url") -> DataFrame:
-    """The log's articles with the latest batch winning per URL."""
-    rows = spark.read.option("basePath", log).parquet(log).drop("batch").withColumn("_turn", -F.col("seq"))
-    return first_per_key(rows, key, ["_turn"]).drop("_turn")
+def stream_join_metadata(links: DataFrame, metadata: DataFrame, ts: str = "ts", lookback: str = "7 days") -> DataFrame:
+    """Links with the title and date of their pages, both sides arriving in any order within the look-back.
+
+    Either side waits for the other as long as the look-back: a pair is found if the times of link and page are no farther
+    apart, whichever comes first, and the state of both sides ends with it. A page may be described more than once, and
+    every description is joined; ``settle_metadata`` keeps the one that the batch join keeps. Pages without a title join nothing.
+    """
+    left = links.withWatermark(ts, lookback)
+    known = metadata.where(F.col("title").isNotNull()).select(
+        F.col("url").alias("_url"), F.col("title").alias("page_title"), "date", F.col(ts).alias("_ts")
+    ).withWatermark("_ts", lookback)
+    apart = F.expr(f"interval {lookback}")
+    near = (F.col("_ts") >= F.col(ts) - apart) & (F.col("_ts") <= F.col(ts) + apart)
+    return left.join(known, (F.col("url") == F.col("_url")) & near).drop("_url", "_ts")
+
+
+def settle_metadata(joined: DataFrame, key: Sequence[str] = ("page_id", "pos")) -> DataFrame:
+    """One row for each link: the description with the earliest date, then the smallest title."""
+    rest = [c for c in joined.columns if c not in (*key, "date", "page_title")]
+    return (
+        joined.groupBy(*key, *rest).agg(F.min(F.struct("date", "page_title")).alias("_page"))
+        .select(*key, *rest, "_page.date", "_page.page_title")
+    )
 
 
 def stream_dedup_urls(links: DataFrame, ts: str = "ts", lookback: str = "7 days") -> DataFrame:

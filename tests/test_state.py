@@ -14,6 +14,7 @@ from newsloom.operators import takeaways as tk
 from newsloom.session import new_folder
 from newsloom.sources import readers, reports, store
 from newsloom.streaming import jobs
+from newsloom.streaming.log import ScanLog
 
 QUIET = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -273,7 +274,8 @@ def test_csv_file_keeps_order_and_quotes(spark):
 
 
 def test_scan_stream_equals_batch_and_skips_what_it_has_seen(spark):
-    folder, log, checkpoint = (new_folder(spark, x) for x in ("pages", "log", "progress"))
+    folder, checkpoint = new_folder(spark, "pages"), new_folder(spark, "progress")
+    log = ScanLog(spark, new_folder(spark, "log"), newest=True)
     seen = []
 
     def stage(batch):
@@ -285,7 +287,7 @@ def test_scan_stream_equals_batch_and_skips_what_it_has_seen(spark):
         spark.createDataFrame(data, jobs.PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
         jobs.stream_scan(jobs.read_page_stream(spark, folder), stage, log, checkpoint).awaitTermination()
     assert seen == [2, 4]
-    got = {r["url"]: r["title"] for r in jobs.load_scan(spark, log).collect()}
+    got = {r["url"]: r["title"] for r in log.read().collect()}
     assert got == {"u0": "v2", "u1": "v2", "u2": "v2", "u3": "v2"}
 
 
