@@ -83,36 +83,69 @@ def first_word_match(c: Column, names: Sequence[str]) -> Column:
     return F.when(c.rlike(any_word_pattern(names)), ladder)
 
 
-def _code_point(digits: Column) -> Column:
-    number = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 12), 16, 10)).otherwise(digits)
-    number = number.try_cast("bigint")
+# What HTML reads for a number in the C1 range: the character of that byte in Windows-1252, where it has one.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_REFERENCE = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"
+
+
+def _table(entries: dict[str, str]) -> Column:
+    return F.map_from_arrays(*[F.split(F.lit("\x01".join(x)), "\x01") for x in (entries.keys(), entries.values())])
+
+
+def _code_point(reference: Column) -> Column:
+    """The character of ``#10`` or ``#xA``; zero, surrogates and what is beyond Unicode are U+FFFD."""
+    hexadecimal = reference.rlike("^#[xX]")
+    digits = F.regexp_replace(reference, "^#[xX]?0*", "")
+    number = F.when(
+        F.length(digits) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    )
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    windows = F.element_at(F.array(*map(F.lit, _WINDOWS.values())), (number - 0x7F).cast("int"))
+    char = F.when(number.between(0x80, 0x9F), windows).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    )
+    return F.when(valid, char).otherwise(F.lit("\ufffd"))
 
 
-def _decode(c: Column) -> Column:
-    """Every reference is replaced once: a text is split at its ampersands, and each piece begins with at most one."""
-    named = {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")}
-    table = F.map_from_arrays(*[F.split(F.lit("\x01".join(x)), "\x01") for x in (named.keys(), named.values())])
-    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+def _decode(c: Column, attribute: bool) -> Column:
+    """Every reference is replaced once: a text is split at its ampersands, and each piece begins with at most one.
 
-    def char(name: Column) -> Column:
-        numeric = F.coalesce(_code_point(F.substring(name, 2, 12)), F.lit("\ufffd"))
-        return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(table, name))
+    A name with a semicolon is looked up whole. Without one, or if there is no such name, the longest old name that the
+    piece begins with counts, as HTML has it; not so in an attribute if a letter, a digit or ``=`` follows.
+    """
+    names = html.entities.html5
+    table = _table({name[:-1]: char for name, char in names.items() if name.endswith(";")})
+    old = sorted((name for name in names if not name.endswith(";")), key=len, reverse=True)
+    short = rf"^({'|'.join(old)})" + (r"(?![a-zA-Z0-9=])" if attribute else "")
+
+    def numeric(piece: Column, name: Column) -> Column:
+        ended = F.substr(piece, F.length(name) + 1, F.lit(1)) == ";"
+        return F.concat(_code_point(name), F.substr(piece, F.length(name) + 1 + ended.cast("int")))
+
+    def named(piece: Column, name: Column) -> Column:
+        whole = F.when(
+            F.substr(piece, F.length(name) + 1, F.lit(1)) == ";",
+            F.concat(F.try_element_at(table, name), F.substr(piece, F.length(name) + 2)),
+        )
+        part = let(
+            F.regexp_extract(piece, short, 1),
+            lambda n: F.concat(F.try_element_at(table, n), F.substr(piece, F.length(n) + 1)),
+        )
+        return F.coalesce(whole, part)
 
     def read(piece: Column, i: Column) -> Column:
         decoded = let(
-            F.regexp_extract(piece, reference, 1),
-            lambda name: F.concat(char(name), F.substr(piece, F.length(name) + 2)),
+            F.regexp_extract(piece, _REFERENCE, 1),
+            lambda name: F.when(name.startswith("#"), numeric(piece, name)).when(name != "", named(piece, name)),
         )
         return F.when(i == 0, piece).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), piece)))
 
     return F.array_join(F.transform(F.split(c, "&"), read), "")
 
 
-def decode_entities(c: Column) -> Column:
+def decode_entities(c: Column, attribute: bool = False) -> Column:
     """HTML character references to characters; text without ``&`` passes through untouched."""
-    return let(c, lambda t: F.when(t.contains("&"), _decode(t)).otherwise(t))
+    return let(c, lambda t: F.when(t.contains("&"), _decode(t, attribute)).otherwise(t))
 
 
 def strip_tags(c: Column, joiner: str = "") -> Column:

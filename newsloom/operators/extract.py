@@ -24,7 +24,7 @@ def _attribute(tag: Column, name: str) -> Column:
     def value(raw: Column) -> Column:
         quoted = raw.startswith('"') | raw.startswith("'")
         bare = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-        return F.when(raw != "", text.decode_entities(bare))
+        return F.when(raw != "", text.decode_entities(bare, attribute=True))
 
     return text.let(F.regexp_extract(tag, pattern, 1), value)
 

@@ -157,6 +157,33 @@ def test_references_are_decoded_once(rows, text, want):
     assert rows([(text,)], "t STRING").select(decode_entities(F.col("t"))).first()[0] == want
 
 
+@pytest.mark.parametrize("text, want, attribute", [
+    ("&copy 2024 &amp &#128; &#0000000065;", "© 2024 & € A", None), ("&notit; &ampx &lt3 &AMP &Amp;", "¬it; &x <3 & &Amp;", "&notit; &ampx &lt3 & &Amp;"),
+    ("&#x41 b &#65x &#xD800; &#; &#x; &", "A b Ax \ufffd &#; &#x; &", None), ("&#129;&#x9F;", "\x81Ÿ", None),
+    ("&#99999999999999999999;", "\ufffd", None), ("&notin; &notin x", "∉ ¬in x", "∉ &notin x"),
+    ("?a=1&copy=2&lt;=3&reg", "?a=1©=2<=3®", "?a=1&copy=2<=3®"), ("?x=1&ampy&sect1", "?x=1&y§1", "?x=1&ampy&sect1"),
+])
+def test_references_follow_html(rows, text, want, attribute):
+    from newsloom.functions.text import decode_entities
+
+    row = rows([(text,)], "t STRING").select(decode_entities(F.col("t")), decode_entities(F.col("t"), True)).first()
+    assert tuple(row) == (want, want if attribute is None else attribute)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text("&#xX;= aAmptlcoyrg0129fF", max_size=20), min_size=1, max_size=30))
+def test_references_equal_the_library(spark, texts):
+    """But for numbers of control characters, which the library drops and HTML keeps."""
+    from html import unescape
+
+    from newsloom.functions.text import decode_entities
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    for t, row in zip(texts, df.orderBy("i").select(decode_entities(F.col("t"))).collect(), strict=True):
+        controls = {chr(c) for c in [*range(1, 32), *range(127, 160), 0xFFFE, 0xFFFF]}
+        assert [c for c in row[0] if c not in controls] == [c for c in unescape(t) if c not in controls], t
+
+
 @pytest.mark.parametrize("html, want", [
     ("<article>a<article>b</article>c</article>d", "a b c"), ("<article></article><main>m</main>", ""),
     ("<main>a<main x='1'>b</main>c", "a b c"), ("<body>x<b>y</b></body>z", "x y"), ("no block", "no block"),
