@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsloom import profile as p
 from newsloom.functions import dates, text, urls
 from newsloom.operators import (
-    aggregates, chunking, extract, filters, joins, ranking, requests, responses, scoring, takeaways,
+    aggregates, answers, chunking, extract, filters, joins, ranking, requests, responses, scoring, takeaways,
 )
 from newsloom.plans import runs
 from newsloom.profile import CORPUS_PROFILE as PROFILE
@@ -545,6 +545,35 @@ def fresh_responses(spark, sf):
     return fresh.select("id", F.md5("raw").alias("raw_key"))
 
 
+@query
+def distinct_requests(spark, sf):
+    """One request for each text that no document of one source has, whose answers are there already."""
+    asked = requests.build_requests(articles(spark, sf), "takeaway", PROFILE)
+    stored = requests.build_requests(articles(spark, sf).where(F.col("source") == "src1"), "takeaway", PROFILE)
+    return answers.distinct_requests(asked, stored).select("id", "content_key", F.md5("prompt").alias("prompt_key"))
+
+
+@query
+def fan_out(spark, sf):
+    """Answers to the distinct requests, given back to all documents; texts with over 20 copies are dealt into parts."""
+    asked = requests.build_requests(articles(spark, sf), "takeaway", PROFILE).select("id", *answers.KEYS)
+    given = answers.distinct_requests(asked).select(*answers.KEYS, F.concat(F.lit("answer to "), "id").alias("raw"))
+    return answers.fan_out(asked, given, rows_per_part=20).select("id", "raw")
+
+
+@query
+def asof_responses(spark, sf):
+    """Each event asks for what its user bought last, within two days."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rubric = F.md5(F.lit(PROFILE.rubric)).alias("rubric_key")
+    user = F.md5(F.col("user_id").cast("string")).alias("content_key")
+    asked = events.where(F.col("event_type") != "purchase").select(F.col("event_id").alias("id"), user, rubric, F.col("ts").alias("asked_at"))
+    bought = events.where(F.col("event_type") == "purchase").select(
+        user, rubric, F.col("ts").alias("answered_at"), F.concat("event_id", F.lit(" "), "props").alias("raw")
+    )
+    return answers.asof_responses(asked, bought, 2 * 86400).select("id", "raw")
+
+
 def _keywords(spark, sf):
     """Words the part names are made of, in order of first use."""
     words = table(spark, sf, "conversations").where(F.col("turn") == 0).select(
