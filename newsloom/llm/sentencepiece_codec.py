@@ -20,7 +20,10 @@ MARKER = "▁"
 # Numbers of the public model format (kinds of pieces, kinds of models).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KNOWN_WORDS = 500_000  # a task forgets the ids of its words beyond this many and encodes them again
+KNOWN_BYTES = 48 << 20  # a task forgets the ids of its words beyond this size and encodes them again
+WORD_COST = 220  # bytes of a known word beside its characters and ids
+SLICE = 1 << 20  # characters that are encoded, decoded and compared at a time
+RUN = 1 << 15  # characters of new words that go to the library as one text
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -152,59 +155,150 @@ class Codec:
         plain = not self.model.charsmap and not self.model.squeeze
         self.apart = plain and words_apart(self.model)
         self.known: dict[str, bytes] = {}
-        self.bytes = np.zeros(len(self.model.pieces) + 1, bool)
-        self.bytes[[i for i, p in enumerate(self.model.pieces) if p[2] == BYTE]] = True
+        self.known_bytes = 0
+        self.changed: set[str] = set()  # known words that do not come back as they were
+        pieces = self.model.pieces
+        self.bytes = np.array([kind == BYTE for _, _, kind in pieces] + [False])
+        self.opens = np.array([text.startswith(MARKER) for text, _, _ in pieces] + [False])
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian 32-bit numbers.
+    def _learn(self, words: list[str]) -> None:
+        """Encode and decode new words, some thousand at a time as one text, whose ids are cut where a marker opens a word."""
+        runs, size = [[]], 0
+        for word in words:
+            if size > RUN:
+                runs.append([])
+                size = 0
+            runs[-1].append(word)
+            size += len(word) + 1
+        lines = [" ".join(run) for run in runs]
+        ids = self._direct(lines)
+        for run, line, found, back in zip(runs, lines, ids, self.decode(ids)):
+            starts = np.flatnonzero(self.opens[np.frombuffer(found, "<u4")]) * 4
+            if len(starts) == len(run) and starts[0] == 0:
+                parts = [found[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(found)])]
+            else:
+                parts = self._direct(run)
+            if back != line:
+                self.changed.update(w for w, x in zip(run, self.decode(parts)) if w != x)
+            self.known.update(zip(run, parts))
+            self.known_bytes += len(line) + len(found) + WORD_COST * len(run)
+
+    def encode_and_check(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, as little-endian 32-bit numbers, and whether decoding them gives the text back.
 
-        Where words are apart, the ids of a text are those of its words one after the other. Runs of blanks and texts
-        that hold the marker itself go to the library whole.
+        Where words are apart, the ids of a text are those of its words one after the other, and it comes back if its
+        words do. Runs of blanks and texts that hold the marker itself go to the library whole.
         """
-        if not self.apart:
-            return self._direct(texts)
-        words = [
-            None if "  " in t or MARKER in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else []
-            for t in texts
-        ]
+        words: list[list[str] | None] = [None] * len(texts)
+        if self.apart:
+            words = [
+                None if "  " in t or MARKER in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else []
+                for t in texts
+            ]
+        if self.known_bytes > KNOWN_BYTES:
+            self.known.clear()
+            self.changed.clear()
+            self.known_bytes = 0
         known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = list({w for parts in words if parts for w in parts if w not in known})
-        known.update(zip(new, self._direct(new)))
-        whole = iter(self._direct([t for t, parts in zip(texts, words) if parts is None]))
-        return [next(whole) if parts is None else b"".join([known[w] for w in parts]) for parts in words]
+        if new := list(dict.fromkeys(w for parts in words if parts for w in parts if w not in known)):
+            self._learn(new)
+        other = [t for t, parts in zip(texts, words) if parts is None]
+        found = self._direct(other)
+        whole = iter(zip(found, [a == b for a, b in zip(self.decode(found), other)]))
+        ids, same = [], []
+        for parts in words:
+            if parts is None:
+                one, fine = next(whole)
+            else:
+                one = b"".join([known[w] for w in parts])
+                fine = not self.changed or self.changed.isdisjoint(parts)
+            ids.append(one)
+            same.append(fine)
+        return ids, same
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_and_check(texts)[0]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
 
+    def slices(self, texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+        """Texts with their places, about ``SLICE`` characters at a time.
+
+        A longer text is cut at single blanks, where words are apart: each part has the ids that it has in the text.
+        """
+        waiting, size = [], 0
+        for i, text in enumerate(texts):
+            at = 0
+            while True:
+                cut = single_blank(text, at + SLICE) if self.apart and len(text) - at > SLICE else -1
+                part = text[at : cut if cut >= 0 else len(text)]
+                waiting.append((i, part))
+                size += len(part)
+                if size >= SLICE:
+                    yield waiting
+                    waiting, size = [], 0
+                if cut < 0:
+                    break
+                at = cut + 1
+        if waiting:
+            yield waiting
+
+
+def single_blank(text: str, at: int) -> int:
+    """The place of the first blank from ``at`` that has no blank beside it, or -1."""
+    while (at := text.find(" ", at)) >= 0:
+        if 0 < at < len(text) - 1 and text[at - 1] != " " and text[at + 1] != " ":
+            return at
+        at += 1
+    return -1
+
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, threads: int) -> Codec:
     return Codec(path, threads)
 
 
+def _open(model: str, threads: int, check: bool):
+    path = public_vocabulary(model) if os.sep not in model else model
+    if not check:
+        return codec(path, threads), None
+    import sentencepiece
+
+    return codec(path, threads), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def _run(model: str, threads: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(public_vocabulary(model) if os.sep not in model else model, threads)
+        tool, reference = _open(model, threads, True)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = tool.encode(texts)
-            arrays = [np.frombuffer(x, "<u4") for x in ids]
-            same = [a == b for a, b in zip(tool.decode(ids), texts)]
+            n = batch.num_rows
+            tokens, sums, pieces = (np.zeros(n, np.int64) for _ in range(3))
+            same, equal = np.ones(n, bool), np.ones(n, bool)
+            kept: list[list[np.ndarray]] = [[] for _ in range(n if keep_ids else 0)]
+            for part in tool.slices(batch.column("text").to_pylist()):
+                texts = [t for _, t in part]
+                found, back = tool.encode_and_check(texts)
+                theirs = reference.encode(texts, num_threads=threads)
+                for (i, _), ids, fine, other in zip(part, found, back, theirs):
+                    numbers = np.frombuffer(ids, "<u4")
+                    tokens[i] += len(numbers)
+                    sums[i] = zlib.crc32(ids, int(sums[i]))
+                    pieces[i] += int(tool.bytes[numbers].sum())
+                    same[i] &= fine
+                    equal[i] &= np.array_equal(numbers, other)
+                    if keep_ids:
+                        kept[i].append(numbers.astype(np.int32))
             columns = {
-                "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array([len(a) for a in arrays], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                "n_byte_pieces": pa.array([int(tool.bytes[a].sum()) for a in arrays], pa.int64()),
-                "round_trip": pa.array(same, pa.bool_()),
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(tokens), "ids_crc32": pa.array(sums),
+                "n_byte_pieces": pa.array(pieces), "round_trip": pa.array(same), "equal": pa.array(equal),
             }
             if keep_ids:
-                columns["ids"] = pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32()))
+                columns["ids"] = pa.array([np.concatenate(x) for x in kept], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -214,15 +308,17 @@ def encode_texts(
     docs: DataFrame, model: str = "piece_bpe_32k.model", key: str = "doc_id", text: str = "text", threads: int = 2,
     keep_ids: bool = True,
 ) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, n_byte_pieces, round_trip`` and, if asked for, ``ids``: one row for each row.
+    """``doc_id, n_tokens, ids_crc32, n_byte_pieces, round_trip, equal`` and, if asked for, ``ids``: a row for each row.
 
     ``model`` is a model file that every executor can open, or the name of a public one. Whole texts are encoded and
-    decoded again; ``round_trip`` says whether the text came back (a normaliser may have changed it); ``n_byte_pieces``
-    counts pieces that stand for single bytes of characters outside the vocabulary. Null and empty texts have no ids;
-    repeated rows are encoded alike; an empty table gives no rows.
+    decoded again; ``round_trip`` says whether the text came back (a normaliser may have changed it), ``equal`` whether the
+    sentencepiece library gives the same ids, which is checked for every text. ``n_byte_pieces`` counts pieces that stand
+    for single bytes of characters outside the vocabulary. About a million characters are held as ids at a time; where
+    the model joins nothing across words, longer texts are cut at blanks for that, and else taken whole. Null and empty
+    texts have no ids; repeated rows are encoded alike; an empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, round_trip boolean"
+    schema = "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, round_trip boolean, equal boolean"
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(_run(model, threads, keep_ids), schema + (", ids array<int>" if keep_ids else ""))
 
@@ -232,30 +328,9 @@ def decode_ids(encoded: DataFrame, model: str = "piece_bpe_32k.model", threads:
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(public_vocabulary(model) if os.sep not in model else model, threads)
+        tool, _ = _open(model, threads, False)
         for batch in batches:
             ids = [np.array(x or [], "<u4").tobytes() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": tool.decode(ids)})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
-
-
-def parity(
-    docs: DataFrame, model: str = "piece_bpe_32k.model", key: str = "doc_id", text: str = "text", threads: int = 2
-) -> DataFrame:
-    """``doc_id, equal``: whether the rebuilt model gives the ids that the sentencepiece library gives, text by text."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        path = public_vocabulary(model) if os.sep not in model else model
-        tool, reference = codec(path, threads), sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            theirs = reference.encode(texts, num_threads=threads) if texts else []
-            same = [a == np.array(b, "<u4").tobytes() for a, b in zip(tool.encode(texts), theirs)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.bool_())], ["doc_id", "equal"])
-
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, equal boolean")
