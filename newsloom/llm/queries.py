@@ -27,7 +27,7 @@ def query(f: Query) -> Query:
 
 @query
 def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document encoded with a public model and decoded again."""
+    """Every document encoded with a public model, decoded again and compared with the library's own ids."""
     return sentencepiece_codec.encode_texts(table(spark, sf, "documents"), keep_ids=False)
 
 
@@ -49,34 +49,29 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     the languages other than English, now counted with the vocabulary for many languages.
     """
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    copies = (
-        docs.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-        .groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first, later = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+    # Each text is counted where it is read, with both vocabularies if it may be revised; only counts and digests move.
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    versions = F.when(F.col("lang") != "en", F.array(F.lit(first), F.lit(later))).otherwise(F.array(F.lit(first)))
+    counts = stage(
+        token_counts.count_tokens(docs.withColumn("digest", digest).withColumn("tokenizer_version", F.explode(versions))),
+        "counts",
     )
-    keyed = docs.select("doc_id", "lang", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    later = keyed.join(copies, "digest").filter("doc_id > first").select("doc_id", "lang", "source")
-    version = F.lit("byte_bpe_50k.tiktoken").alias("tokenizer_version")
+    inserts = counts.filter(F.col("tokenizer_version") == first)
+    firsts = inserts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copies = inserts.join(firsts, "digest").filter("doc_id > first").select("doc_id", "lang", "source", "tokenizer_version")
+
+    def changes(rows: DataFrame, batch: int, op: str) -> DataFrame:
+        return rows.withColumn("seq", F.lit(batch).cast("long")).withColumn("op", F.lit(op))
 
     rollup = token_counts.TokenRollup(spark, new_folder(spark, "token-counts"))
-    rollup.commit(
-        1,
-        token_counts.count_tokens(docs.select("*", version))
-        .select("*", F.lit(1).cast("long").alias("seq"), F.lit("insert").alias("op")),
-    )
-    deletes = later.select(
-        "*", version, F.lit(0).cast("long").alias("tokens"), F.lit(2).cast("long").alias("seq"), F.lit("delete").alias("op")
-    )
+    rollup.commit(1, changes(inserts, 1, "insert"))
+    deletes = changes(copies.withColumn("tokens", F.lit(0).cast("long")), 2, "delete")
     rollup.commit(2, deletes)
     rollup.commit(2, deletes)
-    left = rollup.states().filter("present").select("doc_id")
-    revised = docs.filter("lang <> 'en'").join(left, "doc_id", "left_semi").select(
-        "*", F.lit("byte_bpe_multi_50k.tiktoken").alias("tokenizer_version")
-    )
-    rollup.commit(
-        3,
-        token_counts.count_tokens(revised)
-        .select("*", F.lit(3).cast("long").alias("seq"), F.lit("revise").alias("op")),
-    )
+    present = rollup.states().filter("present").select("doc_id")
+    revised = counts.filter(F.col("tokenizer_version") == later).join(present, "doc_id", "left_semi")
+    rollup.commit(3, changes(revised, 3, "revise"))
     return rollup.totals()
 
 

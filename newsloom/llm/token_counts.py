@@ -29,9 +29,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
-    """``rows`` with their ``text`` replaced by ``tokens``, counted with the vocabulary named ``tokenizer_version``."""
+    """``rows`` with their ``text`` replaced by ``tokens``, counted with the vocabulary named ``tokenizer_version``.
+
+    Null texts have no tokens; a column that is called ``tokens`` already is replaced; an empty table gives no rows.
+    """
     ship(rows.sparkSession)
-    rows = rows.withColumn("text", text_or_empty())
+    rows = rows.drop("tokens").withColumn("text", text_or_empty())
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
     return rows.mapInArrow(_counts, ", ".join([*fields, "tokens long"]))
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import common, components, jaccard, packing, quality, sharding, token_counts, topk, toxicity
+from newsloom.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,6 +65,25 @@ def test_rollup_equals_a_recount(spark, tmp_path):
     assert rollup.batches() == [1, 2, 3, 4]
 
 
+def test_registered_rollup_equals_a_recount(spark):
+    """The three batches of the query, in plain Python: insert all, delete later copies, revise what is not English."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    first = {}
+    for r in docs:
+        first[r.text or ""] = min(first.get(r.text or "", r.doc_id), r.doc_id)
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in docs:
+        if r.doc_id > first[r.text or ""]:
+            continue
+        version = "byte_bpe_50k.tiktoken" if r.lang in (None, "en") else "byte_bpe_multi_50k.tiktoken"
+        group = want[r.source, r.lang, version]
+        group[0] += 1
+        group[1] += len(common.byte_bpe(version).encode_ordinary(r.text or ""))
+    got = {(r.source, r.lang, r.tokenizer_version): [r.docs, r.tokens] for r in QUERIES["op3_token_counts"](spark, sf).collect()}
+    assert got == dict(want)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = {int(i): rng.normal(size=12).astype(np.float32).round(1) for i in range(400)}
@@ -377,7 +397,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert left == {i for i in sets if find(i) == i}
 
     clean = steps["secrets"](spark, spark.createDataFrame(apart.reset_index()).select(*docs.columns), sf)
-    masked = clean.toPandas().set_index("doc_id")
+    masked = clean.toPandas().set_index("doc_id").sort_index()
     assert set(masked.index) == left and (masked.n_chars == masked.text.str.len()).all()
     assert not masked.text.str.contains(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}").any()
     assert (masked.text == apart.text).mean() > 0.9
