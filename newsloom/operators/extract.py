@@ -143,6 +143,53 @@ def extract_main_text(pages: DataFrame, joiner: str = " ") -> DataFrame:
     return compute_once(pages.withColumn("_clean", cleaned), {"content": content}).drop("_clean")
 
 
+_BLOCKS = (
+    "address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|form|h[1-6]|hr|li|main|ol|p"
+    "|pre|section|table|tbody|td|th|thead|tr|ul"
+)
+
+
+def extract_dense_text(pages: DataFrame, link_weight: int = 3, block_cost: int = 4) -> DataFrame:
+    """Adds ``content``: the run of neighbouring blocks that holds most running text, for pages without a container.
+
+    The page, without its title and boilerplate elements, is cut at every block-level tag. A block is worth its words, less
+    ``link_weight`` for each word inside a link, less ``block_cost`` if it has words at all: paragraphs are worth much,
+    menus and short labels less than nothing. The text is that of the contiguous run of blocks with the largest sum (of
+    equal runs the first, and of those the shortest), so what stands between paragraphs stays and menus around them go.
+    Null if no block is worth anything. One pass over the blocks of a page, in its row.
+    """
+    cleaned = F.regexp_replace(F.regexp_replace("html", _BOILERPLATE, ""), r"(?is)<title\b[^>]*>.*?</title\s*>", "")
+
+    def block(piece: Column) -> Column:
+        plain = text.collapse_spaces(text.decode_entities(text.strip_tags(piece, " ")))
+        anchors = F.array_join(F.regexp_extract_all(piece, F.lit(_ANCHOR), F.lit(0)), " ")
+        words, linked = text.word_count(plain), text.word_count(text.strip_tags(anchors, " "))
+        worth = words - link_weight * linked - F.when(words > 0, block_cost).otherwise(0)
+        return F.struct(plain.alias("text"), worth.cast("long").alias("worth"))
+
+    pieces = F.transform(F.split(cleaned, rf"(?i)(?=</?(?:{_BLOCKS})\b)"), block)
+    none = F.lit(0).cast("long")
+
+    def step(run: Column, b: Column) -> Column:
+        fresh = run["sum"] <= 0
+        start = F.when(fresh, run["at"]).otherwise(run["start"])
+        total = F.when(fresh, b["worth"]).otherwise(run["sum"] + b["worth"])
+        better = total > run["best"]
+        return F.struct(
+            (run["at"] + 1).alias("at"), start.alias("start"), total.alias("sum"),
+            F.when(better, total).otherwise(run["best"]).alias("best"),
+            F.when(better, start).otherwise(run["first"]).alias("first"),
+            F.when(better, run["at"]).otherwise(run["last"]).alias("last"),
+        )
+
+    begin = F.struct(*[none.alias(n) for n in ("at", "start", "sum", "best", "first", "last")])
+    run = F.aggregate("_blocks", begin, step)
+    chosen = F.slice("_blocks", (F.col("_run.first") + 1).cast("int"), (F.col("_run.last") - F.col("_run.first") + 1).cast("int"))
+    joined = F.array_join(F.filter(F.transform(chosen, lambda b: b["text"]), lambda t: t != ""), " ")
+    found = compute_once(compute_once(pages, {"_blocks": pieces}), {"_run": run})
+    return found.withColumn("content", F.when(F.col("_run.best") > 0, joined)).drop("_blocks", "_run")
+
+
 def normalize_content(df: DataFrame, column: str = "content") -> DataFrame:
     """One space per white-space run; empty becomes null."""
     return compute_once(df, {column: text.null_if_empty(text.collapse_spaces(F.col(column)))})

@@ -96,52 +96,82 @@ def match_terms(
 def match_term_table(articles: DataFrame, terms: DataFrame, column: str = "content", gram: int = 4) -> DataFrame:
     """Which terms of a table occur, in any case, in which articles: ``id, term``.
 
-    A phrase with a word between two spaces can only occur in a text that has that word, so phrases and texts meet in
-    an equi-join on words. Other terms with a space meet the texts on their first characters. Terms without a space
-    occur inside a word: they are matched with the vocabulary of the texts, each word once. Candidates are verified
-    with ``contains``; only texts that have some are fetched for that. The terms are staged, so their size is known
-    and Spark decides what is broadcast; the plan is the same for any size.
+    Texts and terms meet in an equi-join on words, each term by words that it hangs on (``_hooks``); what hangs on a
+    word of a text is a candidate, and is verified with ``contains`` unless the word itself holds the term. Only texts
+    with candidates are fetched for that, each once. The vocabulary of the texts is counted first, so that a phrase
+    hangs on its rarest word and one with an unknown word is out at once. What is joined with the texts is staged, so
+    its size is known and Spark decides what is broadcast; the plan is the same for any size.
     """
-    pieces = F.split("needle", " ")
-    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     wanted = stage(
-        terms.select(F.lower("term").alias("needle"), "term").where(F.length("needle") > 0).distinct()
-        .withColumn("word", longest),
+        terms.select("term", F.lower("term").alias("needle")).where(F.length("needle") > 0).distinct()
+        .withColumn("no", F.monotonically_increasing_id()),
         "terms",
     )
     texts = articles.select("id", F.lower(column).alias("_text"))
-    phrases = wanted.where(F.col("word").isNotNull())
-    spaced = wanted.where(F.col("word").isNull() & F.col("needle").contains(" "))
-    single = wanted.where(F.col("word").isNull() & ~F.col("needle").contains(" "))
-
     words = texts.select("id", F.explode_outer(F.array_distinct(F.split("_text", " "))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    seeds = vocabulary.select("word", F.explode_outer(_starts(F.col("word"), single, gram)).alias("seed"))
-    inside = (
-        seeds.join(single.select(F.substring("needle", 1, gram).alias("seed"), "needle", "term"), "seed")
-        .where(F.col("word").contains(F.col("needle"))).select("word", "term").distinct()
+    vocabulary = stage(words.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("texts")), "vocabulary")
+    hooks = stage(_hooks(wanted, vocabulary, gram), "hooks")
+    pairs = stage(words.join(hooks, "word").select("id", "no", "sure").distinct(), "pairs")
+
+    found = pairs.where("sure").join(wanted.select("no", "term"), "no").select("id", "term")
+    listed = (
+        pairs.where("NOT sure").join(wanted, "no").groupBy("id").agg(F.collect_list(F.struct("needle", "term")).alias("_terms"))
+    )
+    held = F.filter("_terms", lambda t: F.col("_text").contains(t["needle"]))
+    verified = listed.join(texts, "id").select("id", F.explode_outer(held).alias("_t")).where(F.col("_t").isNotNull())
+    return found.unionByName(verified.select("id", F.col("_t.term").alias("term")).distinct())
+
+
+def _hooks(wanted: DataFrame, vocabulary: DataFrame, gram: int) -> DataFrame:
+    """``word, no, sure``: the words of the texts that a term can only occur with, and whether such a word is enough.
+
+    Texts are cut at single spaces. A term with words between two spaces needs each of them: it hangs on the rarest. A
+    term with a space, but no word between two, needs a word that begins with what follows its last space, or one that
+    ends with what precedes its first; it hangs on those of the longer part. A term without a space is part of a word: it
+    hangs on all words that hold it. Beginnings, ends and parts meet the vocabulary by their first ``gram`` characters.
+    """
+    pieces = F.split("needle", " ")
+    inner = F.array_distinct(F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != ""))
+    cut = wanted.select("no", "needle", F.size(pieces).alias("_n"), inner.alias("_inner"), pieces.alias("_pieces"))
+
+    needed = cut.where("size(_inner) > 0").select("no", F.explode_outer("_inner").alias("word"))
+    counted = needed.join(vocabulary, "word", "left")
+    rarest = counted.groupBy("no").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word")).alias("_r"))
+    phrases = rarest.where("_r.texts > 0").select("_r.word", "no", F.lit(False).alias("sure"))
+
+    first, last = F.col("_pieces")[0], F.element_at("_pieces", -1)
+    at_start = F.length(last) >= F.length(first)
+    part = F.when(F.col("_n") == 1, F.col("needle")).when(at_start, last).otherwise(first)
+    side = F.when(F.col("_n") == 1, "in").when(at_start, "start").otherwise("end")
+    sought = cut.where("size(_inner) = 0").select("no", part.alias("part"), side.alias("side")).withColumn(
+        "size", F.least(F.length("part"), F.lit(gram))
+    )
+    # what a word begins or ends with is compared from that side inwards, so both are one look-up
+    sought = sought.withColumn(
+        "seed", F.when(F.col("side") == "end", F.expr("right(part, size)")).otherwise(F.expr("left(part, size)"))
+    )
+    kinds = [(r["side"], r["size"]) for r in sought.select("side", "size").distinct().collect()]  # some few at most
+    word = F.col("word")
+    seeds = {
+        "start": lambda n: F.array(F.left(word, F.lit(n))),
+        "end": lambda n: F.array(F.right(word, F.lit(n))),
+        "in": lambda n: _grams(word, n),
+    }
+
+    def named(side: str, found: Column) -> Column:
+        return F.transform(found, lambda g: F.struct(F.lit(side).alias("side"), g.alias("seed")))
+
+    listed = [named(side, seeds[side](n)) for side, n in sorted(kinds)]
+    if not listed:
+        return phrases
+    spread = vocabulary.select("word", F.explode_outer(F.concat(*listed)).alias("_s")).select("word", "_s.*")
+    holds = (
+        F.when(F.col("side") == "in", word.contains(F.col("part")))
+        .when(F.col("side") == "start", word.startswith(F.col("part")))
+        .otherwise(word.endswith(F.col("part")))
     )
-    found = words.join(inside, "word").select("id", "term").distinct()
-
-    candidates = []
-    if not phrases.isEmpty():
-        by_word = words.join(phrases.select("word", "needle", "term"), "word")
-        candidates.append(by_word.select("id", "needle", "term"))
-    if not spaced.isEmpty():
-        starts = texts.select("id", F.explode_outer(_starts(F.col("_text"), spaced, gram)).alias("seed"))
-        by_start = starts.join(spaced.select(F.substring("needle", 1, gram).alias("seed"), "needle", "term"), "seed")
-        candidates.append(by_start.select("id", "needle", "term"))
-    for pairs in candidates:
-        verified = pairs.distinct().join(texts, "id").where(F.col("_text").contains(F.col("needle")))
-        found = found.unionByName(verified.select("id", "term"))
-    return found
-
-
-def _starts(column: Column, wanted: DataFrame, gram: int) -> Column:
-    """Sequences of a text that may be the first characters of a wanted term (at most ``gram`` lengths)."""
-    lengths = wanted.select(F.least(F.length("needle"), F.lit(gram)).alias("n")).distinct()
-    return F.concat(*[_grams(column, n) for n in sorted(r["n"] for r in lengths.collect())] or [F.array().cast("array<string>")])
+    parts = spread.join(sought, ["side", "seed"]).where(holds).select("word", "no", (F.col("side") == "in").alias("sure"))
+    return phrases.unionByName(parts.distinct())
 
 
 def _grams(column: Column, size: int) -> Column:

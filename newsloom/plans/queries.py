@@ -348,6 +348,19 @@ def extract_main_text_glued(spark, sf):
     return extract.extract_main_text(pages(spark, sf), joiner="").select("page_id", "content")
 
 
+def _uncontained(df: DataFrame) -> DataFrame:
+    """Pages whose text stands in no container, between a menu and a list of further articles."""
+    menu = '<ul><li><a href="/">Home page</a></li><li><a href="/all">All the news of today</a> more</li></ul>'
+    more = '<div><a href="/1">Read this next if you like it</a></div><p>Imprint and terms</p>'
+    bare = F.regexp_replace("html", "</?(article|body|html|main)>", "")
+    return df.withColumn("html", F.concat(F.lit(menu), bare, F.lit(more)))
+
+
+@query
+def extract_dense_text(spark, sf):
+    return extract.extract_dense_text(_uncontained(pages(spark, sf))).select("page_id", "content")
+
+
 @query
 def normalize_content(spark, sf):
     return extract.normalize_content(articles(spark, sf)).select("id", "content")

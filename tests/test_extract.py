@@ -192,3 +192,41 @@ def test_references_equal_the_library(spark, texts):
 def test_blocks_end_where_they_began(rows, html, want):
     df = rows([(1, "u", html)], "page_id LONG, url STRING, html STRING")
     assert extract.extract_main_text(df).first()["content"] == want
+
+
+PARAGRAPHS = ["The first paragraph has quite a few words in it, as articles do.", "Short one.",
+              "A later paragraph names <a href='/x'>one source</a> and goes on for a good number of words after that."]
+
+
+@pytest.mark.parametrize("html, want", [
+    ("".join(f"<p>{p}</p>" for p in PARAGRAPHS), "all"),
+    ("<title>T T T T T T T T</title><ul><li><a href='/'>Home</a></li><li><a href='/b'>A long menu entry of many words in all</a></li></ul>"
+     + "<br>".join(PARAGRAPHS) + "<div><a href='/n'>Read this next</a></div><p>Imprint</p>", "all"),
+    ("<td>a b</td><div>one two three four five six</div><table><tr><td><a href='/1'>x y z</a></td></tr></table>"
+     "<DIV>seven eight nine ten eleven twelve thirteen</DIV>", "seven eight nine ten eleven twelve thirteen"),
+    ("<a href='/'>only links here</a>", None), ("", None), (None, None), ("<p>too short</p>", None),
+    ("no block at all but plenty of words", "no block at all but plenty of words"),
+    ("<p>one two three four five &amp six</p><script>var a = 'many words that are no text at all';</script><p></p>",
+     "one two three four five & six"),
+])
+def test_the_densest_run_of_blocks(rows, html, want):
+    df = rows([(1, html)], "page_id LONG, html STRING").withColumn("_clean", F.lit("clash"))
+    if want == "all":
+        want = " ".join(PARAGRAPHS).replace("<a href='/x'>one source</a>", "one source")
+    found = extract.extract_dense_text(df)
+    assert found.columns == ["page_id", "html", "_clean", "content"]
+    got = found.first()["content"]
+    assert (got and got.replace("  ", " ")) == want
+
+
+def test_planted_menus_go_and_articles_stay(spark):
+    from newsloom.plans.queries import _uncontained
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("length(html) > 0")
+    kept = {r["page_id"]: r["content"] for r in extract.extract_dense_text(_uncontained(pages)).collect()}
+    wanted = {r["page_id"]: r["content"] for r in extract.extract_main_text(pages).collect()}
+    long = {i: t for i, t in wanted.items() if len(t.split()) > 60}
+    assert len(long) > 20
+    assert not any(m in (t or "") for t in kept.values() for m in ("All the news of today", "Read this next", "Imprint"))
+    sentences = [(i, x) for i, t in long.items() for x in t.split(". ")]  # short last blocks may go
+    assert sum(x in (kept[i] or "") for i, x in sentences) >= 0.99 * len(sentences)
