@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates
@@ -189,9 +189,16 @@ def run_workflow(
 ) -> Workflow:
     """The coordinator's run over discovered articles: score, keep the relevant, evaluate, select the best.
 
-    The texts are scored in one pass; the selection and the counts start from its staged results.
+    The texts are joined and scored in one pass; what comes by is counted while its results are written. Both counts are
+    taken after the last shuffle, in the tasks that write, where Spark counts each task once however often it was tried.
     """
-    filled = joins.join_content(articles, texts)
+    spark = articles.sparkSession
+    found, kept = Observation(), Observation()
+    filled = joins.join_content(articles, texts).observe(
+        found,
+        F.count(F.lit(1)).alias("found"),
+        F.count_if(F.coalesce(F.length("content") > 0, F.lit(False))).alias("with_content"),
+    )
     scored = chain(
         filled,
         filters.filter_with_content,
@@ -200,16 +207,11 @@ def run_workflow(
         lambda df: scoring.evaluate_articles(df, profile),
         lambda df: scoring.report_relevance(df, as_of),
     )
-    analyzed = stage(scored.drop("content"), "analyzed")
+    analyzed = stage(scored.drop("content").observe(kept, F.count(F.lit(1)).alias("analyzed")), "analyzed")
     selected = ranking.select_top_articles(analyzed, as_of, profile.max_report_articles, tie)
-    counts = filled.agg(
-        F.count(F.lit(1)).alias("found"),
-        F.count_if(F.coalesce(F.length("content") > 0, F.lit(False))).alias("with_content"),
-    )
-    funnel = aggregates.selection_counts(
-        counts.withColumn("analyzed", analyzed.agg(F.count(F.lit(1))).scalar()), profile.max_report_articles
-    )
-    return Workflow(analyzed, selected, funnel)
+    counts = {"found": 0, "with_content": 0, "analyzed": 0} | found.get | kept.get  # nothing is observed of an empty plan
+    counted = spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+    return Workflow(analyzed, selected, aggregates.selection_counts(counted, profile.max_report_articles))
 
 
 def run_search(

@@ -256,3 +256,29 @@ def test_prepared_pages_of_the_registered_scan(spark):
     listed = queries.as_listing(spark.createDataFrame([(3, "http://x/1", "<title>T</title>"), (4, "http://x/2", "")], jobs.PAGE_SCHEMA))
     found = extract.extract_links(listed).collect()
     assert [(r["page_id"], r["title"]) for r in found] == [(3, "Permalink to T")]
+
+
+def test_the_workflow_counts_while_it_writes(spark, tmp_path):
+    """Texts come by once; the counts are those of the rows."""
+    import uuid
+
+    folder = str(tmp_path)
+
+    def mark(batches):
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    articles = spark.createDataFrame(
+        [(i, f"u{i}", f"AI title {i}", None if i % 2 else "generative AI in retail", "2024-01-30", "") for i in range(20)],
+        "id LONG, url STRING, title STRING, content STRING, date STRING, takeaway STRING",
+    )
+    texts = spark.createDataFrame([(f"u{i}", "artificial intelligence for Amazon") for i in range(0, 15)], "url STRING, content STRING")
+    texts = texts.coalesce(1).mapInPandas(mark, "url STRING, content STRING")
+    result = runs.run_workflow(articles, texts, "2024-01-31", tie=("id",))
+    row = result.funnel.first()
+    assert len(glob.glob(f"{folder}/*")) == 1
+    assert (row["found"], row["with_content"]) == (20, 17)
+    assert row["analyzed"] == result.analyzed.count() and row["selected"] == result.selected.count() == min(10, row["analyzed"])
+
+    empty = runs.run_workflow(articles.limit(0), texts.limit(0), "2024-01-31", tie=("id",)).funnel.first()
+    assert (empty["found"], empty["analyzed"], empty["reports_generated"]) == (0, 0, False)
