@@ -160,10 +160,12 @@ def read_source_list_text(spark, sf):
 
 @query
 def read_term_lists(spark, sf):
-    terms = readers.read_term_lists(
-        spark,
-        overrides={n: getattr(PROFILE, n) for n in ("companies", "tools", "retail_terms", "deployment_terms")},
-    )
+    """Term lists from a settings file, one of them replaced, with the documents that each term occurs in."""
+    folder = new_folder(spark, "settings")
+    kept = {n: getattr(PROFILE, n) for n in ("companies", "tools", "deployment_terms")} | {"major_platforms": p.MAJOR_PLATFORMS}
+    lists = [F.array(*map(F.lit, terms)).alias(n) for n, terms in kept.items()]
+    spark.range(1).select(F.struct(*lists, F.array(F.lit("replaced")).alias("retail_terms")).alias("evaluation")).write.json(folder)
+    terms = readers.read_term_lists(spark, folder, overrides={"retail_terms": PROFILE.retail_terms})
     found = joins.match_term_table(articles(spark, sf), terms.select("term"))
     return terms.join(found, "term").groupBy("list_name", "pos", "term").agg(F.count("id").alias("articles"))
 
@@ -216,12 +218,15 @@ def read_search_results(spark, sf):
 
 @query
 def read_framework(spark, sf):
+    """Framework files, each with two sections for each of its documents."""
+    folder = new_folder(spark, "frameworks")
     value = F.concat(
-        F.lit("Framework\n1. "), "title", F.lit("\n- "),
+        F.lit("1. "), "title", F.lit("\n- "),
         F.replace(text.collapse_spaces(F.col("content")), F.lit(". "), F.lit("\n- ")),
         F.lit("\n2. "), "source", F.lit("\n"), "lang",
     )
-    return readers.framework_lines(articles(spark, sf).select(value.alias("value")))
+    articles(spark, sf).select(value.alias("value")).write.text(folder)
+    return readers.read_framework(spark, folder)
 
 
 def _store_rows(spark, sf):
