@@ -996,20 +996,27 @@ def _answer(content: Column) -> Column:
 
 @query
 def takeaway_run(spark, sf):
-    """Chunked requests, answers that repeat their chunk or are missing, verdicts, and a second round of answers."""
+    """Chunked requests whose answers repeat their chunk or are missing, with audience checks, rewritten forms, verdicts
+    and refined forms for some of them."""
     every = articles(spark, sf)
     rubric = F.md5(F.lit(PROFILE.rubric)).alias("rubric_key")
-    chunk = chunking.chunk_articles(every, CHUNK_TOKENS).select(F.col("chunk").alias("c"))
-    answers = chunk.where(F.length("c") % 5 != 0).select(
-        requests.fingerprint(F.col("c")).alias("content_key"), rubric, _answer(F.col("c")).alias("raw")
+    chunk = chunking.chunk_articles(every, CHUNK_TOKENS).select(F.col("chunk").alias("c"), F.length("chunk").alias("n"))
+    key = requests.fingerprint(F.col("c"))
+    answered = chunk.where("n % 5 <> 0").select(key.alias("content_key"), rubric, _answer(F.col("c")).alias("raw"))
+    checks = chunk.select(
+        key.alias("takeaway_key"), (F.col("n") % 3 != 0).alias("passes"), F.array().cast("array<string>").alias("issues")
     )
-    shortened = takeaways.extractive_takeaways(every, PROFILE)
-    refined = shortened.where(F.length("content") % 2 == 0).select(
-        requests.fingerprint(F.col("content")).alias("content_key"), rubric, _answer(F.col("takeaway")).alias("raw")
+    rewritten = chunk.where("n % 2 = 0").select(
+        key.alias("content_key"), rubric, F.concat(F.lit(" Rewritten: "), "c").alias("raw")
+    )
+    refined = chunk.where("n % 7 < 5").select(
+        key.alias("content_key"), rubric, _answer(F.concat(F.lit("Refined: "), "c")).alias("raw")
+    )
+    result = runs.run_takeaways(
+        every, answered, verdicts(spark, sf), refined, checks, rewritten, PROFILE, CHUNK_TOKENS
     )
-    result = runs.run_takeaways(every, answers, verdicts(spark, sf), refined, PROFILE, CHUNK_TOKENS)
     return result.select(
-        "id", F.md5("takeaway").alias("takeaway_key"), "passes_validation", "refined",
+        "id", F.md5("takeaway").alias("takeaway_key"), "passes_validation", "rewritten", "refined", "passes_check",
         F.array_join("issues_found", " | ").alias("issues"),
     )
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import dates
+from newsloom.functions import dates, text
 from newsloom.operators import (
     aggregates, chunking, extract, filters, joins, ranking, requests, responses, scoring, takeaways as tk,
 )
@@ -131,48 +131,90 @@ def store_scan(scanned: DataFrame, existing: DataFrame | None, as_of: str, folde
     return store.upsert_store(existing, store.to_store_rows(rows, as_of))
 
 
+def review(
+    drafts: DataFrame,
+    key: Sequence[str],
+    verdicts: DataFrame,
+    refined: DataFrame,
+    checks: DataFrame,
+    rewritten: DataFrame,
+    profile: Profile = Profile(),
+) -> DataFrame:
+    """One round of checks over ``drafts(*key, judged, content_key, takeaway)``: the drafts as they leave it.
+
+    Every takeaway is checked for its audience, and what fails (no verdict fails, too) is replaced by its rewritten form, if
+    there is one. Then rules and ``verdicts`` judge it; what fails, with something to change, is replaced by its refined
+    form (without one it stays) and judged by the rules once more. Adds ``passes_validation, issues_found, rewritten,
+    refined, passes_check``, the last for the text as it is at the end. ``judged`` is what ``verdicts`` are joined by;
+    ``checks`` are joined by the takeaway's fingerprint ``takeaway_key``, ``rewritten`` and ``refined`` by that of the text
+    that their requests carry. Texts themselves stay where they are.
+    """
+
+    def checked(df: DataFrame) -> DataFrame:
+        named = df.withColumn("takeaway_key", requests.fingerprint(F.col("takeaway")))
+        return tk.audience_check(named, checks, "takeaway_key").drop("takeaway_key", "check_issues")
+
+    keyed = drafts.withColumn("rubric_key", F.md5(F.lit(profile.rubric)))
+    known = joins.join_responses(checked(keyed), rewritten).withColumn("_new", text.null_if_empty(text.strip(F.col("raw"))))
+    replaced = ~F.col("passes_check") & F.col("_new").isNotNull()
+    first = known.withColumn("rewritten", replaced).withColumn(
+        "takeaway", F.when(F.col("rewritten"), F.col("_new")).otherwise(F.col("takeaway"))
+    ).drop("raw", "_new", "passes_check")
+    judged = stage(
+        tk.refinement_instructions(tk.merge_verdicts(tk.validate_takeaways(first), verdicts, "judged")), "judged"
+    )
+    due = ~F.col("passes_validation") & (F.col("refinement") != tk.ALL_CLEAR)
+    shown = [*key, "takeaway", "passes_validation", "issues_found", "rewritten", "refined"]
+
+    again = judged.where(due).select(*key, "content_key", "rubric_key", F.col("takeaway").alias("first"), "rewritten")
+    second = responses.parse_takeaway_responses(joins.join_responses(again, refined), fallback="first")
+    settled = (
+        judged.where(~due).withColumn("refined", F.lit(False)).select(*shown)
+        .unionByName(tk.validate_takeaways(second).withColumn("refined", F.lit(True)).select(*shown))
+    )
+    return checked(settled)
+
+
 def run_takeaways(
     articles: DataFrame,
     answers: DataFrame,
     verdicts: DataFrame,
     refined: DataFrame,
+    checks: DataFrame,
+    rewritten: DataFrame,
     profile: Profile = Profile(),
     max_tokens: int = 40_000,
 ) -> DataFrame:
-    """``id, takeaway, passes_validation, refined, issues_found`` for ``articles(id, content)``.
+    """``id, takeaway, passes_validation, issues_found, rewritten, refined, passes_check`` for ``articles(id, content)``.
 
     Short contents get their fixed text. The others are cut into chunks, and every chunk is a request; answers are
-    attached by fingerprint, parsed and combined. What does not pass the rules and verdicts is asked for again with
-    instructions; the second answer (without one, the first takeaway) is judged by the rules once more.
+    attached by fingerprint, parsed and reviewed (``review``), so rewriting and refining are asked for by chunk, too. The
+    takeaways of an article of several chunks are combined, and the combination is reviewed in turn; ``verdicts`` on an
+    article hold for its only chunk or for the combination.
     """
     guarded = tk.short_content_guard(articles.select("id", "content"))
     due = guarded.where(F.col("takeaway").isNull()).select("id", "content")
     chunks = chunking.chunk_articles(due, max_tokens).select("id", "chunk_no", F.col("chunk").alias("content"))
-    asked = requests.build_requests(chunks, "takeaway", profile)
-    parsed = responses.parse_takeaway_responses(joins.join_responses(asked, answers))
-    first = tk.combine_takeaways(parsed.select("id", "chunk_no", "takeaway"))
-    judged = stage(tk.refinement_instructions(tk.merge_verdicts(tk.validate_takeaways(first), verdicts)), "judged")
-
-    failing = judged.where(~F.col("passes_validation")).select("id", "takeaway", "refinement")
-    again = requests.build_requests(failing.join(due, "id"), "refine", profile)
-    answered = joins.join_responses(again, refined).join(failing.select("id", F.col("takeaway").alias("first")), "id")
-    second = responses.parse_takeaway_responses(answered, fallback="first").select("id", "takeaway")
-
-    shown = ["id", "takeaway", "passes_validation", "refined", "issues_found"]
-    return (
-        judged.where("passes_validation").withColumn("refined", F.lit(False)).select(*shown)
-        .unionByName(tk.validate_takeaways(second).withColumn("refined", F.lit(True)).select(*shown))
-        .unionByName(
-            guarded.where(F.col("takeaway").isNotNull())
-            .withColumns(
-                {
-                    "passes_validation": F.lit(False), "refined": F.lit(False),
-                    "issues_found": F.array().cast("array<string>"),
-                }
-            )
-            .select(*shown)
-        )
+    asked = requests.build_requests(chunks, "takeaway", profile).drop("prompt", "kind")
+    counts = asked.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("sole"))
+    parsed = responses.parse_takeaway_responses(joins.join_responses(asked, answers)).drop("raw")
+    given = verdicts.withColumnRenamed("id", "judged")
+    drafts = parsed.join(counts, "id").select(
+        "id", "chunk_no", "sole", F.when(F.col("sole"), F.col("id")).alias("judged"), "content_key", "takeaway"
+    )
+    parts = stage(review(drafts, ("id", "chunk_no", "sole"), given, refined, checks, rewritten, profile), "parts")
+
+    joined = tk.combine_takeaways(parts.where(~F.col("sole")).select("id", "chunk_no", "takeaway")).select(
+        "id", F.col("id").alias("judged"), requests.fingerprint(F.col("takeaway")).alias("content_key"), "takeaway"
+    )
+    combined = review(joined, ("id",), given, refined, checks, rewritten, profile)
+
+    shown = ["id", "takeaway", "passes_validation", "issues_found", "rewritten", "refined", "passes_check"]
+    none, no = F.array().cast("array<string>"), F.lit(False)
+    short = guarded.where(F.col("takeaway").isNotNull()).withColumns(
+        {"passes_validation": no, "issues_found": none, "rewritten": no, "refined": no, "passes_check": no}
     )
+    return parts.where("sole").select(*shown).unionByName(combined.select(*shown)).unionByName(short.select(*shown))
 
 
 @dataclass(frozen=True)
