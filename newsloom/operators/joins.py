@@ -96,21 +96,17 @@ def match_terms(
 def match_term_table(articles: DataFrame, terms: DataFrame, column: str = "content", gram: int = 4) -> DataFrame:
     """Which terms of a table occur, in any case, in which articles: ``id, term``.
 
-    Texts and terms meet in an equi-join on words, each term by words that it hangs on (``_hooks``); what hangs on a
+    Texts and terms meet in an equi-join on words, each term by words that it hangs on (``word_hooks``); what hangs on a
     word of a text is a candidate, and is verified with ``contains`` unless the word itself holds the term. Only texts
     with candidates are fetched for that, each once. The vocabulary of the texts is counted first, so that a phrase
     hangs on its rarest word and one with an unknown word is out at once. What is joined with the texts is staged, so
     its size is known and Spark decides what is broadcast; the plan is the same for any size.
     """
-    wanted = stage(
-        terms.select("term", F.lower("term").alias("needle")).where(F.length("needle") > 0).distinct()
-        .withColumn("no", F.monotonically_increasing_id()),
-        "terms",
-    )
+    wanted = wanted_terms(terms)
     texts = articles.select("id", F.lower(column).alias("_text"))
     words = texts.select("id", F.explode_outer(F.array_distinct(F.split("_text", " "))).alias("word"))
     vocabulary = stage(words.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("texts")), "vocabulary")
-    hooks = stage(_hooks(wanted, vocabulary, gram), "hooks")
+    hooks = stage(word_hooks(wanted, vocabulary, gram), "hooks")
     pairs = stage(words.join(hooks, "word").select("id", "no", "sure").distinct(), "pairs")
 
     found = pairs.where("sure").join(wanted.select("no", "term"), "no").select("id", "term")
@@ -122,7 +118,13 @@ def match_term_table(articles: DataFrame, terms: DataFrame, column: str = "conte
     return found.unionByName(verified.select("id", F.col("_t.term").alias("term")).distinct())
 
 
-def _hooks(wanted: DataFrame, vocabulary: DataFrame, gram: int) -> DataFrame:
+def wanted_terms(terms: DataFrame) -> DataFrame:
+    """``term, needle, no``: the distinct terms, in lower case and with a number, written once; empty ones are left out."""
+    needles = terms.select("term", F.lower("term").alias("needle")).where(F.length("needle") > 0).distinct()
+    return stage(needles.withColumn("no", F.monotonically_increasing_id()), "terms")
+
+
+def word_hooks(wanted: DataFrame, vocabulary: DataFrame, gram: int) -> DataFrame:
     """``word, no, sure``: the words of the texts that a term can only occur with, and whether such a word is enough.
 
     Texts are cut at single spaces. A term with words between two spaces needs each of them: it hangs on the rarest. A

@@ -20,6 +20,7 @@ from newsloom.plans import runs
 from newsloom.profile import CORPUS_PROFILE as PROFILE
 from newsloom.session import new_folder, spread, stage
 from newsloom.sources import readers, reports, store
+from newsloom.sources.word_index import WordIndex
 from newsloom.streaming import jobs
 
 AS_OF = "2024-01-31"
@@ -506,13 +507,26 @@ def match_words(spark, sf):
 @query
 def match_term_table(spark, sf):
     """Which part names' words and benchmark passages occur in which documents."""
+    return joins.match_term_table(articles(spark, sf), _terms(spark, sf)).select("id", F.md5("term").alias("term_key"))
+
+
+@query
+def word_index(spark, sf):
+    """The same from an index that is built in two batches."""
+    index = WordIndex(spark, new_folder(spark, "index"))
+    every = articles(spark, sf).select("id", "content", "lang")
+    index.add(0, every.where(F.col("lang") == "en"))
+    index.add(1, every.where(~F.col("lang").eqNullSafe("en")))
+    return index.search(_terms(spark, sf)).select("id", F.md5("term").alias("term_key"))
+
+
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
     passages = table(spark, sf, "benchmark").select(F.col("text").alias("term"))
     sentences = table(spark, sf, "benchmark").select(
         F.explode(takeaways.sentences(text.collapse_spaces(F.col("text")))).alias("term")
     )
-    terms = words.unionByName(passages).unionByName(sentences)
-    return joins.match_term_table(articles(spark, sf), terms).select("id", F.md5("term").alias("term_key"))
+    return words.unionByName(passages).unionByName(sentences)
 
 
 @query

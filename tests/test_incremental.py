@@ -282,3 +282,26 @@ def test_the_workflow_counts_while_it_writes(spark, tmp_path):
 
     empty = runs.run_workflow(articles.limit(0), texts.limit(0), "2024-01-31", tie=("id",)).funnel.first()
     assert (empty["found"], empty["analyzed"], empty["reports_generated"]) == (0, 0, False)
+
+
+def test_index_finds_what_the_texts_hold(spark):
+    """Phrases, parts of words, terms at both ends of a text, double spaces; in batches, repeated and failed ones."""
+    from newsloom.sources.word_index import WordIndex
+
+    rng = random.Random(2)
+    words = ["the", "old", "mill", "Walking", "word7", "üb7er", "", "near", "x\ny", "near,", "new"]
+    data = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 25)))) for i in range(60)] + [(60, None), (61, ""), (62, " "), (63, "the old")]
+    terms = ["the old", "old mill near", "he ol", " ", "  ", "e", "mill", "walking THE", "d m", "near, new", "x\ny near", "y n",
+             "the old mill word7 üb7er", "the ", " the", "no such", "the  old", "", "old the old the", "üb"]
+    want = {(i, t) for i, text in data if text for t in terms if t and t.lower() in text.lower()}
+    docs = spark.createDataFrame(data, "id LONG, content STRING")
+    asked = spark.createDataFrame([(t,) for t in terms], "term STRING")
+    index = WordIndex(spark, new_folder(spark, "index"), buckets=5)
+    assert index.search(asked).count() == 0
+    assert index.add(3, docs.where("id < 20")) and not index.add(3, docs.where("id < 20"))
+    docs.where("id > 40").selectExpr("'junk' word", "id", "1 pos", "0 _bucket").write.parquet(f"{index.folder}/postings/4")  # of a lost batch
+    assert index.add(4, docs.where("id >= 20"))
+    got = [tuple(r) for r in WordIndex(spark, index.folder).search(asked).collect()]
+    assert len(got) == len(want) and set(got) == want
+    texts = sum(1 for _, t in data if t and "mill" in t.lower().split(" "))
+    assert index.vocabulary().where("word = 'mill'").first()["texts"] == texts
