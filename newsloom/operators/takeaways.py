@@ -28,7 +28,7 @@ def _linear(pattern: str) -> str:
     return f"^(?>.*?{head}).*{tail}" if gap else pattern
 
 
-_AUDIENCE = "(?iUdm)" + "|".join(f"(?:{_linear(x)})" for x in p.AUDIENCE_PATTERNS)
+_AUDIENCE = "(?iUdm)" + "|".join(f"(?:{_linear(x)})" for x in p.AUDIENCE_MERGED)
 # Every audience pattern needs one of these; texts without any skip the patterns, which rescan long texts.
 _AUDIENCE_GATE = "(?iU)leader|executive|target (?:audience|reader)"
 _NO_STRINGS = "array<string>"

@@ -419,3 +419,21 @@ def test_best_criteria_in_blocks(rows):
     for block in (3, 256):
         got = {(r["id"], r["criterion_no"]): r["score"] for r in joins.best_criteria(docs, criteria, 2, block=block).collect()}
         assert got == {(1, 5): 10, (1, 10): 10, (2, 3): 10, (2, 4): 10, (3, 0): 1, (3, 1): 1}
+
+
+def test_merged_audience_patterns_find_what_the_stated_ones_find():
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = sorted({w for x in p.AUDIENCE_PATTERNS for w in re.sub(r"\\b|\(s\)\?|\.\*", " ", x).split()})
+    parts += ["leaders", "executives", "x", "\n", "retailer", "AI", "Leaders"]
+    stated = [re.compile(x, re.I) for x in p.AUDIENCE_PATTERNS]
+    merged = re.compile("|".join(f"(?:{x})" for x in p.AUDIENCE_MERGED), re.I)
+    hits = 0
+    for _ in range(20_000):
+        text = rng.choice(["", " "]).join(rng.choices(parts, k=2)) + " " + " ".join(rng.choices(parts, k=rng.randrange(4)))
+        want = any(x.search(text) for x in stated)
+        assert bool(merged.search(text)) == want, text
+        hits += want
+    assert 1000 < hits < 19_000
