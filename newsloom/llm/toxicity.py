@@ -141,14 +141,94 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
-def places_of_grams(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct grams of the words in order, the places of each word's grams in them, and how many each word has."""
-    order: dict[str, int] = {}
-    found = np.fromiter((order.setdefault(g, len(order)) for w in words if w for g in word_grams(w)), np.int32)
-    names = sorted(order)
-    rank = np.empty(len(names), np.int32)
-    rank[np.fromiter(map(order.__getitem__, names), np.int32, len(names))] = np.arange(len(names))
-    return names, rank[found], np.array([len(w) + 1 if w else 0 for w in words], np.int64)
+class Grams:
+    """The distinct grams of some words in order, and the places of each word's grams among them.
+
+    All characters are numbered together, so that a gram is one number and the grams of a million words are one sort.
+    """
+
+    def __init__(self, words: list[str]) -> None:
+        lengths = np.fromiter(map(len, words), np.int32, len(words))
+        self.sizes = np.where(lengths > 0, lengths + 1, 0).astype(np.int32)
+        codes = _codes(" ".join([w for w in words if w]) + " ")  # a word's end is the blank after it
+        total = int(self.sizes.sum())
+        codes = codes[:total]
+        seen = np.zeros(0x110000, bool)
+        seen[codes] = True
+        seen[ord(" ")] = True
+        alphabet = np.flatnonzero(seen)
+        number = np.zeros(0x110000, np.uint32)
+        number[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+        blank, numbers = number[ord(" ")], number[codes]
+        first = np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)  # where a gram's word begins
+        bits = max(1, int(len(alphabet) - 1).bit_length())
+        if bits * ORDER <= 64:
+            keys = _joined(numbers, first, range(ORDER), bits, blank)
+            del first, codes, numbers
+            order, starts, self.at = _ranked(keys)
+            distinct = keys[order[starts]]
+            mask = np.uint64((1 << bits) - 1)
+            shifts = np.arange(ORDER - 1, -1, -1).astype(np.uint64) * np.uint64(bits)
+            self.characters = alphabet[((distinct[:, None] >> shifts) & mask).astype(np.int64)].astype(np.uint32)
+        else:  # two halves of three characters each, by their ranks
+            halves = [_joined(numbers, first, part, 21, blank) for part in (range(3), range(3, ORDER))]
+            del first, codes, numbers
+            ranks = [_ranked(half)[2].astype(np.uint64) for half in halves]
+            order, starts, self.at = _ranked(ranks[0] << np.uint64(32) | ranks[1])
+            distinct = np.stack([half[order[starts]] for half in halves], axis=1)
+            shifts = np.array([42, 21, 0], np.uint64)
+            parts = (distinct[:, :, None] >> shifts) & np.uint64((1 << 21) - 1)
+            self.characters = alphabet[parts.reshape(-1, ORDER).astype(np.int64)].astype(np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.characters)
+
+    def names(self) -> list[str]:
+        return _strings(self.characters)
+
+    def by_context(self, used: np.ndarray) -> tuple[np.ndarray, list[str], list[str]]:
+        """Runs of used grams with one context: the first gram's place, the context, the characters that follow it."""
+        places = np.flatnonzero(used)
+        own = self.characters[places]
+        new = np.ones(len(places), bool)
+        new[1:] = (own[1:, :-1] != own[:-1, :-1]).any(axis=1) | (np.diff(places) != 1)
+        last = _strings(own[:, -1:].reshape(1, -1))[0] if len(places) else ""
+        cuts = [*np.flatnonzero(new).tolist(), len(places)]
+        return places[new].astype(np.int32), _strings(own[new][:, :-1]), [last[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _strings(characters: np.ndarray) -> list[str]:
+    width = characters.shape[1]
+    text = np.ascontiguousarray(characters, "<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[i : i + width] for i in range(0, len(text), max(1, width))]
+
+
+def _joined(numbers: np.ndarray, first: np.ndarray, offsets: range, bits: int, blank: np.uint32) -> np.ndarray:
+    """For each place the characters up to it as one number; what lies before its word are blanks."""
+    keys = np.zeros(len(numbers), np.uint64)
+    here = np.arange(len(numbers), dtype=np.int32)
+    for k in offsets:
+        back = ORDER - 1 - k
+        shifted = numbers if not back else np.concatenate([np.full(min(back, len(numbers)), blank), numbers[:-back]])
+        keys <<= np.uint64(bits)
+        keys |= np.where(here - back >= first, shifted, blank)
+    return keys
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, where a new one begins in it, and the rank of each."""
+    order = np.argsort(keys).astype(np.int32)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order, np.flatnonzero(new), rank
 
 
 COUNTED = ("ordinary", "toxic", "held_ordinary", "held_toxic")  # occurrences in rows that train, and that calibrate
@@ -166,26 +246,19 @@ ROW = pa.schema([
 
 
 def _chunk(number: int, words: list[str], rows: list[tuple[int, int, np.ndarray]], learns: bool) -> pa.RecordBatch:
-    names, at, sizes = places_of_grams(words)
-    used, grams = np.ones(len(names), bool), []
+    found = Grams(words)
+    used, grams = np.ones(len(found), bool), []
     if learns:
         counts = []
         for k in range(len(COUNTED)):
             of = [places for _, kind, places in rows if kind == k]
             seen = np.bincount(np.concatenate(of), minlength=len(words)) if of else np.zeros(len(words), np.int64)
-            counts.append(np.bincount(at, np.repeat(seen, sizes), len(names)).astype(np.int64))
+            counts.append(np.bincount(found.at, np.repeat(seen, found.sizes), len(found)).astype(np.int64))
         used = counts[2] + counts[3] > 0
-        grams = pa.StructArray.from_arrays([pa.array(names, pa.string()), *map(pa.array, counts)], ["gram", *COUNTED])
+        grams = pa.StructArray.from_arrays([pa.array(found.names(), pa.string()), *map(pa.array, counts)], ["gram", *COUNTED])
         rows = [row for row in rows if row[1] > 1]
-    starts, contexts, following = [], [], []
-    for i in np.flatnonzero(used).tolist():
-        context = names[i][:-1]
-        if contexts and contexts[-1] == context and i == starts[-1] + len(following[-1]):
-            following[-1] += names[i][-1]
-        else:
-            starts.append(i)
-            contexts.append(context)
-            following.append(names[i][-1])
+    starts, contexts, following = found.by_context(used)
+    del found
     entries = pa.StructArray.from_arrays(
         [pa.array(starts, pa.int32()), pa.array(contexts, pa.string()), pa.array(following, pa.string())],
         ["start", "context", "next"],
@@ -254,19 +327,18 @@ def ratio_features(values: np.ndarray) -> tuple[float, ...]:
 
 def _values_of_words(row: dict) -> np.ndarray:
     """The log-likelihood ratio of each word of a chunk."""
-    names, at, sizes = places_of_grams(zlib.decompress(row["words"].as_py()).decode().split("\n"))
-    of_gram = np.zeros(len(names))
+    grams = Grams(zlib.decompress(row["words"].as_py()).decode().split("\n"))
+    of_gram = np.zeros(len(grams))
     if row["found"].is_valid:
         start, ratios = (row["found"].values.field(c) for c in ("start", "ratios"))
         lengths = ratios.value_lengths().to_numpy()
         first = np.cumsum(lengths) - lengths
         slots = np.repeat(start.to_numpy() - first, lengths) + np.arange(lengths.sum())
         of_gram[slots] = ratios.flatten().to_numpy()
-    del names
-    of_word = np.zeros(len(sizes))
-    filled = np.flatnonzero(sizes)  # only an empty word has no grams
+    of_word = np.zeros(len(grams.sizes))
+    filled = np.flatnonzero(grams.sizes)  # only an empty word has no grams
     if len(filled):
-        of_word[filled] = np.add.reduceat(of_gram[at], (np.cumsum(sizes) - sizes)[filled])
+        of_word[filled] = np.add.reduceat(of_gram[grams.at], (np.cumsum(grams.sizes) - grams.sizes)[filled])
     return of_word
 
 
