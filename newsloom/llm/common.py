@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,14 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def public_vocabulary(name: str) -> str:
     """Where the public tokenizer files lie on this machine (driver or executor)."""
     import public_tokenizers
@@ -93,6 +102,17 @@ def word_slices(data: bytes, overlap: int, size: int = SLICE) -> Iterator[tuple[
         at = end
 
 
+def packed(values: np.ndarray, kind: type = np.int32) -> bytes:
+    """Mostly small integers compressed, byte by byte of their size."""
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T)
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type = np.int32) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 U = np.uint64
 
 

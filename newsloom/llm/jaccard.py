@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Sieve, U, mixed, ship, text_or_empty
+from newsloom.llm.common import Sieve, U, fresh, mixed, ship, text_or_empty
 from newsloom.llm.components import components
 from newsloom.session import stage
 
@@ -319,14 +319,17 @@ def one_of_each(
     Rows without an id stay. Of rows that share the smallest id, those that are equal in every column are one.
     """
     found = stage(jaccard_components(docs, share, words, key, text, rare_first=rare_first), "found")
-    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    own, count, whole = (fresh(docs, name) for name in ("_id", "_rows", "_whole"))
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(count))
     # Only rows that may have to go, or that share an id, are moved and joined.
     doubtful = found.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min("component_id").alias("_first"))
     sieve = Sieve(doubtful.filter("_rows > 1 OR _first <> doc_id").select("doc_id"))
-    stays = sieve.sift(docs, key).join(kept.hint("shuffle_hash"), F.col(f"`{key}`") == F.col("_id"))
-    once = stays.filter("_rows = 1").select(*docs.columns)
-    more = stays.filter("_rows > 1").select(*docs.columns).distinct()
-    return sieve.sift(docs, key, passing=False).unionByName(once).unionByName(more)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stays = sieve.sift(docs, key).join(kept.hint("shuffle_hash"), F.col(f"`{key}`") == F.col(own))
+    once = stays.filter(F.col(count) == 1).select(*columns)
+    # rows of any type, maps among them, are compared as text
+    more = stays.filter(F.col(count) > 1).select(*columns).withColumn(whole, F.to_json(F.struct(*columns)))
+    return sieve.sift(docs, key, passing=False).unionByName(once).unionByName(more.dropDuplicates([whole]).drop(whole))
 
 
 def _verified(

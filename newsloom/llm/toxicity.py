@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Sieve, ship, text_or_empty
+from newsloom.llm.common import Sieve, fresh, packed, ship, text_or_empty, unpacked
 from newsloom.session import stage
 
 if TYPE_CHECKING:
@@ -130,17 +130,6 @@ class Places(dict):
         return place
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Small integers compressed, byte by byte of their size."""
-    planes = np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
-
-
 class Grams:
     """The distinct grams of some words in order, and the places of each word's grams among them.
 
@@ -495,12 +484,13 @@ def toxicity(
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``toxicity`` does not predict to be toxic, all columns as they are.
 
-    A verdict follows from the text, so toxic texts are known by a 64-bit hash; only rows that a sieve holds move.
+    A verdict follows from the text, so toxic texts are known by a 64-bit hash; only rows that a sieve holds move. Null
+    texts are empty; repeated rows share a verdict; an empty table gives no rows; no column name can clash.
     """
     model, weights = fit(docs, labels, key, text)
-    digest = F.xxhash64(text_or_empty(text))
+    digest, name = F.xxhash64(text_or_empty(text)), fresh(docs, "_digest")
     found = score(docs.select(digest.alias("doc_id"), text_or_empty(text).alias("text")), model, weights)
-    toxic = stage(found.filter("predicted = 1").select(F.col("doc_id").alias("_digest")).distinct(), "toxicity-found")
-    sieve, rows = Sieve(toxic), docs.withColumn("_digest", digest)
-    held = sieve.sift(rows, "_digest").join(toxic.hint("shuffle_hash"), "_digest", "left_anti")
-    return sieve.sift(rows, "_digest", passing=False).unionByName(held).select(*[F.col(f"`{c}`") for c in docs.columns])
+    toxic = stage(found.filter("predicted = 1").select(F.col("doc_id").alias(name)).distinct(), "toxicity-found")
+    sieve, rows = Sieve(toxic), docs.withColumn(name, digest)
+    held = sieve.sift(rows, name).join(toxic.hint("shuffle_hash"), name, "left_anti").select(*rows.columns)
+    return sieve.sift(rows, name, passing=False).unionByName(held).select(*[F.col(f"`{c}`") for c in docs.columns])
