@@ -249,6 +249,36 @@ def test_log_ratios_equal_plain_counting(spark):
         assert row.kept == (not row.base_failed and row.log_ratio >= 0)
 
 
+@pytest.mark.parametrize("different", [0, 1, 500, 20_000, 300_000])
+def test_buckets_follow_the_number_of_different_grams(different):
+    rng = np.random.default_rng(different)
+    counts = np.zeros(1 << 18, np.int64)
+    np.add.at(counts, rng.integers(0, 1 << 18, different), 3)
+    bits = quality.fitting_bits(counts)
+    assert 6 <= bits <= 18 and (different < 1000 or 0.6 < different / quality.LOAD / (1 << bits) < 1.6)
+    assert quality.folded(counts, bits).sum() == 3 * different
+
+
+def test_counts_of_tasks_add_up(spark):
+    texts = [" ".join(random.Random(i).choices("abcdefgh", k=60)) for i in range(200)] + ["", "hot " * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    known, want = quality.Words(), np.zeros(1 << 10, np.int64)
+    for t in texts:
+        np.add.at(want, quality.grams(known.of(t.encode().split()), known, 10).astype(np.int64), 1)
+    assert (quality.bucket_counts(df, 10) == want).all()
+    assert not quality.bucket_counts(df.limit(0), 10).any()
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 300), ("sf0.1", 3000)])
+def test_threshold_holds_at_several_sizes(spark, sf, least):
+    """Labelled junk goes and labelled good texts stay, whatever the size; the model of op7 and of the pipeline."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.quality_rules(docs, quality.trusted_texts(docs, labels)).filter("NOT base_failed").join(labels, "doc_id")
+    share = {r.quality: (r.kept, r.n) for r in judged.groupBy("quality").agg(
+        F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert share[1][0] >= 0.99 and share[0][0] <= 0.02 and share[1][1] >= least
+
+
 def held_out(scored, labels, column):
     joined = scored.merge(labels, on="doc_id")
     return joined[[zlib.crc32(str(d).encode()) % 5 == 0 for d in joined.doc_id]].dropna(subset=[column])
@@ -404,6 +434,23 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert steps["packing"](spark, clean, sf).select("doc_id").distinct().count() == len(left)
 
 
+INNER = ("_id", "_rows", "_ROWS_", "_whole", "_digest", "_row", "_base", "base", "found", "node", "component_id", "_text", "_rest")
+
+
+def test_pipeline_stages_keep_columns_of_any_name_and_type(spark):
+    """Names that the stages use inside, and a map; repeated rows; an id that two rows share."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("text", F.lit("quite another text of an old id")))
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in INNER if c.lower() != "_rows_"], F.create_map(F.lit("k"), "doc_id").alias("kinds"))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in INNER if c in out.columns), name
+        assert all(r["kinds"] == {"k": r["doc_id"]} for r in rows), name
+
+
 def test_hashes_of_sets_tell_sets_apart():
     known = jaccard.WordHashes()
     a, b = (jaccard.shingle_set(t, known) for t in ("a b c d", "a b c e"))
