@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import text
 from newsloom.functions.rows import compute_once
 from newsloom.llm.common import text_or_empty
 from newsloom.session import stage
@@ -55,14 +57,51 @@ KINDS = BASE + WEAK
 SPAN = "struct<start: int, kind: int, end: int>"
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The values combined from the first to each, for an operation such as a sum or a maximum of whole numbers.
+
+    A fold that appends copies its array at every step. Here it goes over blocks of about the square root of the number of
+    values, then over what the blocks come to, so no long array is ever copied for one element.
+    """
+
+    def fold(part: Column) -> Column:
+        first = F.struct(part[0].alias("last"), F.array(part[0]).alias("all"))
+
+        def step(acc: Column, v: Column) -> Column:
+            new = combine(acc["last"], v)
+            return F.struct(new.alias("last"), F.concat(acc["all"], F.array(new)).alias("all"))
+
+        return F.aggregate(F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(1))), first, step)
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(v), F.greatest(width, F.lit(1)))
+        blocks = F.transform(starts, lambda s: fold(F.slice(v, s, width)))
+        return text.let(
+            blocks,
+            lambda bs: text.let(
+                fold(F.transform(bs, lambda x: x["last"]))["all"],
+                lambda sums: F.flatten(
+                    F.transform(
+                        bs,
+                        lambda x, i: F.when(i == 0, x["all"]).otherwise(
+                            F.transform(x["all"], lambda y: combine(sums[i - 1], y))
+                        ),
+                    )
+                ),
+            ),
+        )
+
+    return text.let(values, whole)
+
+
 def spans_of(clean: Column, number: int) -> Column:
     """The matches of a kind as ``array<SPAN>`` in code points, leftmost first, not overlapping.
 
-    Matches are put between marks and the text is split there: every second piece is a match, and what lies before it
-    gives its place.
+    Matches are put between marks and the text is split there: every second piece is a match, and the lengths of what
+    lies before it give its place.
     """
     kind = KINDS[number]
-    pieces = F.split(F.regexp_replace(clean, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
 
     def holds(piece: Column) -> Column:
         fine = F.lit(True)
@@ -72,15 +111,20 @@ def spans_of(clean: Column, number: int) -> Column:
             fine = piece.rlike("[0-9]") & piece.rlike("[A-Z]") & piece.rlike("[a-z]")
         return fine
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["end"] + F.char_length(piece)
-        span = F.struct(acc["end"].alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        found = F.when(acc["match"] & holds(piece), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(end.alias("end"), (~acc["match"]).alias("match"), found.alias("found"))
+    def placed(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda p: F.char_length(p)), lambda a, b: a + b)
+
+        def span(p: Column, i: Column, ends: Column) -> Column:
+            return F.when(
+                (i % 2 == 1) & holds(p),
+                F.struct((ends[i] - F.char_length(p)).alias("start"), F.lit(number).alias("kind"), ends[i].alias("end")),
+            )
+
+        return text.let(ends, lambda e: F.filter(F.transform(pieces, lambda p, i: span(p, i, e)), lambda s: s.isNotNull()))
 
     none = F.array().cast(f"array<{SPAN}>")
-    begin = F.struct(F.lit(0).alias("end"), F.lit(False).alias("match"), none.alias("found"))
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, begin, step)["found"]).otherwise(none)
+    marked = F.split(F.regexp_replace(clean, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
+    return text.let(marked, lambda pieces: F.when(F.size(pieces) > 1, placed(pieces)).otherwise(none))
 
 
 def _written(spans: Column) -> Column:
@@ -91,25 +135,18 @@ def _written(spans: Column) -> Column:
     return F.array_join(each, ",")
 
 
-def scan(docs: DataFrame, text: str = "text", **carried: Column) -> DataFrame:
-    """The ``carried`` columns and ``base, weak, text_key``: base matches, and weak ones that touch none of them.
+def scan(docs: DataFrame, column: str = "text", **carried: Column) -> DataFrame:
+    """The ``carried`` columns and ``base, weak, text_key``: base matches, and weak ones in what these leave of the text.
 
     ``text_key`` is a digest of the text where there are weak matches and something to link them with, else null.
     """
-    rows = docs.select(*[c.alias(name) for name, c in carried.items()], text_or_empty(text).alias("_text"))
+    rows = docs.select(*[c.alias(name) for name, c in carried.items()], text_or_empty(column).alias("_text"))
     clean = F.translate("_text", MARK, STAND_IN)
-    found = compute_once(
-        rows,
-        {
-            "base": F.array_sort(F.concat(*[spans_of(clean, i) for i in range(len(BASE))])),
-            "_weak": F.concat(*[spans_of(clean, i) for i in range(len(BASE), len(KINDS))]),
-        },
-    )
-    apart = F.filter(
-        "_weak",
-        lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])),
-    )
-    found = found.withColumn("weak", F.when(F.size("_weak") > 0, apart).otherwise(F.col("_weak")))
+    base = compute_once(rows, {"base": F.array_sort(F.concat(*[spans_of(clean, i) for i in range(len(BASE))]))})
+    # what base spans cover is blanked out, line end by character, so weak matches are what remains beside them
+    rest = F.when(F.size("base") > 0, masked(clean, F.col("base"), lambda n: F.repeat(F.lit("\n"), n))).otherwise(clean)
+    base = compute_once(base, {"_rest": rest})
+    found = compute_once(base, {"weak": F.concat(*[spans_of(F.col("_rest"), i) for i in range(len(BASE), len(KINDS))])})
     linkable = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
     text_key = F.when(linkable, F.md5(F.col("_text").cast("binary"))).alias("text_key")
     return found.select(*carried, "base", "weak", text_key)
@@ -187,29 +224,58 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def masked(text: Column, spans: Column, instead: str = "[SECRET]") -> Column:
-    """The text with every stretch that spans cover replaced; spans that overlap or touch are one stretch."""
-    begin = F.struct(
-        F.lit(0).alias("at"), F.lit(-1).alias("open"), F.array().cast("array<string>").alias("pieces")
-    )
+BLOCK = 1024  # code points of a text that are looked through at a time to cut a piece out of it
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] > acc["open"]
-        more = F.concat(acc["pieces"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(instead)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.greatest(acc["open"], s["end"]).alias("open"),
-            F.when(apart, more).otherwise(acc["pieces"]).alias("pieces"),
-        )
 
-    def close(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["pieces"], ""), F.substr(text, acc["at"] + 1))
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """What lies between two places of a text that is cut into blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(F.greatest(end - 1, start) / BLOCK).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substr(near, start - first * BLOCK + 1, end - start)).otherwise("")
 
-    return F.aggregate(spans, begin, step, close)
+
+def masked(whole: Column, spans: Column, instead: str | Callable[[Column], Column] = "[SECRET]") -> Column:
+    """The text with every stretch that spans cover replaced; spans that overlap or touch are one stretch.
+
+    ``instead`` is a text, or makes one from the stretch's length. Spans come sorted by start. The text is cut into blocks
+    once, so that no piece is looked for from the beginning.
+    """
+
+    def stand_in(length: Column) -> Column:
+        return F.lit(instead) if isinstance(instead, str) else instead(length)
+
+    def joined(blocks: Column, spans: Column, reached: Column) -> Column:
+        n = F.size(spans)
+        opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (spans[i]["start"] > F.get(reached, i - 1)))
+
+        def cut(opens: Column) -> Column:
+            def one(at: Column, k: Column) -> Column:
+                start = spans[at]["start"]
+                before = F.when(k == 0, F.lit(0)).otherwise(F.get(reached, at - 1))
+                last = F.when(k + 1 < F.size(opens), F.get(opens, k + 1)).otherwise(n) - 1
+                return F.concat(_between(blocks, before, start), stand_in(F.get(reached, last) - start))
+
+            tail = _between(blocks, F.get(reached, n - 1), F.char_length(whole))
+            return F.concat(F.array_join(F.transform(opens, one), ""), tail)
+
+        return text.let(opens, cut)
+
+    blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return text.let(
+        spans,
+        lambda sp: text.let(
+            running(F.transform(sp, lambda x: x["end"]), F.greatest),
+            lambda reached: text.let(blocks, lambda bs: joined(bs, sp, reached)),
+        ),
+    )
 
 
 def mask_secrets(docs: DataFrame, reach: int = 160, text: str = "text") -> DataFrame:
-    """``docs`` with the secrets in ``text`` replaced; every row stays, texts without secrets as they are."""
+    """``docs`` with the secrets in ``text`` replaced; every row stays, texts without secrets as they are.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; an empty table gives no rows. The other
+    columns travel as one, so no name can clash.
+    """
     scanned = stage(scan(docs, text, _row=F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "secrets")
     found = _linked(scanned, reach).select("_row", "found")
     old = F.col(f"_row.`{text}`")
