@@ -85,8 +85,15 @@ def sort_by_assessment(df: DataFrame, tie: Sequence[str] = ("url",)) -> DataFram
 
 
 def rank_report(df: DataFrame, tie: Sequence[str] = ("url",)) -> DataFrame:
-    """Adds ``rank``, the 1-based place in report order. Select the columns the report needs first."""
-    return with_position(stage(df, "ranked"), report_order(tie), "rank").withColumn("rank", F.col("rank") + 1)
+    """Adds ``rank``, the 1-based place in report order.
+
+    Rows are written once, each with a number; only that and the columns of the order are sorted, and the places come
+    back by the number.
+    """
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    slim = rows.select("_row", *dict.fromkeys(("assessment", "assessment_score", *tie)))
+    places = with_position(slim, report_order(tie), "rank").select("_row", (F.col("rank") + 1).alias("rank"))
+    return rows.join(places, "_row").drop("_row")
 
 
 def select_top_articles(
