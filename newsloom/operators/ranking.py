@@ -90,10 +90,10 @@ def rank_report(df: DataFrame, tie: Sequence[str] = ("url",)) -> DataFrame:
     Rows are written once, each with a number; only that and the columns of the order are sorted, and the places come
     back by the number.
     """
-    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
-    slim = rows.select("_row", *dict.fromkeys(("assessment", "assessment_score", *tie)))
-    places = with_position(slim, report_order(tie), "rank").select("_row", (F.col("rank") + 1).alias("rank"))
-    return rows.join(places, "_row").drop("_row")
+    rows = stage(df.withColumn("_line", F.monotonically_increasing_id()), "ranked")
+    slim = rows.select("_line", *dict.fromkeys(("assessment", "assessment_score", *tie)))
+    places = with_position(slim, report_order(tie), "rank").select("_line", (F.col("rank") + 1).alias("rank"))
+    return rows.join(places, "_line").drop("_line")
 
 
 def select_top_articles(
