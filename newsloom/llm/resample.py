@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ship, text_or_empty, word_slices
+from newsloom.llm.common import Sieve, fresh, ship, text_or_empty, word_slices
 from newsloom.operators.ranking import with_position
 from newsloom.session import stage
 
@@ -204,3 +204,19 @@ def importance_resample(
     )
     rest = others.unionByName(copies(last.before + last.equal - k)).select(*names, unranked)
     return ranked.unionByName(rest)
+
+
+def drawn_rows(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``importance_resample`` draws, all columns as they are, and ``draw`` with rank, score, weight.
+
+    Ids tell rows apart here: rows that share an id are all returned if one of them is drawn, with the best rank; rows
+    without an id are left out. Only drawn rows move. ``draw`` gets another name if there is such a column.
+    """
+    found = importance_resample(docs, target, key=key, text=text, **options).filter("rank IS NOT NULL")
+    own, name = fresh(docs, "_id"), fresh(docs, "draw")
+    best = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(
+        F.min(F.struct("rank", "score", "weight")).alias(name)
+    )
+    winners = stage(best, "winners")
+    rows = Sieve(winners.select(own)).sift(docs, key)
+    return rows.join(winners, F.col(f"`{key}`") == F.col(own)).select(*[F.col(f"`{c}`") for c in docs.columns], name)

@@ -228,6 +228,16 @@ def test_draw_equals_brute_force(spark, parts):
     assert drawn == list(range(1, len(drawn) + 1))
 
 
+def test_drawn_rows_come_whole(spark):
+    docs = [(i, f"word{i % 7} and more " * 10, f"draw {i}") for i in range(60)] + [(None, "word1 and more " * 10, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, draw string").withColumn("_id", F.lit("clash"))
+    aim = spark.createDataFrame([("word3 and more",)], "text string")
+    want = {r["doc_id"]: r["rank"] for r in resample.importance_resample(df, aim, parts=20).collect() if r["rank"]}
+    got = resample.drawn_rows(df, aim, parts=20).collect()
+    assert {r["doc_id"]: r["draw_"]["rank"] for r in got} == {i: n for i, n in want.items() if i is not None}
+    assert all((r["doc_id"], r["text"], r["draw"], r["_id"]) == (*docs[r["doc_id"]], "clash") for r in got) and len(got) >= 11
+
+
 def test_draw_with_an_empty_target(spark):
     docs = [(i, f"word{i} " * 30) for i in range(20)]
     got = resample.importance_resample(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "text string"))
