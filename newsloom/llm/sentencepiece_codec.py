@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ MARKER = "▁"
 # Numbers of the public model format (kinds of pieces, kinds of models).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KNOWN_BYTES = 48 << 20  # a task forgets the ids of its words beyond this size and encodes them again
+KNOWN_BYTES = 128 << 20  # a task forgets the ids of its words beyond this size and encodes them again
 WORD_COST = 220  # bytes of a known word beside its characters and ids
 SLICE = 1 << 20  # characters that are encoded, decoded and compared at a time
 RUN = 1 << 15  # characters of new words that go to the library as one text
@@ -144,9 +145,12 @@ def rebuild(model: Model):
 
 
 class Codec:
-    """Encodes and decodes batches with the library's threads; words that recur are encoded once."""
+    """Encodes and decodes batches with the library's threads; words that recur are encoded once.
 
-    def __init__(self, path: str, threads: int = 2) -> None:
+    With ``verify`` the ids are compared with those of the sentencepiece library.
+    """
+
+    def __init__(self, path: str, threads: int = 2, verify: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         with open(path, "rb") as f:
@@ -157,6 +161,12 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.known_bytes = 0
         self.changed: set[str] = set()  # known words that do not come back as they were
+        self.different: set[str] = set()  # and those with other ids than the library's
+        self.threads, self.reference = threads, None
+        if verify:
+            import sentencepiece
+
+            self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = self.model.pieces
         self.bytes = np.array([kind == BYTE for _, _, kind in pieces] + [False])
         self.opens = np.array([text.startswith(MARKER) for text, _, _ in pieces] + [False])
@@ -184,14 +194,26 @@ class Codec:
                 parts = self._direct(run)
             if back != line:
                 self.changed.update(w for w, x in zip(run, self.decode(parts)) if w != x)
+            self.different.update(w for w, fine in zip(run, self._as_library(run, parts)) if not fine)
             self.known.update(zip(run, parts))
             self.known_bytes += len(line) + len(found) + WORD_COST * len(run)
 
-    def encode_and_check(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text, as little-endian 32-bit numbers, and whether decoding them gives the text back.
-
-        Where words are apart, the ids of a text are those of its words one after the other, and it comes back if its
-        words do. Runs of blanks and texts that hold the marker itself go to the library whole.
+    def _as_library(self, texts: list[str], ids: list[bytes]) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids; true where it is not asked."""
+        if self.reference is None or not texts:
+            return [True] * len(texts)
+        theirs = self.reference.encode(texts, num_threads=self.threads)
+        if b"".join(ids) == np.fromiter(chain.from_iterable(theirs), "<u4").tobytes() and [len(x) // 4 for x in ids] == list(map(len, theirs)):
+            return [True] * len(texts)
+        return [x == np.array(y, "<u4").tobytes() for x, y in zip(ids, theirs)]
+
+    def encode_and_check(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Ids of each text, as little-endian 32-bit numbers; whether decoding them gives the text back; whether the
+        sentencepiece library has the same ids.
+
+        Where words are apart, no piece reaches from one word into the next: the ids of a text are those of its words one
+        after the other, in either library, and what holds for its words holds for the text. Runs of blanks and texts that
+        hold the marker itself go to the libraries whole.
         """
         words: list[list[str] | None] = [None] * len(texts)
         if self.apart:
@@ -202,23 +224,26 @@ class Codec:
         if self.known_bytes > KNOWN_BYTES:
             self.known.clear()
             self.changed.clear()
+            self.different.clear()
             self.known_bytes = 0
         known = self.known
-        if new := list(dict.fromkeys(w for parts in words if parts for w in parts if w not in known)):
-            self._learn(new)
+        if new := set(chain.from_iterable(parts for parts in words if parts)).difference(known):
+            self._learn(list(new))
         other = [t for t, parts in zip(texts, words) if parts is None]
         found = self._direct(other)
-        whole = iter(zip(found, [a == b for a, b in zip(self.decode(found), other)]))
-        ids, same = [], []
+        whole = iter(zip(found, [a == b for a, b in zip(self.decode(found), other)], self._as_library(other, found)))
+        ids, same, equal = [], [], []
         for parts in words:
             if parts is None:
-                one, fine = next(whole)
+                one, fine, alike = next(whole)
             else:
-                one = b"".join([known[w] for w in parts])
+                one = b"".join(map(known.__getitem__, parts))
                 fine = not self.changed or self.changed.isdisjoint(parts)
+                alike = not self.different or self.different.isdisjoint(parts)
             ids.append(one)
             same.append(fine)
-        return ids, same
+            equal.append(alike)
+        return ids, same, equal
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.encode_and_check(texts)[0]
@@ -259,22 +284,14 @@ def single_blank(text: str, at: int) -> int:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str, threads: int) -> Codec:
-    return Codec(path, threads)
-
-
-def _open(model: str, threads: int, check: bool):
-    path = public_vocabulary(model) if os.sep not in model else model
-    if not check:
-        return codec(path, threads), None
-    import sentencepiece
-
-    return codec(path, threads), sentencepiece.SentencePieceProcessor(model_file=path)
+def codec(model: str, threads: int, verify: bool) -> Codec:
+    """The codec of a model file, or of a public one by its name; one for each worker."""
+    return Codec(public_vocabulary(model) if os.sep not in model else model, threads, verify)
 
 
 def _run(model: str, threads: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, reference = _open(model, threads, True)
+        tool = codec(model, threads, True)
         for batch in batches:
             n = batch.num_rows
             tokens, sums, pieces = (np.zeros(n, np.int64) for _ in range(3))
@@ -282,15 +299,13 @@ def _run(model: str, threads: int, keep_ids: bool):
             kept: list[list[np.ndarray]] = [[] for _ in range(n if keep_ids else 0)]
             for part in tool.slices(batch.column("text").to_pylist()):
                 texts = [t for _, t in part]
-                found, back = tool.encode_and_check(texts)
-                theirs = reference.encode(texts, num_threads=threads)
-                for (i, _), ids, fine, other in zip(part, found, back, theirs):
+                for (i, _), ids, fine, alike in zip(part, *tool.encode_and_check(texts)):
                     numbers = np.frombuffer(ids, "<u4")
                     tokens[i] += len(numbers)
                     sums[i] = zlib.crc32(ids, int(sums[i]))
                     pieces[i] += int(tool.bytes[numbers].sum())
                     same[i] &= fine
-                    equal[i] &= np.array_equal(numbers, other)
+                    equal[i] &= alike
                     if keep_ids:
                         kept[i].append(numbers.astype(np.int32))
             columns = {
@@ -312,7 +327,8 @@ def encode_texts(
 
     ``model`` is a model file that every executor can open, or the name of a public one. Whole texts are encoded and
     decoded again; ``round_trip`` says whether the text came back (a normaliser may have changed it), ``equal`` whether the
-    sentencepiece library gives the same ids, which is checked for every text. ``n_byte_pieces`` counts pieces that stand
+    sentencepiece library gives the same ids, which is checked for every text, or for every word of it where the model
+    joins nothing across words. ``n_byte_pieces`` counts pieces that stand
     for single bytes of characters outside the vocabulary. About a million characters are held as ids at a time; where
     the model joins nothing across words, longer texts are cut at blanks for that, and else taken whole. Null and empty
     texts have no ids; repeated rows are encoded alike; an empty table gives no rows; other columns are not read.
@@ -328,7 +344,7 @@ def decode_ids(encoded: DataFrame, model: str = "piece_bpe_32k.model", threads:
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, _ = _open(model, threads, False)
+        tool = codec(model, threads, False)
         for batch in batches:
             ids = [np.array(x or [], "<u4").tobytes() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": tool.decode(ids)})

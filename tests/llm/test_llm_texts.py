@@ -142,8 +142,27 @@ def test_codec_on_tables(spark, rows):
 
 
 def test_whole_table_equals_the_library(spark):
-    found = sp.encode_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), keep_ids=False)
-    assert found.filter("equal").count() == found.count() == 1000
+    """The query's column, and whole texts compared by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = sp.encode_texts(docs).collect()
+    reference = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    assert len(found) == 1000 and all(r.equal for r in found)
+    assert all(r.ids == reference.encode(whole[r.doc_id]) for r in found)
+
+
+def test_other_ids_than_the_librarys_are_seen():
+    tool = sp.Codec(MODEL, verify=True)
+    real = tool.reference
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [ids[::-1] if "wrong" in t else ids for t, ids in zip(texts, real.encode(texts))]
+
+    tool.reference = Other()
+    some = ["all is well", "one wrongly cut", "two  blanks wrongly cut", "well  well", "wrongly", ""]
+    assert tool.encode_and_check(some)[2] == [True, False, False, True, False, True]
+    assert tool.encode_and_check(some[::-1])[2] == [True, False, True, False, False, True]
 
 
 def test_ranks_give_the_ids_of_the_json_file():
