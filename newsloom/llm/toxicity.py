@@ -154,8 +154,8 @@ class Grams:
         if bits * ORDER <= 64:
             keys = _joined(numbers, first, range(ORDER), bits, blank)
             del first, codes, numbers
-            order, starts, self.at = _ranked(keys)
-            distinct = keys[order[starts]]
+            distinct, _, self.at = _ranked(keys)
+            del keys
             mask = np.uint64((1 << bits) - 1)
             shifts = np.arange(ORDER - 1, -1, -1).astype(np.uint64) * np.uint64(bits)
             self.characters = alphabet[((distinct[:, None] >> shifts) & mask).astype(np.int64)].astype(np.uint32)
@@ -163,8 +163,8 @@ class Grams:
             halves = [_joined(numbers, first, part, 21, blank) for part in (range(3), range(3, ORDER))]
             del first, codes, numbers
             ranks = [_ranked(half)[2].astype(np.uint64) for half in halves]
-            order, starts, self.at = _ranked(ranks[0] << np.uint64(32) | ranks[1])
-            distinct = np.stack([half[order[starts]] for half in halves], axis=1)
+            _, where, self.at = _ranked(ranks[0] << np.uint64(32) | ranks[1])
+            distinct = np.stack([half[where] for half in halves], axis=1)
             shifts = np.array([42, 21, 0], np.uint64)
             parts = (distinct[:, :, None] >> shifts) & np.uint64((1 << 21) - 1)
             self.characters = alphabet[parts.reshape(-1, ORDER).astype(np.int64)].astype(np.uint32)
@@ -209,15 +209,16 @@ def _joined(numbers: np.ndarray, first: np.ndarray, offsets: range, bits: int, b
 
 
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the keys, where a new one begins in it, and the rank of each."""
+    """The distinct keys in order, a place of each, and the rank of every key."""
     order = np.argsort(keys).astype(np.int32)
     ordered = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    distinct = ordered[new]
     del ordered
     rank = np.empty(len(keys), np.int32)
     rank[order] = np.cumsum(new, dtype=np.int32) - 1
-    return order, np.flatnonzero(new), rank
+    return distinct, order[new], rank
 
 
 COUNTED = ("ordinary", "toxic", "held_ordinary", "held_toxic")  # occurrences in rows that train, and that calibrate
@@ -279,19 +280,25 @@ def _chunks(learns: bool):
         number = TaskContext.get().partitionId() << 32
         known, rows, size = Places(), [], 0
         for batch in batches:
-            kinds = batch.column("kind").to_pylist() if learns else [0] * batch.num_rows
-            for i, text, kind in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), kinds):
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            kinds = batch.column("kind") if learns else None
+            for i in range(batch.num_rows):  # one text at a time: a batch of them as Python strings would be large
+                text = texts[i].as_py()
                 words = text.split()
                 places = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 places.sort()
-                rows.append((i, kind, places))
+                rows.append((ids[i].as_py(), kinds[i].as_py() if learns else 0, places))
                 size += len(text)
                 if size >= CHUNK_CHARS or len(rows) >= CHUNK_ROWS:
-                    yield _chunk(number, list(known.words), rows, learns)
+                    del words
+                    distinct, known = list(known.words), Places()
+                    yield _chunk(number, distinct, rows, learns)
                     number += 1
-                    known, rows, size = Places(), [], 0
+                    rows, size = [], 0
         if rows:
-            yield _chunk(number, list(known.words), rows, learns)
+            distinct = list(known.words)
+            del known
+            yield _chunk(number, distinct, rows, learns)
 
     return run
 
