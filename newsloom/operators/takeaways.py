@@ -143,13 +143,14 @@ def short_content_guard(df: DataFrame, column: str = "content") -> DataFrame:
     )
 
 
-# A run of digits, or what the last replacement left of one, and a run of spaces: each is entered at its start only.
-_DIGITS = r"(?:(?<!\d)|\G)(\d++)"
-_SPACES = r"(?<! ) ++"
+# A run of digits, or what the last replacement left of one, and a run of spaces: each is entered at its start only. What a
+# pattern begins with is one character that most of a text is not, so that other places cost no look-behind.
+_DIGITS = r"(?=\d)(?:(?<!\d)|\G)(\d++)"
+_SPACES = r" (?<!  ) *+"
 # The clean-up passes, in order.
 _SPACING = (
     (rf"(?U){_DIGITS}([a-zA-Z])", "$1 $2"),
-    (r"(?U)([a-zA-Z])(\d)", "$1 $2"),
+    (r"(?U)(?=\d)(?<=[a-zA-Z])", " "),
     (r"(?U)\$ *+(\d++)", r"\$$1"),
     (r"(?U)\$ *+(\d++) *+\. *+(\d++)", r"\$$1.$2"),
     (rf"(?U){_DIGITS} ++(\d{{3}})", "$1,$2"),

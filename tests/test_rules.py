@@ -1,5 +1,8 @@
 """Filters, scoring, ranking and takeaway rules on literal rows."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +285,20 @@ def test_clean_up(rows, before, after):
     assert tk.clean_takeaways(rows([(before,)], "takeaway STRING")).first()[0] == after
 
 
+def test_clean_up_enters_a_pattern_at_one_character(rows):
+    """Most places of a text are passed over after one character, and what is replaced is what the plain patterns replace."""
+    assert all(re.match(r"(\(\?U\))?(\(\?=\\d\)|\\\$| )", pattern) for pattern, _ in tk._SPACING)
+    plain = (
+        (r"(?U)(\d+)([a-zA-Z])", "$1 $2"), (r"(?U)([a-zA-Z])(\d)", "$1 $2"), (r"(?U)\$ *(\d+)", r"\$$1"),
+        (r"(?U)\$ *(\d+) *\. *(\d+)", r"\$$1.$2"), (r"(?U)(\d+) +(\d{3})", "$1,$2"), (r"(?U)(\d+) *, *(\d+)", "$1,$2"),
+        (r"(?U)(\d+) *\. *(\d+)", "$1.$2"), (r" +([.,!?:;])", "$1"),
+    )
+    rng = random.Random(5)
+    data = [("".join(rng.choices("aZ1207 ,.$!é\u0663\U0001d7d9\n", k=rng.randrange(40))),) for _ in range(3000)]
+    spaced = rows(data, "x STRING").select(tk._rewrite(F.col("x"), tk._SPACING).alias("a"), tk._rewrite(F.col("x"), plain).alias("b"))
+    assert spaced.where("a <> b").count() == 0
+
+
 def test_short_content(rows):
     df = rows([("x" * 99,), ("x" * 100,), (None,)], "content STRING")
     assert [r["takeaway"] for r in tk.short_content_guard(df).collect()] == [tk.TOO_SHORT, None, tk.TOO_SHORT]
