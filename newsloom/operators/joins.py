@@ -103,19 +103,37 @@ def match_term_table(articles: DataFrame, terms: DataFrame, column: str = "conte
     its size is known and Spark decides what is broadcast; the plan is the same for any size.
     """
     wanted = wanted_terms(terms)
+    found = matched_numbers(articles, wanted, column, gram)
+    return found.select("id", F.explode_outer("_nos").alias("no")).join(wanted.select("no", "term"), "no").select("id", "term")
+
+
+def matched_numbers(articles: DataFrame, wanted: DataFrame, column: str, gram: int = 4) -> DataFrame:
+    """``id, _nos``: the numbers of the ``wanted_terms`` in each article, in one row or two per id, no number twice.
+
+    All that hangs on a word travels as one row, and so does all that is found in a text: a pair of text and term is no
+    row of its own before the end.
+    """
     texts = articles.select("id", F.lower(column).alias("_text"))
     words = texts.select("id", F.explode_outer(F.array_distinct(F.split("_text", " "))).alias("word"))
     vocabulary = stage(words.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("texts")), "vocabulary")
     hooks = stage(word_hooks(wanted, vocabulary, gram), "hooks")
-    pairs = stage(words.join(hooks, "word").select("id", "no", "sure").distinct(), "pairs")
+    # dealt out by id at once: beforehand the candidates of a text lie with its words, and there is nothing to combine
+    met = words.join(hooks, "word").select("id", "sure", "unsure").repartition("id").groupBy("id").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.size("sure") > 0, F.col("sure"))))).alias("sure"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.size("unsure") > 0, F.col("unsure"))))).alias("unsure"),
+    )
+    pairs = stage(met, "pairs")
 
-    found = pairs.where("sure").join(wanted.select("no", "term"), "no").select("id", "term")
-    listed = (
-        pairs.where("NOT sure").join(wanted, "no").groupBy("id").agg(F.collect_list(F.struct("needle", "term")).alias("_terms"))
+    found = pairs.where(F.size("sure") > 0).select("id", F.col("sure").alias("_nos"))
+    open_ = pairs.where(F.size("unsure") > 0).select("id", F.explode_outer("unsure").alias("no"))
+    listed = open_.join(wanted.select("no", "needle"), "no").groupBy("id").agg(
+        F.collect_list(F.struct("needle", "no")).alias("_terms")
+    )
+    held = F.transform(F.filter("_terms", lambda t: F.col("_text").contains(t["needle"])), lambda t: t["no"])
+    verified = listed.join(texts, "id").select("id", held.alias("_held")).groupBy("id").agg(
+        F.array_distinct(F.flatten(F.collect_list("_held"))).alias("_nos")  # an id may have several texts
     )
-    held = F.filter("_terms", lambda t: F.col("_text").contains(t["needle"]))
-    verified = listed.join(texts, "id").select("id", F.explode_outer(held).alias("_t")).where(F.col("_t").isNotNull())
-    return found.unionByName(verified.select("id", F.col("_t.term").alias("term")).distinct())
+    return found.unionByName(verified)
 
 
 def wanted_terms(terms: DataFrame) -> DataFrame:
@@ -125,12 +143,14 @@ def wanted_terms(terms: DataFrame) -> DataFrame:
 
 
 def word_hooks(wanted: DataFrame, vocabulary: DataFrame, gram: int) -> DataFrame:
-    """``word, no, sure``: the words of the texts that a term can only occur with, and whether such a word is enough.
+    """``word, sure, unsure``: the words of the texts that terms can only occur with, once each, and the numbers of those
+    terms, apart by whether such a word is enough.
 
     Texts are cut at single spaces. A term with words between two spaces needs each of them: it hangs on the rarest. A
     term with a space, but no word between two, needs a word that begins with what follows its last space, or one that
     ends with what precedes its first; it hangs on those of the longer part. A term without a space is part of a word: it
-    hangs on all words that hold it. Beginnings, ends and parts meet the vocabulary by their first ``gram`` characters.
+    hangs on all words that hold it. Beginnings, ends and parts meet the vocabulary by a hash of their first ``gram``
+    characters, and are then compared.
     """
     pieces = F.split("needle", " ")
     inner = F.array_distinct(F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != ""))
@@ -153,32 +173,33 @@ def word_hooks(wanted: DataFrame, vocabulary: DataFrame, gram: int) -> DataFrame
         "seed", F.when(F.col("side") == "end", F.expr("right(part, size)")).otherwise(F.expr("left(part, size)"))
     )
     kinds = [(r["side"], r["size"]) for r in sought.select("side", "size").distinct().collect()]  # some few at most
-    word = F.col("word")
-    seeds = {
-        "start": lambda n: F.array(F.left(word, F.lit(n))),
-        "end": lambda n: F.array(F.right(word, F.lit(n))),
-        "in": lambda n: _grams(word, n),
-    }
-
-    def named(side: str, found: Column) -> Column:
-        return F.transform(found, lambda g: F.struct(F.lit(side).alias("side"), g.alias("seed")))
-
-    listed = [named(side, seeds[side](n)) for side, n in sorted(kinds)]
-    if not listed:
-        return phrases
-    spread = vocabulary.select("word", F.explode_outer(F.concat(*listed)).alias("_s")).select("word", "_s.*")
-    holds = (
-        F.when(F.col("side") == "in", word.contains(F.col("part")))
-        .when(F.col("side") == "start", word.startswith(F.col("part")))
-        .otherwise(word.endswith(F.col("part")))
+    hung = phrases
+    if kinds:
+        listed = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(n).alias("size")) for side, n in sorted(kinds)])
+        word, size, last_place = F.col("word"), F.col("_k.size"), F.length("word") - F.col("_k.size") + 1
+        places = (
+            F.when(last_place < 1, F.array().cast("array<int>"))
+            .when(F.col("_k.side") == "in", F.sequence(F.lit(1), last_place))
+            .otherwise(F.array(F.when(F.col("_k.side") == "start", 1).otherwise(last_place)))
+        )
+        spread = (
+            vocabulary.select("word", F.explode_outer(listed).alias("_k"))
+            .select("word", "_k", F.explode_outer(places).alias("_at"))
+            .where("_at IS NOT NULL")
+            .select("word", F.xxhash64("_k.side", F.substr(word, F.col("_at"), size)).alias("_seed"))
+        )
+        holds = (
+            F.when(F.col("side") == "in", word.contains(F.col("part")))
+            .when(F.col("side") == "start", word.startswith(F.col("part")))
+            .otherwise(word.endswith(F.col("part")))
+        )
+        keyed = sought.select("no", "part", "side", F.xxhash64("side", "seed").alias("_seed"))
+        parts = spread.join(keyed, "_seed").where(holds).select("word", "no", (F.col("side") == "in").alias("sure"))
+        hung = phrases.unionByName(parts)
+    return hung.groupBy("word").agg(
+        F.collect_set(F.when(F.col("sure"), F.col("no"))).alias("sure"),
+        F.collect_set(F.when(~F.col("sure"), F.col("no"))).alias("unsure"),
     )
-    parts = spread.join(sought, ["side", "seed"]).where(holds).select("word", "no", (F.col("side") == "in").alias("sure"))
-    return phrases.unionByName(parts.distinct())
-
-
-def _grams(column: Column, size: int) -> Column:
-    """The distinct character sequences of one length in a text, found in one pass by look-ahead."""
-    return F.array_distinct(F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def _ordered(name: str) -> Column:

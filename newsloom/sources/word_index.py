@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import let
 from newsloom.operators.joins import word_hooks, wanted_terms
 from newsloom.session import stage
 from newsloom.sources.manifest import Manifests
 
-POSTING = "word string, id long, pos int"
+POSTING = "word string, id long, pos int, before string, after string"
+PIECE_CHARS = 16 << 20  # texts whose postings one task sorts
 
 
 class WordIndex:
     """Which word of which text stands where, so that terms are found without reading the texts again.
 
     A text is its words in lower case, cut at single spaces (two spaces have an empty word between them). A batch writes
-    its postings ``word, id, pos`` in buckets by word, sorted, and the number of texts that each word occurs in; the list of
-    batches (``Manifests``) is written last, so a batch that fails is written over by the next attempt and one that is
-    delivered again changes nothing. Ids are unique over all batches. Null texts have no words.
+    its postings ``word, id, pos`` with the words before and after, in buckets by word, sorted, and the number of texts
+    that each word occurs in; the list of batches (``Manifests``) is written last, so a batch that fails is written over by
+    the next attempt and one that is delivered again changes nothing. Ids are unique over all batches. Null texts have no
+    words.
+
+    Texts, which are smaller, are dealt out before they are cut into words: no word, however common, is one task's, and
+    each task sorts the postings of some ``PIECE_CHARS`` characters.
 
     Searching is exact and equal to ``match_term_table`` over the texts of all batches: a term is looked up by its rarest
-    word, and what stands before and after that word, by position, decides.
+    word. Terms of up to three words are decided by the words beside it, as the postings come by; what is left of longer
+    ones is looked up by position.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64) -> None:
@@ -40,28 +47,33 @@ class WordIndex:
         done = self.batches()
         if batch in done:
             return False
-        words = texts.select(
-            F.col("id").cast("long").alias("id"), F.posexplode_outer(F.split(F.lower(column), " ")).alias("pos", "word")
-        ).where(F.col("word").isNotNull() & F.col("id").isNotNull())
-        placed = words.select("word", "id", "pos").withColumn("_bucket", self._bucket())
-        postings = f"{self.folder}/postings/{batch}"
-        # a bucket is dealt into parts by id, so that the postings of a very common word are not one task's
-        dealt = placed.repartition("_bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("_bucket", "word", "id", "pos")
-        dealt.write.mode("overwrite").partitionBy("_bucket").parquet(postings)
-        counted = self._postings([batch]).groupBy("word").agg(F.count_distinct("id").alias("texts"))
+        kept = texts.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select(
+            F.col("id").cast("long").alias("id"), F.col(column).alias("_text")
+        )
+        words = F.split(F.lower("_text"), " ")
+        chars = kept.agg(F.sum(F.length("_text"))).first()[0] or 0
+        listed = let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(
+            w.alias("word"), i.alias("pos"), F.get(ws, i - 1).alias("before"), F.get(ws, i + 1).alias("after")
+        )))
+        dealt = kept.repartition(-(-chars // PIECE_CHARS) or 1, "id").select("id", F.explode_outer(listed).alias("_p"))
+        placed = dealt.select("_p.word", "id", "_p.pos", "_p.before", "_p.after").withColumn("_bucket", self._bucket())
+        ordered = placed.sortWithinPartitions("_bucket", "word", "id", "pos")
+        ordered.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/postings/{batch}")
+        held = kept.select(F.explode_outer(F.array_distinct(words)).alias("word"))
+        counted = held.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
         counted.write.mode("overwrite").parquet(f"{self.folder}/words/{batch}")
         self.manifests.commit({"buckets": self.buckets, "batches": sorted([*done, batch])})
         return True
 
     def _postings(self, batches: list[int], buckets: list[int] | None = None) -> DataFrame:
-        """``word, id, pos`` of some batches, of some buckets if named."""
+        """``word, id, pos, before, after`` of some batches, of some buckets if named."""
         schema = f"{POSTING}, _bucket int"
         parts = self.spark.createDataFrame([], schema)
         for batch in batches:
             parts = parts.unionByName(self.spark.read.schema(schema).parquet(f"{self.folder}/postings/{batch}"))
         if buckets is not None:
             parts = parts.where(F.col("_bucket").isin(buckets))
-        return parts.select("word", "id", "pos")
+        return parts.drop("_bucket")
 
     def vocabulary(self) -> DataFrame:
         """``word, texts``: every word and the number of texts that it occurs in."""
@@ -75,36 +87,50 @@ class WordIndex:
         """``id, term``: which terms occur, in any case, in which texts."""
         wanted = wanted_terms(terms)
         hooks = stage(word_hooks(wanted, stage(self.vocabulary(), "vocabulary"), gram), "hooks")
-        buckets = [r["b"] for r in hooks.select(self._bucket().alias("b")).distinct().collect()]  # as many as there are, at most
-        found = self._postings(self.batches(), buckets).join(hooks, "word")
-        whole = found.where("sure").select("id", "no").distinct()
-        return whole.unionByName(self._phrases(wanted, found.where("NOT sure"))).join(
+        sure, unsure = hooks.where(F.size("sure") > 0), hooks.where(F.size("unsure") > 0)
+        # the terms of a word travel as one row, and are set apart where all that is found in a text has come together
+        listed = self._holding(sure).join(sure.select("word", "sure"), "word").select("id", "sure").repartition("id")
+        whole = listed.select("id", F.explode_outer("sure").alias("no")).distinct()
+        anchors = unsure.select("word", F.explode_outer("unsure").alias("no"))
+        return whole.unionByName(self._phrases(wanted, anchors)).join(
             wanted.select("no", "term"), "no"
         ).select("id", "term")
 
-    def _phrases(self, wanted: DataFrame, anchors: DataFrame) -> DataFrame:
-        """``id, no`` of the terms of several words whose words stand next to each other.
+    def _holding(self, words: DataFrame) -> DataFrame:
+        """The postings in the buckets of these words."""
+        buckets = [r["b"] for r in words.select(self._bucket().alias("b")).distinct().collect()]  # as many as there are, at most
+        return self._postings(self.batches(), buckets)
+
+    def _phrases(self, wanted: DataFrame, hooks: DataFrame) -> DataFrame:
+        """``id, no`` of the terms of several words whose words stand next to each other; ``hooks(word, no)``.
 
-        Wherever a term's anchor stands, its other words have to stand at fixed places around: those places are looked up
-        among the postings of the same texts. The first word need only end with the term's beginning, and the last only
-        begin with its end.
+        Wherever a term's anchor stands, the words on both sides have to be those of the term. The first word need only end
+        with the term's beginning, and the last only begin with its end. Where more words are left, each inner one is looked
+        up by its place among the postings of the same texts, the outer ones beside them.
         """
-        pieces = wanted.select("no", F.posexplode_outer(F.split("needle", " ")).alias("k", "piece"), F.size(F.split("needle", " ")).alias("n"))
-        pieces = pieces.where("n > 1")
-        first, last = F.col("k") == 0, F.col("k") == F.col("n") - 1
-
-        def fits(word: Column) -> Column:
-            return F.when(first, word.endswith(F.col("piece"))).when(last, word.startswith(F.col("piece"))).otherwise(
-                word == F.col("piece")
-            )
-
-        starts = (
-            anchors.join(pieces, "no").where(fits(F.col("word"))).select("no", "id", (F.col("pos") - F.col("k")).alias("start"))
-            .where("start >= 0").distinct()
+        split = wanted.select("no", F.split("needle", " ").alias("_p")).withColumn("n", F.size("_p")).where("n > 1")
+        pieces = split.select("no", "n", "_p", F.posexplode_outer("_p").alias("k", "piece")).select(
+            "no", "n", "k", "piece", F.get("_p", F.col("k") - 1).alias("left"), F.get("_p", F.col("k") + 1).alias("right")
+        )
+        n, k = F.col("n"), F.col("k")
+
+        def fits(word: Column, piece: Column, place: Column) -> Column:
+            return F.when(place == 0, word.endswith(piece)).when(place == n - 1, word.startswith(piece)).otherwise(word == piece)
+
+        beside = (F.col("left").isNull() | fits(F.col("before"), F.col("left"), k - 1)) & (
+            F.col("right").isNull() | fits(F.col("after"), F.col("right"), k + 1)
         )
-        starts = stage(starts, "starts")
-        places = starts.join(pieces, "no").withColumn("pos", F.col("start") + F.col("k"))
-        near = self._postings(self.batches()).join(starts.select("id").distinct(), "id", "left_semi")
-        standing = places.join(near, ["id", "pos"]).where(fits(F.col("word")))
-        counted = standing.groupBy("no", "id", "start", "n").agg(F.count("*").alias("fitting"))
-        return counted.where("fitting = n").select("id", "no").distinct()
+        anchors = stage(hooks.join(pieces, "no").where(fits(F.col("word"), F.col("piece"), k)), "anchors")
+        met = self._holding(anchors).join(anchors, "word").where(beside & (F.col("pos") >= k))
+        starts = stage(met.select("no", "id", (F.col("pos") - k).alias("start"), ((k <= 1) & (k >= n - 2)).alias("sure")), "starts")
+
+        open_ = starts.where("NOT sure").select("no", "id", "start").distinct()
+        inner = pieces.where((k > 0) & (k < n - 1)).withColumnRenamed("piece", "word")
+        places = stage(open_.join(inner, "no").withColumn("pos", F.col("start") + k), "places")
+        near = self._holding(places)
+        for key in ("word", "id"):
+            near = near.join(places.select(key).distinct(), key, "left_semi")
+        standing = places.join(near, ["word", "id", "pos"]).where(beside)
+        counted = standing.groupBy("no", "id", "start", "n").agg(F.count_distinct("k").alias("fitting"))
+        settled = starts.where("sure").select("id", "no").unionByName(counted.where("fitting = n - 2").select("id", "no"))
+        return settled.distinct()

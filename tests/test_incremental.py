@@ -305,3 +305,19 @@ def test_index_finds_what_the_texts_hold(spark):
     assert len(got) == len(want) and set(got) == want
     texts = sum(1 for _, t in data if t and "mill" in t.lower().split(" "))
     assert index.vocabulary().where("word = 'mill'").first()["texts"] == texts
+
+
+def test_a_word_of_all_texts_is_no_single_task(spark, monkeypatch):
+    """Texts are dealt out by their size, so that what one task sorts does not grow with the batch; short phrases need no look-up."""
+    from newsloom.sources import word_index
+
+    monkeypatch.setattr(word_index, "PIECE_CHARS", 1000, raising=False)
+    docs = spark.range(400).select("id", F.concat(F.lit("the old mill the old "), "id").alias("content"))
+    index = word_index.WordIndex(spark, new_folder(spark, "index"), buckets=3)
+    assert index.add(0, docs)
+    held = spark.read.parquet(f"{index.folder}/postings/0").where("word = 'the'").groupBy(F.input_file_name()).count()
+    assert held.count() > 8
+    asked = spark.createDataFrame([("old mill",), ("mill the old",), ("ld mill the old 1",), ("the the",)], "term string")
+    assert {r["term"]: r["count"] for r in index.search(asked).groupBy("term").count().collect()} == {
+        "old mill": 400, "mill the old": 400, "ld mill the old 1": 111,
+    }
