@@ -89,6 +89,17 @@ def test_term_tables_of_any_size_give_the_same_rows(spark):
         assert len(rows) == len(want) and {tuple(r) for r in rows} == want, threshold
 
 
+def test_matches_travel_by_word_and_by_text(spark):
+    """What hangs on a word is one row, and what is found in a text is one: pairs of text and term are not shuffled."""
+    docs = spark.range(20).select("id", F.lit("aaaa baaaa aaaac baaaac daaaa").alias("content"))
+    wanted = joins.wanted_terms(spark.createDataFrame([("a" * n,) for n in range(1, 5)] + [("aa baa",)], "term STRING"))
+    vocabulary = docs.select(F.explode(F.split("content", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
+    hooks = joins.word_hooks(wanted, vocabulary, 4)
+    assert hooks.count() == 5 and hooks.agg(F.sum(F.size("sure"))).first()[0] == 20
+    found = joins.matched_numbers(docs, wanted, "content")
+    assert found.where("size(_nos) = 4").count() == 20 and found.where("size(_nos) = 1").count() == 20 and found.count() == 40
+
+
 def test_positions_are_dense_for_any_partitioning(spark):
     df = skewed(spark).repartition(13)
     got = [r["pos2"] for r in ranking.with_position(df, [F.col("url"), F.col("page_id")], "pos2").collect()]
