@@ -218,15 +218,18 @@ def keyword_hits(
     ``keywords(pos, keyword)``; result ``pos, keyword`` and the document columns. Documents are ranked by the
     ``order`` columns (a leading minus: largest first), then by id, on their ids alone; only the chosen are fetched.
     """
-    hits = match_term_table(docs, keywords.select(F.col("keyword").alias("term")), column)
-    named = hits.withColumnRenamed("term", "keyword").join(
-        keywords.groupBy("keyword").agg(F.min("pos").alias("pos")), "keyword"
-    )
+    wanted = wanted_terms(keywords.select(F.col("keyword").alias("term")))
+    found = matched_numbers(docs, wanted, column)
+    placed = keywords.groupBy("keyword").agg(F.min("pos").alias("pos"))
+    named = stage(wanted.select(F.col("no").alias("_no"), F.col("term").alias("keyword")).join(placed, "keyword"), "keywords")
     if per_keyword is None:
-        return named.select("pos", "keyword", "id").join(docs, "id").select("pos", "keyword", *docs.columns)
+        # a document is fetched once for all that is found in it
+        met = found.join(docs, "id").select(*docs.columns, F.explode_outer("_nos").alias("_no"))
+        return met.join(named, "_no").select("pos", "keyword", *docs.columns)
+    hits = found.select("id", F.explode_outer("_nos").alias("_no")).join(named, "_no").select("pos", "keyword", "id")
     if order:
-        named = named.join(docs.select("id", *[c.lstrip("-") for c in order]), "id")
-    best = first_per_group(named, ["pos", "keyword"], [*[_ordered(c) for c in order], F.col("id")], per_keyword)
+        hits = hits.join(docs.select("id", *[c.lstrip("-") for c in order]), "id")
+    best = first_per_group(hits, ["pos", "keyword"], [*[_ordered(c) for c in order], F.col("id")], per_keyword)
     chosen = stage(best.select("pos", "keyword", "id"), "hits")
     return chosen.join(docs, "id").select("pos", "keyword", *docs.columns)
 

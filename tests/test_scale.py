@@ -100,6 +100,15 @@ def test_matches_travel_by_word_and_by_text(spark):
     assert found.where("size(_nos) = 4").count() == 20 and found.where("size(_nos) = 1").count() == 20 and found.count() == 40
 
 
+def test_a_document_is_fetched_once_for_all_its_keywords(spark):
+    docs = spark.range(9).select("id", F.lit("alpha beta gamma").alias("content"), F.lit("t").alias("title"))
+    keywords = spark.createDataFrame([(3, "alph"), (1, "bet"), (2, "bet"), (5, "amma"), (6, "none")], "pos LONG, keyword STRING")
+    hits = joins.keyword_hits(keywords, docs, column="content")
+    text = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate explode") < text.index("Join Inner, (id")  # above the join
+    assert {(r["pos"], r["id"]) for r in hits.collect()} == {(p, i) for p in (1, 3, 5) for i in range(9)} and hits.count() == 27
+
+
 def test_positions_are_dense_for_any_partitioning(spark):
     df = skewed(spark).repartition(13)
     got = [r["pos2"] for r in ranking.with_position(df, [F.col("url"), F.col("page_id")], "pos2").collect()]
