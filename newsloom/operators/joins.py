@@ -240,6 +240,13 @@ def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(known, ["content_key", "rubric_key"], "left")
 
 
+def asked_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """The responses to these requests, written once: keys are compared first, so other responses are not moved."""
+    keys = ["content_key", "rubric_key"]
+    asked = responses.select(*keys).join(requests.select(*keys), keys, "left_semi").distinct()
+    return stage(responses.join(stage(asked, "asked"), keys, "left_semi"), "responses")
+
+
 def fresh_responses(requests: DataFrame, responses: DataFrame, as_of, ttl_seconds: int) -> DataFrame:
     """As ``join_responses``, with responses that carry a time ``answered_at``: the newest one no older than the TTL."""
     moment = dates.as_timestamp(as_of)
