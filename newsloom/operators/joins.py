@@ -7,7 +7,7 @@ splits the partitions of hot keys otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,8 +236,22 @@ def keyword_hits(
 
 def join_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Attach model output by text fingerprint and rubric fingerprint; requests without output stay."""
-    known = responses.groupBy("content_key", "rubric_key").agg(F.min("raw").alias("raw"))
-    return requests.join(known, ["content_key", "rubric_key"], "left")
+    return attach_responses(requests, {"raw": responses})
+
+
+def attach_responses(requests: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """As ``join_responses``, with the outputs of several tables under their names.
+
+    Both fingerprints are one key here: if one is a constant, Spark would group by the other and deal texts out again to join.
+    """
+    key = F.concat("content_key", F.lit("\x01"), "rubric_key").alias("_key")
+    joined = requests.select("*", key)
+    for name, responses in tables.items():
+        known = responses.select(key, "raw").groupBy("_key").agg(F.min("raw").alias(name))
+        joined = joined.join(known, "_key", "left")
+    return joined.select(
+        "content_key", "rubric_key", *[c for c in requests.columns if c not in ("content_key", "rubric_key")], *tables
+    )
 
 
 def asked_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:

@@ -249,7 +249,7 @@ def combine_takeaways(
         F.coalesce(F.length(c), F.lit(0)).cast("long").alias("chars"),
         cut(c).alias("head"),
         c.alias("sole"),
-    )
+    ).repartition(key)  # texts move once, however many levels there are
     highest = chunks.agg(F.max("chunk_no")).first()[0] or 0
     while True:
         last = highest < fan_in

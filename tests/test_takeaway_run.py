@@ -60,3 +60,31 @@ def test_review_of_every_kind(spark):
     assert state(7) == ("y", False, True, False, False)  # an empty rewritten form is none
     assert state(8) == ("whole. new. one.", False, True, False, False)
     assert any("Word count is 3" in x for x in rows[8]["issues_found"]) and rows[5]["issues_found"] == []
+
+
+def test_answers_lie_by_one_key_even_if_the_rubric_is_a_constant(spark):
+    """Texts of answers are dealt out once for a join, and only those that are asked for when the requests are few."""
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import joins
+
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        data = [("a", 1), ("b", 2), ("b", 3), (None, 4)]
+        asked = spark.createDataFrame(data, "content_key STRING, id LONG").withColumn("rubric_key", F.lit("r"))
+        given = spark.createDataFrame([("a", "2"), ("a", "1"), ("c", "3"), (None, "4")], "content_key STRING, raw STRING")
+        given = given.withColumn("rubric_key", F.lit("r"))
+        joined = joins.join_responses(asked, given)
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+        assert {r["id"]: r["raw"] for r in joined.collect()} == {1: "1", 2: None, 3: None, 4: None}
+        both = joins.attach_responses(asked, {"raw": given, "other": given.where("raw <> '1'")})
+        assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 3
+        assert {(r["id"], r["raw"], r["other"]) for r in both.collect()} == {(1, "1", "2"), (2, None, None), (3, None, None), (4, None, None)}
+        assert sorted(r["raw"] for r in joins.asked_responses(asked, given).collect()) == ["1", "2"]
+        parts = spark.range(2000).selectExpr("id % 3 id", "id chunk_no", "'x' takeaway")
+        assert tk.combine_takeaways(parts, fan_in=16)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
