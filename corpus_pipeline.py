@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import jaccard, packing, quality, secrets, toxicity
 from newsloom.llm.common import table
-from newsloom.session import stage
+from newsloom.session import settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +51,5 @@ ORACLE_SQL = None  # models, hashes and token ids; tests/llm compares the stages
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = settle(spark, partial(step, spark, docs, sf_dir), name)
     return docs

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import Sieve, U, fresh, mixed, ship, text_or_empty
 from newsloom.llm.components import components
-from newsloom.session import stage
+from newsloom.session import settle, stage
 
 KNOWN_WORDS = 1 << 20  # a task forgets its words beyond this many
 KNOWN_SETS = 1 << 20  # and the sets it has met
 BLOCK_TEXTS = 1500  # texts of a block, on average
 FRAGMENT = 4096  # shingles of the order whose overlaps are counted at a time
+LEAST_BITS, MOST_BITS = 22, 26  # of the sketch, which has a byte for each counter
+HELD_SLOTS = 4 << 20  # counters that a task meets before it sends them
+
+
 class WordHashes(dict):
     """64-bit hashes of the words of one task, kept by number so that a text's are one array look-up."""
 
@@ -54,35 +58,72 @@ def shingle_set(text: str, known: WordHashes, words: int = 3) -> np.ndarray:
     return np.unique(total)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers of 32 bits, byte by byte, so that the high ones, which are mostly 0, take no room."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """A byte that grows with the count: exact up to 16, in steps of 6 % beyond."""
+    coded = np.round(12 * np.log2(np.maximum(counts, 1) / 16.0) + 16)
+    return np.where(counts <= 16, counts, np.clip(coded, 17, 255)).astype(np.uint8)
+
+
+def bits_for(texts: DataFrame) -> int:
+    """As many counters as there are words, or some more, between ``2**LEAST_BITS`` and ``2**MOST_BITS``."""
+    chars = texts.agg(F.sum(F.length(texts.columns[0]))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (chars // 5).bit_length()))
+
+
 def sketch(texts: DataFrame, words: int, bits: int) -> np.ndarray:
-    """About how many sets hold each shingle: ``2**bits`` counters by hash, however many shingles there are.
+    """About how many sets hold each shingle (``rarity``): ``2**bits`` counters by hash, however many shingles there are.
 
-    Tasks send their counters packed, in pieces; the pieces are summed as they come in.
+    Tasks send the counters that they have met, packed, in pieces; the pieces are summed as they come in.
     """
     pieces = 1 << min(6, bits)
+    width = (1 << bits) // pieces
+
+    def flushed(met: list[np.ndarray]) -> pa.RecordBatch:
+        slots, counts = np.unique(np.concatenate(met), return_counts=True)
+        ends = np.searchsorted(slots, np.arange(pieces + 1) * width)
+        parts = [(k, slots[a:b] - k * width, counts[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in parts], pa.int32()),
+             pa.array([packed(np.diff(at, prepend=0)) for _, at, _ in parts], pa.binary()),
+             pa.array([packed(n) for _, _, n in parts], pa.binary())],
+            ["piece", "steps", "counts"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, totals = WordHashes(), np.zeros(1 << bits, np.uint32)
+        known, met, held = WordHashes(), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(totals, slots_of(shingle_set(text, known, words), bits), 1)
-        packed = [zlib.compress(part.tobytes(), 1) for part in np.split(totals, pieces)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(packed)], ["piece", "counters"])
+                met.append(slots_of(shingle_set(text, known, words), bits))
+                held += len(met[-1])
+                if held >= HELD_SLOTS:
+                    yield flushed(met)
+                    met, held = [], 0
+        if held:
+            yield flushed(met)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), np.uint32)
-                sums[piece] = sums.get(piece, 0) + part.astype(np.int64)
-        packed = [zlib.compress(s.tobytes(), 1) for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["piece", "counters"])
-
-    schema = "piece int, counters binary"
-    found = texts.mapInArrow(count, schema).repartition(pieces, "piece").mapInArrow(add, schema).collect()
-    totals = np.zeros((pieces, (1 << bits) // pieces), np.int64)
-    for row in found:
-        totals[row.piece] = np.frombuffer(zlib.decompress(row.counters), np.int64)
+            for piece, steps, counts in zip(*(batch.column(c).to_pylist() for c in ("piece", "steps", "counts"))):
+                total = sums.setdefault(piece, np.zeros(width, np.int64))
+                total[np.cumsum(unpacked(steps), dtype=np.int64)] += unpacked(counts)
+        coded = [zlib.compress(rarity(s).tobytes(), 1) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], ["piece", "counters"])
+
+    sent = texts.mapInArrow(count, "piece int, steps binary, counts binary").repartition(pieces, "piece")
+    totals = np.zeros((pieces, width), np.uint8)
+    for row in sent.mapInArrow(add, "piece int, counters binary").collect():
+        totals[row.piece] = np.frombuffer(zlib.decompress(row.counters), np.uint8)
     return totals.reshape(-1)
 
 
@@ -94,11 +135,13 @@ def prefix(shingles: np.ndarray, counters: np.ndarray, bits: int, share: int) ->
     """The first fragment of the set in the global order: rare shingles first, by the sketch and then by hash.
 
     Sets of similarity ``share`` have at least that share of each in common, so the first shingle that they have in
-    common lies within this many of the first in both.
+    common lies within this many of the first in both. One that was counted once, over all texts, is in no other text and
+    is left out.
     """
     n = len(shingles)
-    order = np.argsort(counters[slots_of(shingles, bits)], kind="stable")
-    return shingles[order[: n - (share * n + 99) // 100 + 1]]
+    counts = counters[slots_of(shingles, bits)]
+    order = np.argsort(counts, kind="stable")[: n - (share * n + 99) // 100 + 1]
+    return shingles[order[counts[order] > 1]]
 
 
 class Segments:
@@ -244,7 +287,7 @@ def _link_blocks(share: int, words: int):
 
 def jaccard_components(
     docs: DataFrame, share: int = 90, words: int = 3, key: str = "doc_id", text: str = "text",
-    block_shingles: int = 2_000_000, rare_first: bool = False, sketch_bits: int = 22,
+    block_shingles: int = 2_000_000, rare_first: bool = False, sketch_bits: int | None = None,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row for each row of ``docs``.
 
@@ -254,7 +297,7 @@ def jaccard_components(
 
     1. The global order of shingles (their hashes) is cut vertically, and what two sets have alike in a fragment makes
        them candidates: a whole segment of the set's size class (``Segments``), or, if ``rare_first``, one shingle of
-       the first fragment of an order in which rare shingles come first (``prefix``, by a sketch of fixed size). Both
+       the first fragment of an order in which rare shingles come first (``prefix``, by a sketch with as many counters as there are words, up to 2**26, or ``2**sketch_bits``). Both
        miss no similar pair. Segments hold some ``100 / (100 - share)`` shingles, which suits high similarities; rare
        shingles suit lower ones, if shingles are long enough not to meet by chance. Equal sets are one node.
     2. Nodes with something alike, and sizes that can be similar, are joined in chains by size, which is enough to find
@@ -273,7 +316,8 @@ def jaccard_components(
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     counters = None
     if rare_first:
-        counters = spark.sparkContext.broadcast(sketch(rows.select("text"), words, sketch_bits).astype(np.uint32))
+        sketch_bits = sketch_bits or bits_for(rows.select("text"))
+        counters = spark.sparkContext.broadcast(sketch(rows.select("text"), words, sketch_bits))
     cut = stage(
         rows.mapInArrow(
             _cut_sets(counters, sketch_bits, share, words), "doc_id long, n_shingles long, node long, keys array<long>"
@@ -318,7 +362,9 @@ def one_of_each(
 
     Rows without an id stay. Of rows that share the smallest id, those that are equal in every column are one.
     """
-    found = stage(jaccard_components(docs, share, words, key, text, rare_first=rare_first), "found")
+    found = settle(
+        docs.sparkSession, lambda: jaccard_components(docs, share, words, key, text, rare_first=rare_first), "found"
+    )
     own, count, whole = (fresh(docs, name) for name in ("_id", "_rows", "_whole"))
     kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(count))
     # Only rows that may have to go, or that share an id, are moved and joined.

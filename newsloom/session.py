@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,10 +57,30 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     Spark decides whether to broadcast it.
     """
     folder = new_folder(df.sparkSession, label)
+    for staged in getattr(_PASSING, "lists", [])[-1:]:
+        staged.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+_PASSING = threading.local()  # .lists: the folders staged so far in each open ``settle`` of this thread
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame], label: str = "stage") -> DataFrame:
+    """``stage`` of what ``make`` returns; what was staged on the way there is deleted, since nothing reads it any more."""
+    lists = _PASSING.__dict__.setdefault("lists", [])
+    lists.append([])
+    try:
+        df = make()
+        passing = list(lists[-1])
+    finally:
+        lists.pop()
+    kept = stage(df, label)
+    for folder in passing:
+        remove(spark, folder)
+    return kept
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """As ``stage``, but keeping partitions and the order in them."""
     shared_folder(df.sparkSession)

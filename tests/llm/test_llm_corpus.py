@@ -1,6 +1,7 @@
 """Shards, totals, search, packing, similarity, toxicity, quality and the pipeline against brute force."""
 
 import collections
+import os
 import random
 import re
 import zlib
@@ -190,6 +191,41 @@ def test_one_of_each_keeps_rows_without_id_and_the_smallest_of_the_rest(spark):
     assert sorted((r.doc_id or 0, r.key) for r in out) == [(0, "e"), (3, "a"), (9, "d")]
 
 
+def test_rare_shingles_are_known_however_many_there_are(spark):
+    """The sketch grows with the corpus; what it counts once is in one text only and makes no candidate."""
+    few, many = spark.createDataFrame([("a b",)], "text string"), spark.range(3000).selectExpr("repeat('word ', 4000) text")
+    assert jaccard.bits_for(few) == jaccard.LEAST_BITS < jaccard.bits_for(many) <= jaccard.MOST_BITS
+    counts = np.arange(0, 1 << 20)
+    coded = jaccard.rarity(counts)
+    assert list(coded[:18]) == list(range(18)) and (np.diff(coded.astype(int)) >= 0).all() and coded.max() < 255
+    numbers = np.array([0, 1, 255, 256, 2**32 - 1])
+    assert list(jaccard.unpacked(jaccard.packed(numbers))) == list(numbers)
+
+    texts = [" ".join(f"{i}-{k}" for k in range(40)) for i in range(6)] + [" ".join(f"0-{k}" for k in range(39))]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "text string")
+    sets = [jaccard.shingle_set(t, jaccard.WordHashes(), 5) for t in texts]
+    counters = jaccard.sketch(df, 5, 22)
+    assert counters.dtype == np.uint8
+    assert [int(counters[jaccard.slots_of(s, 22)].min()) for s in sets] == [2] * 5 + [2, 4]
+    once = jaccard.sketch(df.dropDuplicates(), 5, 22)
+    assert [len(jaccard.prefix(s, once, 22, 80)) for s in sets] == [7, 0, 0, 0, 0, 0, 8]
+
+
+def test_a_stage_leaves_nothing_behind_that_is_not_read(spark, tmp_path, monkeypatch):
+    from newsloom import session
+
+    def staged():
+        return sorted(name.rsplit("-", 1)[0] for name in os.listdir(tmp_path / "newsloom"))
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    b = lambda: session.stage(spark.range(2), "b")
+    kept = session.settle(spark, lambda: session.stage(spark.range(3), "a").union(session.settle(spark, b, "c")), "d")
+    assert kept.count() == 5 and staged() == ["d"]
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert jaccard.one_of_each(docs, share=80, words=5, rare_first=True).count() == 3
+    assert staged() == ["d", "found"]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(6)
     chain = [(i, i + 1) for i in range(1, 120)]
