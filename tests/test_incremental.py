@@ -321,3 +321,21 @@ def test_a_word_of_all_texts_is_no_single_task(spark, monkeypatch):
     assert {r["term"]: r["count"] for r in index.search(asked).groupBy("term").count().collect()} == {
         "old mill": 400, "mill the old": 400, "ld mill the old 1": 111,
     }
+
+
+def test_an_index_is_small_and_moves_what_is_sought(spark):
+    """A piece's postings are one packed file; of a long phrase the short words need no look-up, and near misses are none."""
+    from newsloom.sources import word_index
+
+    words = ["of", "mill", "a", "the", "walking", "to", "it", "river", "x"]
+    long = " ".join(words)
+    misses = [" ".join([*words[:k], "no", *words[k + 1:]]) for k in range(len(words))]
+    docs = spark.createDataFrame(list(enumerate([long, f"z{long} y", f"y {long}z", *misses])), "id long, content string")
+    index = word_index.WordIndex(spark, new_folder(spark, "index"))
+    assert index.add(0, docs)
+    files = spark.read.parquet(f"{index.folder}/postings/0")
+    assert len(files.inputFiles()) == 1 and ".zstd." in files.inputFiles()[0]
+    sought = index._holding(spark.createDataFrame([("walking",), ("absent",)], "word string"))
+    assert {r["word"] for r in sought.collect()} == {"walking"}
+    asked = spark.createDataFrame([(long,)], "term string")
+    assert sorted(r["id"] for r in index.search(asked).collect()) == [0, 1, 2]
